@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from souk.schema import SCHEMAS
 
+TABLE_NAMES = tuple(SCHEMAS)
+
 
-@dataclass(frozen=True)
 class Tables:
-    orders: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    customers: DataFrame
-    sellers: DataFrame
-    products: DataFrame
-    category_translation: DataFrame
+    """The eight marketplace tables by name (``t.orders``, ``t.order_items`` ...).
+
+    Each value is a DataFrame or a zero-argument function returning one; a
+    function is called on first access only, so an operator opens exactly the
+    tables it reads (no file listing or footer reads for the others).
+    """
+
+    def __init__(self, **frames: DataFrame | Callable[[], DataFrame]):
+        unknown = set(frames) - set(TABLE_NAMES)
+        missing = set(TABLE_NAMES) - set(frames)
+        if unknown or missing:
+            raise ValueError(f"tables: unknown {sorted(unknown)}, missing {sorted(missing)}")
+        self._frames = dict(frames)
 
-    def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+    def __getattr__(self, name: str) -> DataFrame:
+        frames = self.__dict__.get("_frames")
+        if frames is None or name not in frames:
+            raise AttributeError(name)
+        value = frames[name]
+        if not isinstance(value, DataFrame):
+            value = frames[name] = value()
+        return value
+
+    def items(self) -> list[tuple[str, DataFrame]]:
+        return [(name, getattr(self, name)) for name in TABLE_NAMES]
 
 
 def load_tables(spark: SparkSession, root: str, fmt: str = "parquet",
@@ -33,16 +48,19 @@ def load_tables(spark: SparkSession, root: str, fmt: str = "parquet",
     the StructType, so column pruning and filter pushdown reach the scan.
     """
     names = names or {}
-    frames = {}
-    for table, schema in SCHEMAS.items():
-        path = f"{root.rstrip('/')}/{names.get(table, table)}"
-        reader = spark.read.schema(schema)
-        if fmt == "csv":
-            reader = reader.option("header", "true")
-        for k, v in options.items():
-            reader = reader.option(k, v)
-        frames[table] = reader.format(fmt).load(path)
-    return Tables(**frames)
+
+    def loader(table: str) -> Callable[[], DataFrame]:
+        def load() -> DataFrame:
+            path = f"{root.rstrip('/')}/{names.get(table, table)}"
+            reader = spark.read.schema(SCHEMAS[table])
+            if fmt == "csv":
+                reader = reader.option("header", "true")
+            for k, v in options.items():
+                reader = reader.option(k, v)
+            return reader.format(fmt).load(path)
+        return load
+
+    return Tables(**{table: loader(table) for table in TABLE_NAMES})
 
 
 def write_results(results: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
