@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
@@ -64,16 +64,25 @@ def pct(part, whole, dp: int) -> Column:
     return round_dp(F.try_divide(F.lit(100.0) * as_double(part), as_double(whole)), dp)
 
 
-def share_of_total(df: DataFrame, num: str, out: str, dp: int,
-                   total_from: DataFrame | None = None) -> DataFrame:
-    """Add ``out`` = ROUND(100 * num / SUM(num over all rows), dp).
+def share_of_total(df: DataFrame, num: str, out: str, dp: int) -> DataFrame:
+    """Add ``out`` = ROUND(100 * num / SUM(num) OVER (), dp) to a grouped result.
 
-    The total is a one-row aggregate joined back by broadcast (a single row is
-    a proven size bound), so no window ever funnels the rows into one task.
-    ``total_from`` takes the denominator from a different (larger) frame.
+    For small results only (one row per state, category, status, score ...):
+    the total is a window over the grouped rows themselves, so the plan adds
+    a single tiny exchange and never re-runs the aggregation below it. A
+    following ``orderBy`` then needs no further exchange either.
     """
-    src = total_from if total_from is not None else df
-    total = src.agg(F.sum(num).alias("__share_total"))
-    return (df.crossJoin(F.broadcast(total))
+    total = F.sum(num).over(Window.partitionBy())
+    return df.withColumn(out, pct(F.col(num), total, dp))
+
+
+def share_of_external_total(df: DataFrame, num: str, out: str, dp: int,
+                            total: DataFrame, total_col: str) -> DataFrame:
+    """Like ``share_of_total`` with the denominator from a one-row frame.
+
+    A single row is a proven broadcast bound; used when ``df`` holds only a
+    few rows of a large population (for example a top-n list).
+    """
+    return (df.crossJoin(F.broadcast(total.select(F.col(total_col).alias("__share_total"))))
             .withColumn(out, pct(F.col(num), F.col("__share_total"), dp))
             .drop("__share_total"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.expr import (
-    as_double, avg_of, count_rows, round_dp, share_of_total, trunc_days,
+    as_double, avg_of, count_rows, round_dp, share_of_external_total, share_of_total, trunc_days,
 )
 from souk.functions.labels import (
     RFM_AT_RISK, RFM_CHAMPIONS, RFM_LOST, RFM_LOYAL, RFM_PROMISING, SEG_LOYAL, SEG_ONE_TIME,
@@ -19,6 +19,7 @@ from souk.functions.labels import (
 )
 from souk.functions.ntile import ntile_distributed
 from souk.operators.common import delivered_order_rows, person_orders
+from souk.session import ensure_checkpoint_dir
 from souk.sources.tables import Tables
 
 DEFAULT_AS_OF = "2018-10-01"
@@ -118,15 +119,21 @@ def cust_top_ranked(t: Tables, n: int = 20) -> DataFrame:
     RANK of a row only depends on the rows above it, so taking the top n by
     (spend desc, id) first and ranking those few rows is equal and scales.
     City/state are those of the person's smallest customer_id.
+
+    The per-person frame feeds both the top-n and the grand total; it is
+    checkpointed once to the shared checkpoint folder so the joins below it
+    run once (and a lost executor does not re-run them).
     """
+    ensure_checkpoint_dir(t.orders.sparkSession)
     rows = delivered_order_rows(t, with_customer=True)
     people = rows.groupBy("customer_unique_id").agg(
         F.min_by(F.struct("customer_city", "customer_state"), F.col("customer_id")).alias("loc"),
         F.countDistinct("order_id").alias("total_orders"),
-        F.round(F.sum("order_total"), 2).alias("total_spent"))
+        F.round(F.sum("order_total"), 2).alias("total_spent")).checkpoint(eager=True)
+    total = people.agg(F.sum("total_spent").alias("total"))
     top = people.orderBy(F.desc("total_spent"), "customer_unique_id").limit(n)
     ranked = top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("total_spent"))).cast("long"))
-    ranked = share_of_total(ranked, "total_spent", "pct_of_revenue", 4, total_from=people)
+    ranked = share_of_external_total(ranked, "total_spent", "pct_of_revenue", 4, total, "total")
     return (ranked.select(
         "rank", "customer_unique_id",
         F.col("loc.customer_city").alias("customer_city"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from souk.functions.expr import as_double, avg_of, count_rows, round_dp, share_of_total
 from souk.functions.labels import QUARTERS, WEEKDAYS
 from souk.operators.common import (
-    PURCHASE_TS, delivered_order_rows, delivered_orders, product_categories,
+    PURCHASE_TS, delivered_order_rows, delivered_orders, order_totals, product_categories,
 )
 from souk.sources.tables import Tables
 
@@ -21,39 +21,37 @@ def _money(c) -> F.Column:
 def _snapshot(t: Tables, weighted: bool) -> DataFrame:
     """Shared body of both snapshot forms.
 
-    Items are aggregated once to (order, seller) grain; order totals and the
-    seller list both come from that frame. ``weighted`` reproduces the
-    original query, which joins order totals back to the item rows so every
-    order's totals count once per item: sum(x * n_items), and the average is
-    item-weighted. Algebraically equal, without the item-level fan-out join.
+    Two item aggregates, each shuffled once after map-side partial
+    aggregation: order totals (order grain, joined to delivered orders) and
+    distinct (order, seller) pairs (semi-joined to delivered order ids for the
+    seller count). Each yields one row; the two rows are cross-joined.
+
+    ``weighted`` reproduces the original query, which joins order totals back
+    to the item rows so every order's totals count once per item: sums become
+    sum(x * n_items) and the average is item-weighted. Same numbers, without
+    the item-level fan-out join. Unweighted counts each order row once.
     """
-    pairs = t.order_items.groupBy("order_id", "seller_id").agg(
-        F.sum("price").alias("p"), F.sum("freight_value").alias("f"),
-        F.sum(F.col("price") + F.col("freight_value")).alias("tot"),
-        count_rows().alias("n"))
-    per_order = pairs.groupBy("order_id").agg(
-        F.sum("p").alias("p"), F.sum("f").alias("f"), F.sum("tot").alias("tot"),
-        F.sum("n").alias("n"))
     orders = delivered_orders(t).select("order_id", "customer_id")
-    rows = orders.join(per_order, "order_id")
-    w = F.col("n") if weighted else F.lit(1)
+    rows = orders.join(order_totals(t.order_items), "order_id")
+    w = F.col("n_items") if weighted else F.lit(1)
     money = rows.agg(
         F.countDistinct("order_id").alias("total_orders"),
-        F.sum(F.col("p") * w).alias("sp"), F.sum(F.col("f") * w).alias("sf"),
-        F.sum(F.col("tot") * w).alias("st"),
-        F.sum(F.when(F.col("tot").isNotNull(), w)).alias("cnt"))
-    customers = rows.select("customer_id").distinct().agg(
-        F.count("customer_id").alias("unique_customers"))
-    sellers = (pairs.select("order_id", "seller_id").join(orders.select("order_id"), "order_id")
-               .select("seller_id").distinct().agg(F.count("seller_id").alias("active_sellers")))
-    return (money.crossJoin(customers).crossJoin(sellers).select(
+        F.countDistinct("customer_id").alias("unique_customers"),
+        F.sum(F.col("product_amount") * w).alias("sp"),
+        F.sum(F.col("freight_amount") * w).alias("sf"),
+        F.sum(F.col("order_total") * w).alias("st"),
+        F.sum(F.when(F.col("order_total").isNotNull(), w)).alias("cnt"))
+    sellers = (t.order_items.select("order_id", "seller_id").distinct()
+               .join(orders.select("order_id"), "order_id", "left_semi")
+               .agg(F.countDistinct("seller_id").alias("active_sellers")))
+    return money.crossJoin(sellers).select(
         "total_orders", "unique_customers", "active_sellers",
         _money(F.col("sp")).alias("product_revenue"),
         _money(F.col("sf")).alias("freight_revenue"),
         _money(F.col("st")).alias("total_revenue"),
         round_dp(F.try_divide(as_double("st"), F.col("cnt")), 2).alias("average_order_value"),
         round_dp(F.try_divide(as_double("sf"), as_double("sp")) * F.lit(100.0), 2)
-        .alias("freight_share_pct")))
+        .alias("freight_share_pct"))
 
 
 def kpi_snapshot(t: Tables) -> DataFrame:
