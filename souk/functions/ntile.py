@@ -4,9 +4,9 @@
 Here the rows are range-partitioned on the full sort key (value plus a unique
 tie-break column, so even one hot value spreads over many partitions),
 sorted inside each partition and numbered by ``monotonically_increasing_id``
-(partition index in the high bits, position in the low 33 bits). The frame is
-checkpointed to the shared checkpoint folder so the numbering is fixed before
-the per-partition counts are taken. A prefix sum over the partition counts
+(partition index in the high bits, position in the low 33 bits). The numbered
+frame is checkpointed once to the shared checkpoint folder (``materialize``),
+so the per-partition counts and the rows come from the same fixed data. A prefix sum over the partition counts
 (one row per partition: a proven broadcast bound) turns local positions into
 global 0-based row numbers r, and with n rows, q = n div k, m = n mod k:
 
@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.session import ensure_checkpoint_dir
+from souk.session import materialize
 
 _POS_BITS = 33
 
@@ -40,13 +40,11 @@ def ntile_distributed(df: DataFrame, k: int, order: Sequence, out: str,
     element is a column name (ascending, NULLs first) or a sort Column.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     keys = _sort_cols(order)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = (df.repartitionByRange(n_parts, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("__rid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    ranked = materialize(df.repartitionByRange(n_parts, *keys)
+                         .sortWithinPartitions(*keys)
+                         .withColumn("__rid", F.monotonically_increasing_id()), "ntile")
     pid = F.shiftright(F.col("__rid"), _POS_BITS)
     pos = F.col("__rid").bitwiseAND((1 << _POS_BITS) - 1)
 

@@ -19,7 +19,7 @@ from souk.functions.labels import (
 )
 from souk.functions.ntile import ntile_distributed
 from souk.operators.common import delivered_order_rows, person_orders
-from souk.session import ensure_checkpoint_dir
+from souk.session import materialize
 from souk.sources.tables import Tables
 
 DEFAULT_AS_OF = "2018-10-01"
@@ -121,15 +121,14 @@ def cust_top_ranked(t: Tables, n: int = 20) -> DataFrame:
     City/state are those of the person's smallest customer_id.
 
     The per-person frame feeds both the top-n and the grand total; it is
-    checkpointed once to the shared checkpoint folder so the joins below it
-    run once (and a lost executor does not re-run them).
+    checkpointed once to the shared checkpoint folder so the joins below it run
+    once (and a lost executor does not re-run them).
     """
-    ensure_checkpoint_dir(t.orders.sparkSession)
     rows = delivered_order_rows(t, with_customer=True)
-    people = rows.groupBy("customer_unique_id").agg(
+    people = materialize(rows.groupBy("customer_unique_id").agg(
         F.min_by(F.struct("customer_city", "customer_state"), F.col("customer_id")).alias("loc"),
         F.countDistinct("order_id").alias("total_orders"),
-        F.round(F.sum("order_total"), 2).alias("total_spent")).checkpoint(eager=True)
+        F.round(F.sum("order_total"), 2).alias("total_spent")), "people")
     total = people.agg(F.sum("total_spent").alias("total"))
     top = people.orderBy(F.desc("total_spent"), "customer_unique_id").limit(n)
     ranked = top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("total_spent"))).cast("long"))
