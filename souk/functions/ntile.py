@@ -6,11 +6,14 @@ tie-break column, so even one hot value spreads over many partitions),
 sorted inside each partition and numbered by ``monotonically_increasing_id``
 (partition index in the high bits, position in the low 33 bits). The numbered
 frame is checkpointed once to the shared checkpoint folder (``materialize``),
-so the per-partition counts and the rows come from the same fixed data. A prefix sum over the partition counts
-(one row per partition: a proven broadcast bound) turns local positions into
-global 0-based row numbers r, and with n rows, q = n div k, m = n mod k:
+so the per-partition counts and the rows come from the same fixed data.
 
-    tile = r div (q + 1) + 1              if r <  m * (q + 1)
+The counts are one number per partition (bounded by the partition count
+chosen here, not by the data), so they are collected and turned into a
+literal array of prefix offsets: global 0-based row number r = offset[p] +
+position. With n rows, q = n div k, m = n mod k:
+
+    tile = r div (q + 1) + 1                 if r <  m * (q + 1)
     tile = (r - m * (q + 1)) div q + m + 1   otherwise
 
 which is the SQL NTILE rule (the first n mod k tiles get one extra row).
@@ -19,8 +22,9 @@ which is the SQL NTILE rule (the first n mod k tiles get one extra row).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.session import materialize
@@ -48,23 +52,17 @@ def ntile_distributed(df: DataFrame, k: int, order: Sequence, out: str,
     pid = F.shiftright(F.col("__rid"), _POS_BITS)
     pos = F.col("__rid").bitwiseAND((1 << _POS_BITS) - 1)
 
-    counts = ranked.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias("__cnt"))
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding,
-                                                     Window.unboundedFollowing)
-    offsets = counts.select(
-        "__pid",
-        F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
-        F.sum("__cnt").over(everything).alias("__n"),
-    )
-
-    r = F.col("__off") + pos
-    n = F.col("__n")
-    q = F.floor(n / k).cast("long")
-    m = n - q * k
+    per_part = dict(ranked.groupBy(pid.alias("p")).agg(F.count(F.lit(1))).collect())
+    width = max(per_part, default=-1) + 1
+    counts = [per_part.get(i, 0) for i in range(width)]
+    offsets = [0, *accumulate(counts)][:width]
+    n = sum(counts)
+    q, m = divmod(n, k)
     big = m * (q + 1)
+
+    if width == 0:
+        return ranked.withColumn(out, F.lit(None).cast("long")).drop("__rid")
+    r = F.element_at(F.array(*[F.lit(o) for o in offsets]), (pid + 1).cast("int")) + pos
     tile = F.when(r < big, F.floor(r / (q + 1)) + 1).otherwise(
-        F.floor((r - big) / F.greatest(q, F.lit(1))) + m + 1)
-    return (ranked.join(F.broadcast(offsets), pid == F.col("__pid"))
-            .withColumn(out, tile.cast("long"))
-            .drop("__rid", "__pid", "__off", "__n"))
+        F.floor((r - big) / max(q, 1)) + m + 1)
+    return ranked.withColumn(out, tile.cast("long")).drop("__rid")
