@@ -28,11 +28,12 @@ def review_satisfaction(t: Tables) -> DataFrame:
 def order_categories(t: Tables) -> DataFrame:
     """Distinct (order_id, category) pairs.
 
-    Items are first reduced to distinct (order, product) pairs so repeated
-    units of one product never reach the product join.
+    One item-grain shuffle for the product join, then a de-duplication whose
+    map-side combine collapses each order to its few categories before the
+    (order, category) shuffle, so a hot order or product cannot pile up.
     """
-    pairs = t.order_items.select("order_id", "product_id").distinct()
-    return pairs.join(product_categories(t), "product_id").select("order_id", "category").distinct()
+    items = t.order_items.select("order_id", "product_id")
+    return items.join(product_categories(t), "product_id").select("order_id", "category").distinct()
 
 
 def _delivered_reviews(t: Tables) -> DataFrame:
