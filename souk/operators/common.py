@@ -1,6 +1,6 @@
 """Building blocks shared by several operators.
 
-The reference repeats these as CTEs; here they are DataFrame functions so the
+The original queries repeat these as CTEs; here they are DataFrame functions so the
 same plan fragment is written once. The expensive pattern everywhere is
 orders x items: items are always aggregated to order grain *before* they meet
 orders (partial aggregation runs map-side, so one hot order id collapses to a
@@ -54,7 +54,7 @@ def product_categories(t: Tables) -> DataFrame:
 def delivered_order_rows(t: Tables, with_customer: bool = False) -> DataFrame:
     """Delivered orders joined to their item totals: one row per order row.
 
-    Orders without items drop out (inner join), as in the reference.
+    Orders without items drop out (inner join), as in the original queries.
     """
     rows = (delivered_orders(t).select("order_id", "customer_id", PURCHASE_TS)
             .join(order_totals(t.order_items), "order_id"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.functions.expr import as_double, avg_of, count_rows, round_dp, share_of_total
+from souk.functions.expr import as_double, avg_of, round_dp, share_of_total
 from souk.functions.labels import QUARTERS, WEEKDAYS
 from souk.operators.common import (
     PURCHASE_TS, delivered_order_rows, delivered_orders, order_totals, product_categories,

@@ -1,4 +1,4 @@
-"""Reader for the public Olist e-commerce CSV export (one file per table).
+"""Reader for the public Brazilian marketplace CSV export (one file per table).
 
 The files carry more columns than the analyses use and hash-like string
 ids, so columns are picked by header name (never by position) and cast to
@@ -65,6 +65,6 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return df.select(*columns(table))
 
 
-def load_olist_csv(spark: SparkSession, root: str) -> Tables:
+def load_export_csv(spark: SparkSession, root: str) -> Tables:
     """The eight tables from a folder holding the public CSV files (lazily)."""
     return Tables(**{t: (lambda t=t: read_table(spark, root, t)) for t in FILES})

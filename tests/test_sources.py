@@ -1,12 +1,13 @@
 """Sources and sinks: public-export CSV layout, generic CSV, result writer."""
 
+import glob
+import shutil
 import tempfile
 
 from pyspark.sql import functions as F
 
-from compare import compare
 from souk.plans.registry import run
-from souk.sources.olist import FILES, load_olist_csv
+from souk.sources.export_csv import FILES, load_export_csv
 from souk.sources.tables import load_tables, write_results
 
 # Extra columns of the public export that the analyses do not read.
@@ -35,15 +36,13 @@ def _as_export(tables, root):
         out = tempfile.mkdtemp(dir=root)
         (df.select(*cols).coalesce(1).write.mode("overwrite")
          .option("header", "true").option("escape", '"').csv(out))
-        import glob
-        import shutil
         shutil.move(glob.glob(f"{out}/part-*.csv")[0], f"{root}/{FILES[name]}")
 
 
 def test_public_csv_layout_gives_same_results(spark, tables):
-    root = tempfile.mkdtemp(prefix="souk-olist-")
+    root = tempfile.mkdtemp(prefix="souk-export-")
     _as_export(tables, root)
-    csv_tables = load_olist_csv(spark, root)
+    csv_tables = load_export_csv(spark, root)
     assert csv_tables.orders.schema["order_purchase_timestamp"].dataType.typeName() == "timestamp_ntz"
     for key in ["kpi_category_performance", "delivery_by_state", "review_by_category",
                 "cust_clv", "dq_price_sanity"]:
@@ -52,7 +51,7 @@ def test_public_csv_layout_gives_same_results(spark, tables):
         assert a == b, key
 
 
-def test_generic_csv_and_sink_round_trip(spark, tables, duck_fixture=None):
+def test_generic_csv_and_sink_round_trip(spark, tables):
     root = tempfile.mkdtemp(prefix="souk-csv-")
     for name, df in tables.items():
         df.write.option("header", "true").csv(f"{root}/{name}")
