@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -27,8 +28,14 @@ _prepared: dict[tuple[str, str], Tables] = {}
 
 
 def write_tables(tables: Tables, root: str, files: int) -> str:
-    for name, df in tables.items():
+    """Write every table under ``root``; the eight jobs are submitted
+    concurrently so small or single-file scans do not leave the cluster idle."""
+    def write(item):
+        name, df = item
         df.repartition(files).write.mode("overwrite").parquet(f"{root}/{name}")
+
+    with ThreadPoolExecutor(max_workers=len(tables.items())) as pool:
+        list(pool.map(write, tables.items()))
     return root
 
 
