@@ -28,13 +28,14 @@ _prepared: dict[tuple[str, str], Tables] = {}
 
 
 def write_tables(tables: Tables, root: str, files: int) -> str:
-    """Write every table under ``root``; the eight jobs are submitted
-    concurrently so small or single-file scans do not leave the cluster idle."""
+    """Write every table under ``root``; up to four jobs run concurrently so
+    small or single-file scans do not leave the cluster idle (bounded, so the
+    parquet writers' buffers stay within a default driver heap in local mode)."""
     def write(item):
         name, df = item
         df.repartition(files).write.mode("overwrite").parquet(f"{root}/{name}")
 
-    with ThreadPoolExecutor(max_workers=len(tables.items())) as pool:
+    with ThreadPoolExecutor(max_workers=4) as pool:
         list(pool.map(write, tables.items()))
     return root
 
