@@ -64,3 +64,13 @@ def test_generic_csv_and_sink_round_trip(spark, tables):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     counts = dict(spark.read.parquet(paths[1]).collect())
     assert counts["orders"] == tables.orders.count()
+
+
+def test_command_line_writes_results(spark, fixture_dir):
+    from souk.__main__ import main
+    out = tempfile.mkdtemp(prefix="souk-cli-")
+    paths = main(["--tables", fixture_dir, "--out", out,
+                  "--keys", "dq_scorecard,cust_rfm", "--as-of", "2021-01-01"], spark=spark)
+    assert [p.rsplit("/", 1)[1] for p in paths] == ["dq_scorecard", "cust_rfm"]
+    assert spark.read.parquet(paths[0]).count() == 3
+    assert spark.read.parquet(paths[1]).count() > 0
