@@ -15,7 +15,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from souk.plans.registry import OPERATORS, run
+from souk.plans.registry import OPERATORS, run_all
 from souk.session import BASE_CONF, ensure_checkpoint_dir
 from souk.sources.export_csv import load_export_csv
 from souk.sources.tables import load_tables, write_results
@@ -49,7 +49,7 @@ def main(argv=None, spark: SparkSession | None = None) -> list[str]:
     unknown = sorted(set(keys) - set(OPERATORS))
     if unknown:
         raise SystemExit(f"unknown keys: {', '.join(unknown)}")
-    results = {k: run(k, tables, as_of=args.as_of) for k in keys}
+    results = run_all(tables, as_of=args.as_of, keys=keys, reuse=len(keys) > 1)
     return write_results(results, args.out, fmt=args.format)
 
 

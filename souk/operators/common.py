@@ -36,12 +36,21 @@ def order_totals(items: DataFrame) -> DataFrame:
     )
 
 
+def order_totals_of(t: Tables) -> DataFrame:
+    """``order_totals`` of the bundle's items (shared between operators)."""
+    return t.shared("order_totals", lambda: order_totals(t.order_items))
+
+
 def product_categories(t: Tables) -> DataFrame:
     """product_id -> category = english name, else raw name, else 'Unknown'.
 
     products LEFT JOIN translation; the translation is a small dimension that
     AQE turns into a broadcast once its real size is measured.
     """
+    return t.shared("product_categories", lambda: _product_categories(t))
+
+
+def _product_categories(t: Tables) -> DataFrame:
     return (t.products.select("product_id", "product_category_name")
             .join(t.category_translation.select("product_category_name",
                                                 "product_category_name_english"),
@@ -56,13 +65,15 @@ def delivered_order_rows(t: Tables, with_customer: bool = False) -> DataFrame:
 
     Orders without items drop out (inner join), as in the original queries.
     """
-    rows = (delivered_orders(t).select("order_id", "customer_id", PURCHASE_TS)
-            .join(order_totals(t.order_items), "order_id"))
-    if with_customer:
-        rows = rows.join(t.customers.select("customer_id", "customer_unique_id",
-                                            "customer_city", "customer_state"),
-                         "customer_id")
-    return rows
+    def build() -> DataFrame:
+        rows = (delivered_orders(t).select("order_id", "customer_id", PURCHASE_TS)
+                .join(order_totals_of(t), "order_id"))
+        if with_customer:
+            rows = rows.join(t.customers.select("customer_id", "customer_unique_id",
+                                                "customer_city", "customer_state"),
+                             "customer_id")
+        return rows
+    return t.shared(f"delivered_rows_{int(with_customer)}", build)
 
 
 def person_orders(t: Tables) -> DataFrame:
@@ -71,10 +82,12 @@ def person_orders(t: Tables) -> DataFrame:
     total_orders = distinct orders, spent = exact sum of price + freight,
     first/last purchase timestamps and dates.
     """
-    rows = delivered_order_rows(t, with_customer=True)
-    return rows.groupBy("customer_unique_id").agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        F.round(F.sum("order_total"), 2).alias("total_spent"),
-        F.min(PURCHASE_TS).alias("first_ts"),
-        F.max(PURCHASE_TS).alias("last_ts"),
-    )
+    def build() -> DataFrame:
+        rows = delivered_order_rows(t, with_customer=True)
+        return rows.groupBy("customer_unique_id").agg(
+            F.countDistinct("order_id").alias("total_orders"),
+            F.round(F.sum("order_total"), 2).alias("total_spent"),
+            F.min(PURCHASE_TS).alias("first_ts"),
+            F.max(PURCHASE_TS).alias("last_ts"),
+        )
+    return t.shared("person_orders", build)

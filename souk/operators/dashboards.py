@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from souk.functions.expr import count_rows, share_of_total
 from souk.functions.labels import DELIVERED
-from souk.operators.common import PURCHASE_TS, order_totals
+from souk.operators.common import PURCHASE_TS, order_totals_of
 from souk.operators.customers import DEFAULT_AS_OF, cust_rfm_full
 from souk.operators.delivery import dash_delivery_distribution
 from souk.operators.kpis import kpi_category_performance
@@ -43,7 +43,7 @@ def dash_drilldown(t: Tables, statuses: Sequence[str] = (DELIVERED,),
     if end is not None:
         o = o.where(F.col(PURCHASE_TS) < F.to_timestamp_ntz(F.lit(end)))
     rows = (o.select("order_id", "customer_id")
-            .join(order_totals(t.order_items).select("order_id", "order_total"), "order_id")
+            .join(order_totals_of(t).select("order_id", "order_total"), "order_id")
             .join(t.customers.select("customer_id", "customer_state", "customer_city"),
                   "customer_id"))
     per_order = rows.groupBy("customer_state", "customer_city", "order_id").agg(

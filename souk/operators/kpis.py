@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from souk.functions.expr import as_double, avg_of, round_dp, share_of_total
 from souk.functions.labels import QUARTERS, WEEKDAYS
 from souk.operators.common import (
-    PURCHASE_TS, delivered_order_rows, delivered_orders, order_totals, product_categories,
+    PURCHASE_TS, delivered_order_rows, delivered_orders, order_totals_of, product_categories,
 )
 from souk.sources.tables import Tables
 
@@ -32,7 +32,7 @@ def _snapshot(t: Tables, weighted: bool) -> DataFrame:
     the item-level fan-out join. Unweighted counts each order row once.
     """
     orders = delivered_orders(t).select("order_id", "customer_id")
-    rows = orders.join(order_totals(t.order_items), "order_id")
+    rows = orders.join(order_totals_of(t), "order_id")
     w = F.col("n_items") if weighted else F.lit(1)
     money = rows.agg(
         F.countDistinct("order_id").alias("total_orders"),

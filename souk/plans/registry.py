@@ -69,5 +69,10 @@ def run(key: str, tables: Tables, as_of: str | None = None, **params) -> DataFra
     return op(tables, **params)
 
 
-def run_all(tables: Tables, as_of: str | None = None) -> dict[str, DataFrame]:
-    return {k: run(k, tables, as_of) for k in OPERATORS}
+def run_all(tables: Tables, as_of: str | None = None, keys=None,
+            reuse: bool = True) -> dict[str, DataFrame]:
+    """Several results at once. With ``reuse`` the shared building blocks
+    (order totals, delivered order rows, per-person aggregates) are
+    checkpointed once and read by every result instead of re-joined."""
+    t = tables.with_reuse() if reuse else tables
+    return {k: run(k, t, as_of) for k in (keys or OPERATORS)}

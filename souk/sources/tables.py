@@ -17,14 +17,35 @@ class Tables:
     Each value is a DataFrame or a zero-argument function returning one; a
     function is called on first access only, so an operator opens exactly the
     tables it reads (no file listing or footer reads for the others).
+
+    Building blocks that several operators share (order totals, delivered
+    order rows, per-person aggregates) go through ``shared``. With ``reuse``
+    on (``with_reuse()``, used when many results are produced together) each
+    is checkpointed once on first use, so the joins beneath it run once for
+    all results instead of once per result.
     """
 
-    def __init__(self, **frames: DataFrame | Callable[[], DataFrame]):
+    def __init__(self, reuse: bool = False, **frames: DataFrame | Callable[[], DataFrame]):
         unknown = set(frames) - set(TABLE_NAMES)
         missing = set(TABLE_NAMES) - set(frames)
         if unknown or missing:
             raise ValueError(f"tables: unknown {sorted(unknown)}, missing {sorted(missing)}")
         self._frames = dict(frames)
+        self._reuse = reuse
+        self._memo: dict[str, DataFrame] = {}
+
+    def with_reuse(self) -> Tables:
+        """Same tables; shared building blocks are materialized once."""
+        return Tables(reuse=True, **self._frames)
+
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._memo:
+            df = build()
+            if self._reuse:
+                from souk.session import materialize
+                df = materialize(df, name)
+            self._memo[name] = df
+        return self._memo[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         frames = self.__dict__.get("_frames")
