@@ -44,7 +44,7 @@ def _snapshot(t: Tables, weighted: bool) -> DataFrame:
     sellers = (t.order_items.select("order_id", "seller_id").distinct()
                .join(orders.select("order_id"), "order_id", "left_semi")
                .agg(F.countDistinct("seller_id").alias("active_sellers")))
-    return money.crossJoin(sellers).select(
+    return money.crossJoin(F.broadcast(sellers)).select(
         "total_orders", "unique_customers", "active_sellers",
         _money(F.col("sp")).alias("product_revenue"),
         _money(F.col("sf")).alias("freight_revenue"),
