@@ -34,3 +34,25 @@ def test_scan_is_pruned(tables):
     df = kpis.kpi_orders_by_hour(tables)
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "order_estimated_delivery_date" not in text.split("ReadSchema:")[-1]
+
+
+def test_no_cartesian_products_when_planned_for_large_data(spark, tables):
+    from souk.plans.oracle import AS_OF
+    from souk.plans.registry import OPERATORS, run
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for key in OPERATORS:
+            plan = _plan(run(key, tables, as_of=AS_OF))
+            assert "CartesianProduct" not in plan, key
+            assert "ntile(" not in plan.lower(), key
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
