@@ -23,8 +23,9 @@ def _snapshot(t: Tables, weighted: bool) -> DataFrame:
 
     Two item aggregates, each shuffled once after map-side partial
     aggregation: order totals (order grain, joined to delivered orders) and
-    distinct (order, seller) pairs (semi-joined to delivered order ids for the
-    seller count). Each yields one row; the two rows are cross-joined.
+    distinct (order, seller) pairs (semi-joined to distinct delivered order
+    ids for the seller count). Each yields one row; the two rows are
+    cross-joined.
 
     ``weighted`` reproduces the original query, which joins order totals back
     to the item rows so every order's totals count once per item: sums become
@@ -41,8 +42,10 @@ def _snapshot(t: Tables, weighted: bool) -> DataFrame:
         F.sum(F.col("freight_amount") * w).alias("sf"),
         F.sum(F.col("order_total") * w).alias("st"),
         F.sum(F.when(F.col("order_total").isNotNull(), w)).alias("cnt"))
+    # Right side de-duplicated: copies of one order id collapse map-side
+    # (AQE can only split the left side of a semi join).
     sellers = (t.order_items.select("order_id", "seller_id").distinct()
-               .join(orders.select("order_id"), "order_id", "left_semi")
+               .join(orders.select("order_id").distinct(), "order_id", "left_semi")
                .agg(F.countDistinct("seller_id").alias("active_sellers")))
     return money.crossJoin(F.broadcast(sellers)).select(
         "total_orders", "unique_customers", "active_sellers",

@@ -31,11 +31,13 @@ def duplicate_keys(df: DataFrame, keys: list[str], count_alias: str = "occurrenc
 def orphan_count(child: DataFrame, parent: DataFrame, key: str, alias: str) -> DataFrame:
     """Number of child rows whose ``key`` has no parent row (NULL keys count).
 
-    The child is first reduced to one row per key with its multiplicity, so
-    the anti join shuffles distinct keys only and a hot key cannot skew it.
+    Both sides are first reduced to one row per key (the child keeps its
+    multiplicity) by map-side partial aggregation, so the anti join shuffles
+    distinct keys only: a key copied into a third of either table cannot
+    skew it, and AQE could not split a hot key on the anti join's right side.
     """
     per_key = child.groupBy(key).agg(count_rows().alias("__n"))
-    missing = per_key.join(parent.select(key), key, "left_anti")
+    missing = per_key.join(parent.select(key).distinct(), key, "left_anti")
     return missing.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias(alias))
 
 

@@ -1,5 +1,5 @@
-"""Hot keys: one customer owns over a third of the orders and one order holds
-over a third of the items. With broadcasts off and AQE's skew thresholds
+"""Hot keys: one customer owns over a third of the orders, one order holds
+over a third of the items, and one order id is stored in 200 copies. With broadcasts off and AQE's skew thresholds
 lowered, the skew-join path really runs; results must still equal the DuckDB
 statements."""
 
@@ -27,7 +27,8 @@ SKEW_CONF = {
 
 KEYS = ["kpi_state_performance", "cust_top_cities", "cust_summary", "cust_top_ranked",
         "kpi_category_performance", "review_by_state", "delivery_by_state", "kpi_snapshot",
-        "dq_orphan_orders", "cust_rfm_full"]
+        "kpi_snapshot_order_grain", "dq_orphan_orders", "dq_scorecard", "dq_duplicate_orders",
+        "cust_rfm_full", "review_by_category"]
 
 
 def skewed_rows():
@@ -41,8 +42,9 @@ def skewed_rows():
         reviews.append((oid, oid, 1 + oid % 5))
         for j in range(1 + oid % 3):
             items.append((oid, 1 + (oid + j) % 9, 1 + j, D(f"{5 + oid % 50}.25"), D("1.10")))
-    for j in range(900):                                   # order 7 (delivered): hot order
+    for j in range(900):                                   # order 8 (delivered): hot order
         items.append((8, 1 + j % 9, 1 + j % 4, D("2.50"), D("0.10")))
+    orders.extend([orders[1]] * 200)                       # order 2: 201 stored copies
     customers = [(c, c - (c % 2 if c > 10 else 0), f"city{c % 5}", f"S{c % 3}") for c in range(1, 42)]
     products = [(p, f"cat{p % 4}" if p % 5 else None, 100, 10) for p in range(1, 10)]
     translation = [("cat1", "Cat One"), ("cat2", "Cat Two")]
