@@ -149,3 +149,28 @@ def test_shares_sum_to_100(tables):
 def test_fixture_rows_are_consistent():
     data = fixture.rows()
     assert len(data["orders"]) > 100 and len(data["order_items"]) > 100
+
+
+def test_bucket_counts_add_up(tables):
+    buckets = sum(r["orders"] for r in delivery.dash_delivery_distribution(tables).collect())
+    delivered = tables.orders.where(
+        "order_status = 'delivered' and order_delivered_customer_date is not null").count()
+    assert buckets == delivered
+
+
+def test_anti_join_count_is_left_minus_matched(tables):
+    orphans = quality.dq_orphan_orders(tables).first()[0]
+    matched = tables.orders.join(tables.customers.select("customer_id").distinct(),
+                                 "customer_id", "left_semi").count()
+    assert orphans == tables.orders.count() - matched
+
+
+def test_order_grain_totals_do_not_exceed_fan_out_totals(tables):
+    # holds for non-negative amounts: restrict to them
+    pos = Tables(**{name: df for name, df in tables.items()} | {
+        "order_items": tables.order_items.where("price >= 0 and freight_value >= 0")})
+    fan = kpis.kpi_snapshot(pos).first()
+    once = kpis.kpi_snapshot_order_grain(pos).first()
+    assert once["total_revenue"] <= fan["total_revenue"]
+    assert once["product_revenue"] <= fan["product_revenue"]
+    assert once["total_orders"] == fan["total_orders"]
