@@ -22,6 +22,8 @@ from souk.sources.tables import Tables
 # unique person id = custkey - 1 when custkey % 10 = 9; no category when p_size % 10 = 0;
 # no length when partkey % 50 = 0; 'Brand#13' has no translation, others read 'EN ' || brand.
 SECOND_REVIEW_ID_OFFSET = 1_000_000_000
+# RFM reference date for this data (orders end 2001-08-01).
+AS_OF = "2001-10-01"
 UNTRANSLATED_BRAND = "Brand#13"
 
 
