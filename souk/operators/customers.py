@@ -66,7 +66,17 @@ def cust_rfm_full(t: Tables, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     recency = whole days from the last purchase date to ``as_of``; scores are
     NTILE(3) over the whole population (recency inverted: 4 - tile), with the
     person id as tie-break so equal values split deterministically.
+
+    The NTILE passes run when the frame is built (each checkpoints its
+    numbering). When many results are produced together (``t.reusing``),
+    the finished table is shared by every RFM result.
     """
+    if t.reusing:
+        return t.shared(f"rfm_full_{as_of}", lambda: _rfm_full(t, as_of))
+    return _rfm_full(t, as_of)
+
+
+def _rfm_full(t: Tables, as_of: str) -> DataFrame:
     people = person_orders(t)
     base = people.select(
         "customer_unique_id",

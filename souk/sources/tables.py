@@ -34,6 +34,10 @@ class Tables:
         self._reuse = reuse
         self._memo: dict[str, DataFrame] = {}
 
+    @property
+    def reusing(self) -> bool:
+        return self._reuse
+
     def with_reuse(self) -> Tables:
         """Same tables; shared building blocks are materialized once."""
         return Tables(reuse=True, **self._frames)
