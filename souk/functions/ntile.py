@@ -62,7 +62,9 @@ def ntile_distributed(df: DataFrame, k: int, order: Sequence, out: str,
 
     if width == 0:
         return ranked.withColumn(out, F.lit(None).cast("long")).drop("__rid")
-    r = F.element_at(F.array(*[F.lit(o) for o in offsets]), (pid + 1).cast("int")) + pos
-    tile = F.when(r < big, F.floor(r / (q + 1)) + 1).otherwise(
-        F.floor((r - big) / max(q, 1)) + m + 1)
-    return ranked.withColumn(out, tile.cast("long")).drop("__rid")
+    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]), (pid + 1).cast("int"))
+    # Exact integer arithmetic (``div``), never a floating-point quotient.
+    tile = F.expr(f"CASE WHEN __r < {big} THEN __r div {q + 1} + 1 "
+                  f"ELSE (__r - {big}) div {max(q, 1)} + {m + 1} END")
+    return (ranked.withColumn("__r", (offset + pos).cast("long"))
+            .withColumn(out, tile.cast("long")).drop("__rid", "__r"))
