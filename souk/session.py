@@ -15,9 +15,6 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Coalesce to the advisory partition size rather than keeping parallelism
-    # (the setting recommended for busy clusters; fewer tiny tasks).
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     # Split hot join keys at runtime (one key may hold a large share of rows).
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
