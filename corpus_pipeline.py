@@ -8,16 +8,14 @@ last return the columns of ``documents`` in their order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from souk.llm import exact, packing, rules, secrets
-from souk.llm.common import save, sized, table, text_of
+from souk.llm import exact, packing, rules, secrets, simhash
+from souk.llm.common import save, table
 from souk.llm.queries import vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go. Counts and verdict follow from the text and the
-    stratum alone, so rejected rows are found by id and verdict, whatever ids repeat."""
+    """Documents that the rules reject go."""
     return rules.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,6 +24,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_copies(docs)
 
 
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id stays."""
+    return simhash.drop_near_copies(docs, shingle=3, radius=3)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the new text."""
     return secrets.redact_documents(docs, secrets.new_ledger(spark))
@@ -39,6 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_dedup),
     ("secret_scan", secret_scan),
     ("packing", pack),
 ]

@@ -23,16 +23,14 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from souk.llm.common import bounded_batches
+from souk.llm.common import map_texts
 
 # Fixed value: the pattern that splits a text before the merges of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -255,7 +253,7 @@ def vocabulary(spark: SparkSession, path: str):
 def encode_documents(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids binary, decoded string): the ids of every text as little-endian unsigned
     32-bit integers, and the text decoded from them. A map over the rows, without a shuffle."""
-    return _mapped(docs, vocab, id_col, text_col, "doc_id {id}, ids binary, decoded string", _ids_and_text)
+    return _mapped(docs, vocab, id_col, text_col, "ids binary, decoded string", _ids_and_text)
 
 
 def _ids_and_text(bpe: Bpe, texts: list[bytes]) -> list[pa.Array]:
@@ -266,7 +264,7 @@ def _ids_and_text(bpe: Bpe, texts: list[bytes]) -> list[pa.Array]:
 def digest_documents(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode_documents, with digests of ids and decoded text instead of these."""
     return _mapped(docs, vocab, id_col, text_col,
-                   "doc_id {id}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests)
+                   "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests)
 
 
 def _digests(bpe: Bpe, texts: list[bytes]) -> list[pa.Array]:
@@ -276,16 +274,6 @@ def _digests(bpe: Bpe, texts: list[bytes]) -> list[pa.Array]:
             pa.array([sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string())]
 
 
-def _mapped(docs: DataFrame, vocab: str, id_col: str, text_col: str, schema: str, make) -> DataFrame:
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    spec = vocabulary(spark, vocab)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec.value)
-        for b in batches:
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            cols = make(bpe, texts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], [n.split()[0] for n in schema.split(", ")])
-    return source.mapInArrow(run, schema.format(id=source.schema["doc_id"].dataType.simpleString()))
+def _mapped(docs: DataFrame, vocab: str, id_col: str, text_col: str, added: str, make) -> DataFrame:
+    spec = vocabulary(docs.sparkSession, vocab)
+    return map_texts(docs, text_col, {id_col: "doc_id"}, added, lambda texts: make(loaded(spec.value), texts))

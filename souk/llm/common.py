@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,21 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def map_texts(docs: DataFrame, text_col: str, keep: dict[str, str], added: str, make) -> DataFrame:
+    """The columns ``keep`` ({column: name in the result}) and those that ``make`` adds from
+    the texts, row by row, without a shuffle. ``make(texts)`` takes a list of texts in UTF-8
+    (null: empty) and returns Arrow arrays in the order of ``added`` ("name type, ...")."""
+    bounded_batches(docs.sparkSession)
+    source = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)),
+                         F.col(text_col).cast("string").alias("text"))
+    kinds = [source.schema[i].dataType.simpleString() for i in range(len(keep))]
+    names = [*(f"k{i}" for i in range(len(keep))), *(c.split()[0] for c in added.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *make(texts)], names)
+    out = source.mapInArrow(run, ", ".join([*(f"k{i} {k}" for i, k in enumerate(kinds)), added]))
+    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep.values())})

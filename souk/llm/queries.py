@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bpe, chat, exact, packing, rules, secrets
+from souk.llm import bpe, chat, exact, packing, rules, secrets, simhash
 from souk.llm.common import table
 
 # The vocabulary the contracts name; its place is found on the driver and its content is
@@ -45,6 +45,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents"), secrets.new_ledger(spark)))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -55,5 +59,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }

@@ -21,13 +21,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import bounded_batches, save, sized
+from souk.llm.common import map_texts, save, sized
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper")
 SYMBOLS = b"#*$%&|<>"  # fixed values: the symbols that are counted
@@ -62,23 +61,14 @@ def counts_of(text: bytes) -> tuple[int, ...]:
     return n, chars, symbols, len(lines) - len(set(lines)), again, len(lines), marks, upper
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the columns ``keep``, the counts) for every row of ``docs``."""
-    bounded_batches(docs.sparkSession)
-    extra = [F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)]
-    source = docs.select(F.col(id_col).alias("doc_id"), *extra, F.col(text_col).cast("string").alias("text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text"]
+def _count_columns(texts: list[bytes]) -> list[pa.Array]:
+    rows = [counts_of(t) for t in texts]
+    return [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            rows = [counts_of(t or b"") for t in texts]
-            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]
-            kept = [b.column(i) for i, name in enumerate(b.schema.names) if name != "text"]
-            names = [name for name in b.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, *cols], [*names, *COUNTS])
-    out = source.mapInArrow(run, ", ".join([*kinds, *(f"{c} bigint" for c in COUNTS)]))
-    return out.withColumnsRenamed({f"k_{i}": c for i, c in enumerate(keep)})
+
+def features(docs: DataFrame, keep: dict[str, str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` ({column: new name}) and the counts for every row of ``docs``."""
+    return map_texts(docs, text_col, keep, ", ".join(f"{c} bigint" for c in COUNTS), _count_columns)
 
 
 def metrics() -> dict[str, Column]:
@@ -162,20 +152,47 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          stratum_col: str | None = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Counts, base_failed and kept for every row of ``docs``. Strata are the values of
-    ``stratum_col`` (null: the stratum ''); without it all rows are one stratum."""
-    feats = features(docs, id_col, text_col, (stratum_col,) if stratum_col else ())
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("")
-    feats = save(feats.select("doc_id", *COUNTS, stratum.alias("stratum"), base_failed().alias("base_failed")), "rule-features")
-    known = labels.groupBy(F.col(labels.columns[0]).alias("doc_id")).agg(
+def _stratum(name: str | None) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name else F.lit("")
+
+
+def learn(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Cutoffs (a row for each stratum with labels) from rows (doc_id, stratum, counts) and
+    labels (doc_id, quality)."""
+    known = labels.groupBy("doc_id").agg(
         F.min(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good")).filter("doc_id IS NOT NULL")
-    holdout = feats.filter("NOT base_failed").join(known, "doc_id")
-    limits = save(cutoffs(holdout, risk, delta), "rule-cutoffs")
-    # One row for each stratum that has labels.
-    rows = feats.join(sized(limits, 10_000), "stratum", "left")
+    return save(cutoffs(feats.filter(~base_failed()).join(known, "doc_id"), risk, delta), "rule-cutoffs")
+
+
+def verdicts(feats: DataFrame, limits: DataFrame) -> DataFrame:
+    """``feats`` with base_failed and kept; ``limits`` has one row for each stratum."""
     over = F.lit(False)
     for m, c in metrics().items():
         over = over | F.coalesce(F.ceil(c * STEPS) >= F.col(m), F.lit(False))
-    return rows.select("doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & ~over).alias("kept"), "stratum")
+    return (feats.join(sized(limits, 10_000), "stratum", "left").withColumn("base_failed", base_failed())
+            .withColumn("kept", ~F.col("base_failed") & ~over).drop(*metrics()))
+
+
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          stratum_col: str | None = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Counts, base_failed and kept for every row of ``docs``. Strata are the values of
+    ``stratum_col`` (null: the stratum ''); without it all rows are one stratum."""
+    source = docs.select(F.col(id_col).alias("doc_id"), _stratum(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    feats = save(features(source, {"doc_id": "doc_id", "stratum": "stratum"}), "rule-features")
+    return verdicts(feats, learn(feats, labels, risk, delta)).select(
+        "doc_id", *COUNTS[:5], "base_failed", "kept", "stratum")
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     stratum_col: str | None = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The kept rows of ``docs``, columns as they are. Cutoffs are learned on the labelled
+    rows; the verdict is found beside each row, so nothing but cutoffs is joined."""
+    source = docs.select(F.col(id_col).alias("doc_id"), _stratum(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    ids = save(labels.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "rule-labelled")
+    limits = learn(features(source.join(sized(ids), "doc_id", "left_semi"), {"doc_id": "doc_id", "stratum": "stratum"}),
+                   labels, risk, delta)
+    keep = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    feats = features(docs, keep, text_col)
+    stratum = _stratum(keep[stratum_col] if stratum_col else None)
+    out = verdicts(feats.withColumn("stratum", stratum), limits).filter("kept")
+    return out.select(*(F.col(n).alias(c) for c, n in keep.items()))

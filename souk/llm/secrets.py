@@ -183,3 +183,21 @@ def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
                         F.when(piece.isNotNull(), F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
     return F.aggregate(ordered(findings), start, step,
                        lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text))))
+
+
+def redact_documents(docs: DataFrame, ledger: str, rules=RULES, id_col: str = "doc_id", text_col: str = "text",
+                     length_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with secrets replaced by a mark and ``length_col``, if there, following the
+    new text. Findings belong to a text, so they are joined by its address."""
+    found = save(scan(docs, ledger, rules, id_col, text_col).filter(F.size("findings") > 0)
+                 .select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings")).dropDuplicates(["__blob"]),
+                 "secret-found")
+    blob = F.unhex(F.sha2(text_of(text_col), 256))
+    out = docs.join(sized(found, 50_000), blob == F.col("__blob"), "left")
+    new = F.when(F.col("__findings").isNull(), F.col(text_col)).otherwise(redacted(text_of(text_col), F.col("__findings")))
+    out = out.withColumn("__text", new)
+    cols = {text_col: F.col("__text")}
+    if length_col in docs.columns:
+        cols[length_col] = F.when(F.col("__findings").isNull(), F.col(length_col)).otherwise(
+            F.length("__text").cast(docs.schema[length_col].dataType))
+    return out.select(*(cols.get(c, F.col(c)).alias(c) for c in docs.columns))
