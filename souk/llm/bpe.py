@@ -30,11 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm.common import map_texts
+from souk.llm.common import Memo, map_texts
 
 # Fixed value: the pattern that splits a text before the merges of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 500_000  # entries of a cache of a worker, about 200 bytes each
 
 
 def byte_letters() -> dict[str, int]:
@@ -89,9 +88,9 @@ class Bpe:
         for t in ids:
             if len(t) > 3:
                 self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 0))
-        self.fits = _Cache(self._fits, lambda key: True)
-        self.pieces = _Cache(self._piece, lambda key: len(key) <= 40)
-        self.after_space = _Cache(lambda w: self._fragment(b" " + w), lambda key: len(key) <= 40)
+        self.fits = Memo(self._fits, lambda key: True)
+        self.pieces = Memo(self._piece, lambda key: len(key) <= 40)
+        self.after_space = Memo(lambda w: self._fragment(b" " + w), lambda key: len(key) <= 40)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether two tokens may stand side by side: no merge over their border comes
@@ -214,26 +213,6 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I"))).decode(errors="replace")
 
 
-class _Cache(dict):
-    """Results by key, as far as ``keep`` allows; of two generations the older is dropped
-    when the younger is full, so that frequent keys stay."""
-
-    def __init__(self, make, keep):
-        super().__init__()
-        self.make, self.keep, self.old = make, keep, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if self.keep(key):
-            if len(self) >= CACHE // 2:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 @lru_cache(2)
 def loaded(spec: bytes) -> Bpe:
     """One encoder for each worker process and vocabulary; its cache lives as long."""

@@ -15,6 +15,9 @@ from souk.session import ensure_checkpoint_dir
 # (rows are a few longs or one short digest wide: at most some tens of MB).
 BROADCAST_ROWS = 500_000
 
+# Entries of a worker's memo of results by word or fragment, about 200 bytes each.
+MEMO = 500_000
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder, removed when the application ends."""
@@ -73,3 +76,23 @@ def map_texts(docs: DataFrame, text_col: str, keep: dict[str, str], added: str,
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *make(texts)], names)
     out = source.mapInArrow(run, ", ".join([*(f"k{i} {k}" for i, k in enumerate(kinds)), added]))
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep.values())})
+
+
+class Memo(dict):
+    """Results by key, as far as ``keep`` allows; of two generations the older is dropped
+    when the younger is full, so that frequent keys stay."""
+
+    def __init__(self, make, keep):
+        super().__init__()
+        self.make, self.keep, self.old = make, keep, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if self.keep(key):
+            if len(self) >= MEMO // 2:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
