@@ -16,7 +16,7 @@ from collections import Counter
 
 from souk.plans.registry import OPERATORS, run
 from souk.session import build_session
-from souk.sources.tpch import prepared_from_tpch
+from souk.sources.tpch import from_tpch
 
 LARGE = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -46,7 +46,7 @@ def summarize(plan: str) -> dict[str, str]:
 
 def main(sf_dir: str) -> None:
     spark = build_session(extra=LARGE)
-    t = prepared_from_tpch(spark, sf_dir)
+    t = from_tpch(spark, sf_dir)
     print("# PLANS — physical plan per operator (large-data planning)\n")
     print(__doc__.split("\n\n", 2)[2].strip() + "\n")
     print("| key | exchanges | joins | join types | windows | expand | columns read |")

@@ -1,7 +1,8 @@
 """Explicit schemas of the eight logical marketplace tables.
 
-The types are chosen (no DDL exists upstream): ids are BIGINT, money is
-DECIMAL(18,2) so sums are exact, timestamps carry no zone.
+The types are chosen (no DDL exists upstream): money is DECIMAL(18,2) so sums are
+exact, timestamps carry no zone. Ids are BIGINT here; a stored table may have ids of
+another type, which is kept (see ``souk.sources.tables``).
 """
 
 from pyspark.sql import types as T

@@ -1,70 +1,33 @@
 """Reader for the public Brazilian marketplace CSV export (one file per table).
 
-The files carry more columns than the analyses use and hash-like string
-ids, so columns are picked by header name (never by position) and cast to
-the logical types: timestamps without zone, money DECIMAL(18,2), scores and
-sizes INT. Ids stay strings; no operator depends on the id type.
+The files carry more columns than the analyses use and hash-like string ids;
+``souk.sources.tables.typed`` picks columns by header name and casts them. Only
+the reviews hold quoted line breaks, so only that file is read as a whole by one
+task: convert it to Parquet once (``write_results``) where it is large. The other
+files are split among tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-from souk.schema import MONEY
-from souk.sources.tables import Tables
+from souk.sources.tables import Tables, load_tables
 
-# File names of the public export.
+# How the file names of the public export end; what stands before is
+# the publisher's name.
 FILES = {
-    "orders": "olist_orders_dataset.csv",
-    "order_items": "olist_order_items_dataset.csv",
-    "order_payments": "olist_order_payments_dataset.csv",
-    "order_reviews": "olist_order_reviews_dataset.csv",
-    "customers": "olist_customers_dataset.csv",
-    "sellers": "olist_sellers_dataset.csv",
-    "products": "olist_products_dataset.csv",
+    "orders": "*_orders_dataset.csv",
+    "order_items": "*_order_items_dataset.csv",
+    "order_payments": "*_order_payments_dataset.csv",
+    "order_reviews": "*_order_reviews_dataset.csv",
+    "customers": "*_customers_dataset.csv",
+    "sellers": "*_sellers_dataset.csv",
+    "products": "*_products_dataset.csv",
     "category_translation": "product_category_name_translation.csv",
 }
 
 
-def _ts(name: str) -> Column:
-    return F.to_timestamp_ntz(F.col(name)).alias(name)
-
-
-def _int(name: str) -> Column:
-    return F.col(name).cast("double").cast("int").alias(name)
-
-
-def columns(table: str) -> list:
-    """Columns picked from each file, by header name, with their casts."""
-    picks = {
-        "orders": ["order_id", "customer_id", "order_status", _ts("order_purchase_timestamp"),
-                   _ts("order_delivered_customer_date"), _ts("order_estimated_delivery_date")],
-        "order_items": ["order_id", "product_id", "seller_id",
-                        F.col("price").cast(MONEY).alias("price"),
-                        F.col("freight_value").cast(MONEY).alias("freight_value")],
-        "order_payments": ["order_id", F.col("payment_value").cast(MONEY).alias("payment_value")],
-        "order_reviews": ["review_id", "order_id", _int("review_score")],
-        "customers": ["customer_id", "customer_unique_id", "customer_city", "customer_state"],
-        "sellers": ["seller_id"],
-        "products": ["product_id", "product_category_name", _int("product_weight_g"),
-                     _int("product_length_cm")],
-        "category_translation": ["product_category_name", "product_category_name_english"],
-    }
-    return picks[table]
-
-
-def _reader(spark: SparkSession):
-    # Review comments contain quoted line breaks.
-    return (spark.read.option("header", "true").option("multiLine", "true")
-            .option("escape", '"').option("mode", "FAILFAST"))
-
-
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    df = _reader(spark).csv(f"{root.rstrip('/')}/{FILES[table]}")
-    return df.select(*columns(table))
-
-
 def load_export_csv(spark: SparkSession, root: str) -> Tables:
     """The eight tables from a folder holding the public CSV files (lazily)."""
-    return Tables(**{t: (lambda t=t: read_table(spark, root, t)) for t in FILES})
+    return load_tables(spark, root, fmt="csv", names=FILES, escape='"',
+                       options_of={"order_reviews": {"multiLine": "true"}})

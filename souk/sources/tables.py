@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souk.schema import SCHEMAS
 
@@ -64,25 +66,71 @@ class Tables:
         return [(name, getattr(self, name)) for name in TABLE_NAMES]
 
 
-def load_tables(spark: SparkSession, root: str, fmt: str = "parquet",
-                names: dict[str, str] | None = None, **options) -> Tables:
-    """Read the eight tables from ``root/<name>`` with their fixed schemas.
+class IdKinds:
+    """The type each id has in the tables opened so far: both sides of a key must agree."""
+
+    def __init__(self) -> None:
+        self._seen: dict[str, tuple[str, str]] = {}
+
+    def check(self, table: str, name: str, kind: T.DataType) -> None:
+        first, where = self._seen.setdefault(name, (kind.simpleString(), table))
+        if first != kind.simpleString():
+            raise ValueError(f"{name} is {kind.simpleString()} in {table} but {first} in {where}")
+
+
+def typed(df: DataFrame, table: str, kinds: IdKinds | None = None) -> DataFrame:
+    """The logical columns of ``table`` from a stored frame, picked by name.
 
-    ``names`` maps a logical table to a different file or folder name (for
-    example the public CSV export names). No schema inference: the reader gets
-    the StructType, so column pruning and filter pushdown reach the scan.
+    Ids keep their stored type (whole numbers become BIGINT); other columns are
+    cast to the logical type, and a value that does not cast fails the job
+    instead of turning into NULL. A missing column is an error.
+    """
+    missing = [f.name for f in SCHEMAS[table] if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{table}: missing columns {missing}; there are {df.columns}")
+    cols = []
+    for field in SCHEMAS[table]:
+        stored, c = df.schema[field.name].dataType, F.col(field.name)
+        if field.name.endswith("_id"):
+            kind = T.LongType() if isinstance(stored, T.IntegralType) else stored
+            if kinds is not None:
+                kinds.check(table, field.name, kind)
+            cols.append(c.cast(kind).alias(field.name) if kind != stored else c)
+        elif stored == field.dataType:
+            cols.append(c)
+        else:
+            cols.append(_strict(c, field).alias(field.name))
+    return df.select(*cols)
+
+
+def _strict(c: Column, field: T.StructField) -> Column:
+    value = c.try_cast("double") if isinstance(field.dataType, T.IntegerType) else c
+    value = value.try_cast(field.dataType)
+    wrong = F.raise_error(F.concat(F.lit(f"{field.name}: not a {field.dataType.simpleString()}: "), c.cast("string")))
+    return F.when(c.isNull() | value.isNotNull(), value).otherwise(wrong.cast(field.dataType))
+
+
+def load_tables(spark: SparkSession, root: str, fmt: str = "parquet",
+                names: dict[str, str] | None = None, options_of: dict[str, dict] | None = None,
+                **options) -> Tables:
+    """Read the eight tables from ``root/<name>``; see ``typed`` for the columns.
+
+    ``names`` maps a logical table to a different file, folder or path pattern,
+    ``options_of`` gives one table reader options of its own. CSV files are read
+    by their header, as strings. Casts aside, filters and the choice of columns
+    reach the scan.
     """
-    names = names or {}
+    names, options_of, kinds = names or {}, options_of or {}, IdKinds()
 
     def loader(table: str) -> Callable[[], DataFrame]:
         def load() -> DataFrame:
-            path = f"{root.rstrip('/')}/{names.get(table, table)}"
-            reader = spark.read.schema(SCHEMAS[table])
+            reader = spark.read
             if fmt == "csv":
-                reader = reader.option("header", "true")
-            for k, v in options.items():
+                reader = reader.option("header", "true").option("mode", "FAILFAST")
+            for k, v in {**options, **options_of.get(table, {})}.items():
                 reader = reader.option(k, v)
-            return reader.format(fmt).load(path)
+            return typed(reader.format(fmt).load(f"{root.rstrip('/')}/{names.get(table, table)}"),
+                         table, kinds)
         return load
 
     return Tables(**{table: loader(table) for table in TABLE_NAMES})

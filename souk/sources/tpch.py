@@ -149,9 +149,3 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
         category_translation=lambda: category_translation_view(raw("part")),
     )
 
-
-def prepared_from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
-    """The marketplace tables of ``sf_dir``, derived and written once per
-    application (see ``souk.sources.store``), then read from parquet."""
-    from souk.sources.store import prepared
-    return prepared(spark, sf_dir, lambda: from_tpch(spark, sf_dir))

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from compare import compare, duck
+from souk.plans.registry import OPERATORS
 
 SF001 = "/root/testdata/sf0.01"
 
@@ -19,7 +20,20 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(OPERATORS) == set(E.oracle_sql()) - set(E.LLM_ORACLE)
+    assert set(E.queries()) == set(OPERATORS) | set(E.LLM_QUERIES)
+
+
+def test_query_opens_only_its_tables_and_writes_nothing(spark, monkeypatch):
+    from souk.sources import tpch
+    opened = []
+    read = tpch._read
+    monkeypatch.setattr(tpch, "_read", lambda s, d, name: opened.append(name) or read(s, d, name))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = sorted(os.listdir(folder)) if os.path.isdir(folder) else []
+    E.queries()["dq_null_products"](spark, SF001).collect()
+    assert opened == ["part"]
+    assert (sorted(os.listdir(folder)) if os.path.isdir(folder) else []) == before
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +43,7 @@ def con():
     return duck(SF001)
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(OPERATORS))
 def test_sf001_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF001)
     assert compare(df, con, E.oracle_sql()[key]) == []

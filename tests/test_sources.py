@@ -6,7 +6,10 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from souk.plans.registry import run
+import pytest
+
+from souk.plans.oracle import AS_OF
+from souk.plans.registry import OPERATORS, run
 from souk.sources.export_csv import FILES, load_export_csv
 from souk.sources.tables import load_tables, write_results
 
@@ -36,7 +39,7 @@ def _as_export(tables, root):
         out = tempfile.mkdtemp(dir=root)
         (df.select(*cols).coalesce(1).write.mode("overwrite")
          .option("header", "true").option("escape", '"').csv(out))
-        shutil.move(glob.glob(f"{out}/part-*.csv")[0], f"{root}/{FILES[name]}")
+        shutil.move(glob.glob(f"{out}/part-*.csv")[0], f"{root}/{FILES[name].replace('*', 'market')}")
 
 
 def test_public_csv_layout_gives_same_results(spark, tables):
@@ -74,3 +77,74 @@ def test_command_line_writes_results(spark, fixture_dir):
     assert [p.rsplit("/", 1)[1] for p in paths] == ["dq_scorecard", "cust_rfm"]
     assert spark.read.parquet(paths[0]).count() == 3
     assert spark.read.parquet(paths[1]).count() > 0
+
+
+ITEMS = "product_id,order_item_id,price,order_id,freight_value,seller_id\n"
+
+
+def _file(text):
+    root = tempfile.mkdtemp(prefix="souk-rows-")
+    with open(f"{root}/order_items", "w") as f:
+        f.write(text)
+    return root
+
+
+def test_csv_is_read_by_header(spark):
+    root = _file(ITEMS + "p7,1,10.50,ab12,2.25,s3\n")
+    rows = load_tables(spark, root, fmt="csv").order_items.collect()
+    assert [tuple(map(str, r)) for r in rows] == [("ab12", "p7", "s3", "10.50", "2.25")]
+
+
+def test_missing_column_and_bad_value_fail(spark):
+    with pytest.raises(ValueError, match="missing columns .*seller_id"):
+        load_tables(spark, _file("order_id,product_id,price,freight_value\n1,2,3,4\n"), fmt="csv").order_items  # noqa: B018
+    with pytest.raises(Exception, match="price: not a decimal"):
+        load_tables(spark, _file(ITEMS + "p7,1,ten,ab12,2.25,s3\n"), fmt="csv").order_items.collect()
+    empty = load_tables(spark, _file(ITEMS + "p7,1,,ab12,2.25,s3\n"), fmt="csv").order_items.first()
+    assert empty["price"] is None
+
+
+def test_ids_of_two_types_fail(spark, tables):
+    root = tempfile.mkdtemp(prefix="souk-ids-")
+    for name, df in tables.items():
+        if name == "orders":
+            df = df.withColumn("order_id", F.col("order_id").cast("string"))
+        df.write.parquet(f"{root}/{name}")
+    with pytest.raises(ValueError, match="order_id is"):
+        run("kpi_snapshot", load_tables(spark, root))
+
+
+def test_large_csv_is_split(spark):
+    root = _file(ITEMS + "p7,1,10.50,ab12,2.25,s3\n" * 5000)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "4096")
+        import os
+        os.rename(f"{root}/order_items", f"{root}/market_order_items_dataset.csv")
+        assert load_export_csv(spark, root).order_items.rdd.getNumPartitions() > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.fixture(scope="module")
+def string_ids(spark, tables):
+    """The fixture with hash-like string ids, stored as Parquet with columns out of order."""
+    root = tempfile.mkdtemp(prefix="souk-string-ids-")
+    for name, df in tables.items():
+        cols = [F.concat(F.lit("k"), F.lpad(F.col(c).cast("string"), 12, "0")).alias(c) if c.endswith("_id") else F.col(c)
+                for c in reversed(df.columns)]
+        df.select(F.lit("extra").alias("note"), *cols).coalesce(1).write.parquet(f"{root}/{name}")
+    return load_tables(spark, root)
+
+
+@pytest.mark.parametrize("key", sorted(OPERATORS))
+def test_string_ids_give_the_same_results(tables, string_ids, key):
+    """The padded strings sort as the numbers do, so ties break alike."""
+    def rows(t):
+        out = []
+        for r in run(key, t, as_of=AS_OF).collect():
+            out.append(tuple(int(v[1:]) if isinstance(v, str) and v[:1] == "k" and v[1:].isdigit() else v for v in r))
+        return sorted(out, key=str)
+    assert rows(string_ids) == rows(tables)
