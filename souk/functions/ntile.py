@@ -1,70 +1,99 @@
 """Exact NTILE(k) over a whole table without a single-partition window.
 
-``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task.
-Here the rows are range-partitioned on the full sort key (value plus a unique
-tie-break column, so even one hot value spreads over many partitions),
-sorted inside each partition and numbered by ``monotonically_increasing_id``
-(partition index in the high bits, position in the low 33 bits). The numbered
-frame is checkpointed once to the shared checkpoint folder (``materialize``),
-so the per-partition counts and the rows come from the same fixed data.
-
-The counts are one number per partition (bounded by the partition count
-chosen here, not by the data), so they are collected and turned into a
-literal array of prefix offsets: global 0-based row number r = offset[p] +
-position. With n rows, q = n div k, m = n mod k:
-
-    tile = r div (q + 1) + 1                 if r <  m * (q + 1)
-    tile = (r - m * (q + 1)) div q + m + 1   otherwise
-
-which is the SQL NTILE rule (the first n mod k tiles get one extra row).
+``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task,
+and numbering all rows sorts the table once for each score. But k tiles need
+only the k - 1 rows that end a tile: NTILE gives the first n mod k tiles
+n div k + 1 rows and the others n div k, so the ranks of these rows are known,
+and a row's tile follows from comparing its key with theirs.
+
+``cut_keys`` finds the keys at given ranks exactly, by narrowing: up to
+``PIVOTS`` rows of the range, drawn by a hash, split it into parts that one
+aggregation counts, and the part that holds the rank is the next range. Keys are
+(value, id), so a hot value is split by its ids. A range of at most ``SMALL``
+rows is collected and sorted. Each step is one scan with a few counters; no row
+is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.session import materialize
-
-_POS_BITS = 33
-
-
-def _sort_cols(order: Sequence) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in order]
-
-
-def ntile_distributed(df: DataFrame, k: int, order: Sequence, out: str,
-                      partitions: int | None = None) -> DataFrame:
-    """Return ``df`` plus ``out`` = NTILE(k) OVER (ORDER BY order...).
-
-    ``order`` must make the ordering total (end it with a unique key); each
-    element is a column name (ascending, NULLs first) or a sort Column.
-    """
-    spark = df.sparkSession
-    keys = _sort_cols(order)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = materialize(df.repartitionByRange(n_parts, *keys)
-                         .sortWithinPartitions(*keys)
-                         .withColumn("__rid", F.monotonically_increasing_id()), "ntile")
-    pid = F.shiftright(F.col("__rid"), _POS_BITS)
-    pos = F.col("__rid").bitwiseAND((1 << _POS_BITS) - 1)
-
-    per_part = dict(ranked.groupBy(pid.alias("p")).agg(F.count(F.lit(1))).collect())
-    width = max(per_part, default=-1) + 1
-    counts = [per_part.get(i, 0) for i in range(width)]
-    offsets = [0, *accumulate(counts)][:width]
-    n = sum(counts)
-    q, m = divmod(n, k)
-    big = m * (q + 1)
-
-    if width == 0:
-        return ranked.withColumn(out, F.lit(None).cast("long")).drop("__rid")
-    offset = F.element_at(F.array(*[F.lit(o) for o in offsets]), (pid + 1).cast("int"))
-    # Exact integer arithmetic (``div``), never a floating-point quotient.
-    tile = F.expr(f"CASE WHEN __r < {big} THEN __r div {q + 1} + 1 "
-                  f"ELSE (__r - {big}) div {max(q, 1)} + {m + 1} END")
-    return (ranked.withColumn("__r", (offset + pos).cast("long"))
-            .withColumn(out, tile.cast("long")).drop("__rid", "__r"))
+PIVOTS = 64
+SMALL = 20_000
+
+
+def _order(key: tuple) -> tuple:
+    """NULLs first, as in an ascending sort."""
+    return tuple((x is not None, x) for x in key)
+
+
+def cut_keys(df: DataFrame, value: str, id_col: str, ranks: list[int], n: int,
+             small: int = SMALL, pivots: int = PIVOTS) -> list[tuple]:
+    """The keys (value, id) at the 1-based ``ranks`` of the n rows, ordered by value
+    (NULLs first) and id."""
+    rows = df.select(F.struct(F.col(value), F.col(id_col)).alias("key"))
+    kinds = [df.schema[value].dataType, df.schema[id_col].dataType]
+
+    def literal(key: tuple) -> Column:
+        return F.struct(*(F.lit(x).cast(kind).alias(name) for x, kind, name in zip(key, kinds, (value, id_col))))
+
+    def within(low: tuple | None, high: tuple | None) -> DataFrame:
+        part = rows
+        if low is not None:
+            part = part.where(F.col("key") > literal(low))
+        return part if high is None else part.where(F.col("key") <= literal(high))
+
+    out: list[tuple] = []
+    held: tuple | None = None  # the last small range and its sorted keys
+    for rank in ranks:
+        low, high, below, upto = None, None, 0, n
+        while upto - below > small:
+            drawn = within(low, high).orderBy(F.xxhash64("key"), "key").limit(pivots).collect()
+            tries = sorted({tuple(r["key"]) for r in drawn}, key=_order)
+            counts = within(low, high).agg(*(c for i, p in enumerate(tries) for c in (
+                F.count_if(F.col("key") < literal(p)).alias(f"l{i}"),
+                F.count_if(F.col("key") <= literal(p)).alias(f"u{i}")))).first()
+            start = below
+            for i, p in enumerate(tries):
+                less, most = start + counts[2 * i], start + counts[2 * i + 1]
+                if most < rank:
+                    low, below = p, most
+                elif less < rank:  # the rank is this key's
+                    low = high = p
+                    below, upto = rank - 1, rank
+                    break
+                else:
+                    high, upto = p, less
+                    break
+            if low == high and low is not None:
+                break
+        if low == high and low is not None:
+            out.append(low)
+            continue
+        if held is None or held[0] != (low, high):
+            keys = sorted((tuple(r["key"]) for r in within(low, high).collect()), key=_order)
+            held = ((low, high), keys)
+        out.append(held[1][rank - below - 1])
+    return out
+
+
+def ntile_by_cuts(df: DataFrame, k: int, id_col: str, scores: dict[str, str], **sizes) -> DataFrame:
+    """``df`` plus, for each {value column: name}, NTILE(k) OVER (ORDER BY value, id).
+
+    ``id_col`` must be unique; ``df`` should be a written frame, as it is scanned
+    a few times."""
+    n = df.count()
+    ranks = list(accumulate(n // k + (i < n % k) for i in range(k - 1)))
+    ranks = [r for r in ranks if 0 < r < n]
+    for value, out in scores.items():
+        key = F.struct(F.col(value), F.col(id_col))
+        tile = F.lit(1)
+        for cut in cut_keys(df, value, id_col, ranks, n, **sizes):
+            at = F.struct(F.lit(cut[0]).cast(df.schema[value].dataType).alias(value),
+                          F.lit(cut[1]).cast(df.schema[id_col].dataType).alias(id_col))
+            tile = tile + F.when(key > at, 1).otherwise(0)
+        df = df.withColumn(out, tile.cast("long"))
+    return df

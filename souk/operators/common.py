@@ -65,22 +65,21 @@ def delivered_order_rows(t: Tables, with_customer: bool = False) -> DataFrame:
 
     Orders without items drop out (inner join), as in the original queries.
     """
-    def build() -> DataFrame:
-        rows = (delivered_orders(t).select("order_id", "customer_id", PURCHASE_TS)
-                .join(order_totals_of(t), "order_id"))
-        if with_customer:
-            rows = rows.join(t.customers.select("customer_id", "customer_unique_id",
-                                                "customer_city", "customer_state"),
-                             "customer_id")
+    rows = t.shared("delivered_rows", lambda: delivered_orders(t).select(
+        "order_id", "customer_id", PURCHASE_TS).join(order_totals_of(t), "order_id"))
+    if not with_customer:
         return rows
-    return t.shared(f"delivered_rows_{int(with_customer)}", build)
+    return t.shared("delivered_customer_rows", lambda: rows.join(
+        t.customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state"),
+        "customer_id"))
 
 
 def person_orders(t: Tables) -> DataFrame:
     """Per person (customer_unique_id) over delivered orders with items.
 
     total_orders = distinct orders, spent = exact sum of price + freight,
-    first/last purchase timestamps and dates.
+    first/last purchase timestamps, first_customer_id = the least of the person's
+    customer ids.
     """
     def build() -> DataFrame:
         rows = delivered_order_rows(t, with_customer=True)
@@ -89,5 +88,6 @@ def person_orders(t: Tables) -> DataFrame:
             F.round(F.sum("order_total"), 2).alias("total_spent"),
             F.min(PURCHASE_TS).alias("first_ts"),
             F.max(PURCHASE_TS).alias("last_ts"),
+            F.min("customer_id").alias("first_customer_id"),
         )
     return t.shared("person_orders", build)

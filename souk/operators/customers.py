@@ -17,7 +17,7 @@ from souk.functions.labels import (
     RFM_AT_RISK, RFM_CHAMPIONS, RFM_LOST, RFM_LOYAL, RFM_PROMISING, SEG_LOYAL, SEG_ONE_TIME,
     SEG_TWO,
 )
-from souk.functions.ntile import ntile_distributed
+from souk.functions.ntile import ntile_by_cuts
 from souk.operators.common import delivered_order_rows, person_orders
 from souk.session import materialize
 from souk.sources.tables import Tables
@@ -67,9 +67,10 @@ def cust_rfm_full(t: Tables, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     NTILE(3) over the whole population (recency inverted: 4 - tile), with the
     person id as tie-break so equal values split deterministically.
 
-    The NTILE passes run when the frame is built (each checkpoints its
-    numbering). When many results are produced together (``t.reusing``),
-    the finished table is shared by every RFM result.
+    The per-person frame is written when the table is built, and the rows at
+    which each score changes are found in it; the scores are comparisons with
+    these rows. When many results are produced together (``t.reusing``), the
+    finished table is shared by every RFM result.
     """
     if t.reusing:
         return t.shared(f"rfm_full_{as_of}", lambda: _rfm_full(t, as_of))
@@ -83,9 +84,8 @@ def _rfm_full(t: Tables, as_of: str) -> DataFrame:
         F.datediff(F.to_date(F.lit(as_of)), F.to_date("last_ts")).cast("long").alias("recency_days"),
         F.col("total_orders").alias("frequency"),
         F.col("total_spent").alias("monetary"))
-    scored = ntile_distributed(base, 3, ["recency_days", "customer_unique_id"], "r_tile")
-    scored = ntile_distributed(scored, 3, ["frequency", "customer_unique_id"], "f_score")
-    scored = ntile_distributed(scored, 3, ["monetary", "customer_unique_id"], "m_score")
+    scored = ntile_by_cuts(materialize(base), 3, "customer_unique_id", {
+        "recency_days": "r_tile", "frequency": "f_score", "monetary": "m_score"})
     r = (F.lit(4) - F.col("r_tile")).cast("long")
     total = r + F.col("f_score") + F.col("m_score")
     return scored.select(
@@ -128,22 +128,24 @@ def cust_top_ranked(t: Tables, n: int = 20) -> DataFrame:
     The original ranks every person in one window and then keeps n rows.
     RANK of a row only depends on the rows above it, so taking the top n by
     (spend desc, id) first and ranking those few rows is equal and scales.
-    City/state are those of the person's smallest customer_id.
+    City/state are those of the person's smallest customer_id, looked up for the
+    top n only.
 
-    The per-person frame feeds both the top-n and the grand total; it is
-    checkpointed once to the shared checkpoint folder so the joins below it run
-    once (and a lost executor does not re-run them).
+    The per-person frame feeds both the top-n and the grand total, so it is
+    written once; a bundle that produces many results shares it with them.
     """
-    rows = delivered_order_rows(t, with_customer=True)
-    people = materialize(rows.groupBy("customer_unique_id").agg(
-        F.min_by(F.struct("customer_city", "customer_state"), F.col("customer_id")).alias("loc"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.round(F.sum("order_total"), 2).alias("total_spent")), "people")
+    people = person_orders(t) if t.reusing else materialize(
+        person_orders(t).select("customer_unique_id", "first_customer_id", "total_orders", "total_spent"))
     total = people.agg(F.sum("total_spent").alias("total"))
     top = people.orderBy(F.desc("total_spent"), "customer_unique_id").limit(n)
     ranked = top.withColumn("rank", F.rank().over(Window.orderBy(F.desc("total_spent"))).cast("long"))
     ranked = share_of_external_total(ranked, "total_spent", "pct_of_revenue", 4, total, "total")
-    return (ranked.select(
+    # n rows at most on this side.
+    found = (t.customers.join(F.broadcast(top.select(F.col("first_customer_id").alias("customer_id"))),
+                              "customer_id", "left_semi")
+             .groupBy(F.col("customer_id").alias("first_customer_id"))
+             .agg(F.min(F.struct("customer_city", "customer_state")).alias("loc")))
+    return (ranked.join(F.broadcast(found), "first_customer_id").select(
         "rank", "customer_unique_id",
         F.col("loc.customer_city").alias("customer_city"),
         F.col("loc.customer_state").alias("customer_state"),

@@ -48,8 +48,14 @@ def dash_drilldown(t: Tables, statuses: Sequence[str] = (DELIVERED,),
                   "customer_id"))
     per_order = rows.groupBy("customer_state", "customer_city", "order_id").agg(
         F.sum("order_total").alias("order_total"))
-    return (per_order.rollup("customer_state", "customer_city").agg(
-        F.grouping_id().cast("long").alias("grouping_level"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.round(F.sum("order_total"), 2).cast("double").alias("revenue"))
-        .orderBy("grouping_level", "customer_state", "customer_city"))
+    figures = [F.countDistinct("order_id").alias("total_orders"),
+               F.round(F.sum("order_total"), 2).cast("double").alias("revenue")]
+    # The grand total is an aggregate of its own: it has a row on empty input too.
+    levels = (per_order.rollup("customer_state", "customer_city")
+              .agg(F.grouping_id().cast("long").alias("grouping_level"), *figures)
+              .where(F.col("grouping_level") < 3))
+    nothing = F.lit(None).cast("string")
+    total = per_order.agg(*figures).select(
+        nothing.alias("customer_state"), nothing.alias("customer_city"),
+        F.lit(3).cast("long").alias("grouping_level"), "total_orders", "revenue")
+    return levels.unionByName(total).orderBy("grouping_level", "customer_state", "customer_city")

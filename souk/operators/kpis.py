@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from souk.functions.expr import as_double, avg_of, round_dp, share_of_total
 from souk.functions.labels import QUARTERS, WEEKDAYS
 from souk.operators.common import (
-    PURCHASE_TS, delivered_order_rows, delivered_orders, order_totals_of, product_categories,
+    PURCHASE_TS, delivered_order_rows, delivered_orders, product_categories,
 )
 from souk.sources.tables import Tables
 
@@ -21,33 +21,35 @@ def _money(c) -> F.Column:
 def _snapshot(t: Tables, weighted: bool) -> DataFrame:
     """Shared body of both snapshot forms.
 
-    Two item aggregates, each shuffled once after map-side partial
-    aggregation: order totals (order grain, joined to delivered orders) and
-    distinct (order, seller) pairs (semi-joined to distinct delivered order
-    ids for the seller count). Each yields one row; the two rows are
-    cross-joined.
+    One pass over the items gives a row for each (order, seller) with sums and
+    a count; a hot order is one row for each of its sellers from there on. A
+    window over the order adds the order's sums to these rows, and one of them
+    (``first``) carries them into the result, while all of them carry sellers.
 
     ``weighted`` reproduces the original query, which joins order totals back
     to the item rows so every order's totals count once per item: sums become
     sum(x * n_items) and the average is item-weighted. Same numbers, without
     the item-level fan-out join. Unweighted counts each order row once.
     """
-    orders = delivered_orders(t).select("order_id", "customer_id")
-    rows = orders.join(order_totals_of(t), "order_id")
-    w = F.col("n_items") if weighted else F.lit(1)
-    money = rows.agg(
+    pairs = t.order_items.groupBy("order_id", "seller_id").agg(
+        F.sum("price").alias("p"), F.sum("freight_value").alias("f"),
+        F.sum(F.col("price") + F.col("freight_value")).alias("o"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("order_id")
+    pairs = pairs.select(
+        "order_id", "seller_id", F.sum("p").over(order).alias("product_amount"),
+        F.sum("f").over(order).alias("freight_amount"), F.sum("o").over(order).alias("order_total"),
+        F.sum("n").over(order).alias("n_items"),
+        (F.row_number().over(order.orderBy("seller_id")) == 1).alias("first"))
+    rows = pairs.join(delivered_orders(t).select("order_id", "customer_id"), "order_id")
+    w = F.when(F.col("first"), F.col("n_items") if weighted else F.lit(1))
+    return rows.agg(
         F.countDistinct("order_id").alias("total_orders"),
         F.countDistinct("customer_id").alias("unique_customers"),
+        F.countDistinct("seller_id").alias("active_sellers"),
         F.sum(F.col("product_amount") * w).alias("sp"),
         F.sum(F.col("freight_amount") * w).alias("sf"),
         F.sum(F.col("order_total") * w).alias("st"),
-        F.sum(F.when(F.col("order_total").isNotNull(), w)).alias("cnt"))
-    # Right side de-duplicated: copies of one order id collapse map-side
-    # (AQE can only split the left side of a semi join).
-    sellers = (t.order_items.select("order_id", "seller_id").distinct()
-               .join(orders.select("order_id").distinct(), "order_id", "left_semi")
-               .agg(F.countDistinct("seller_id").alias("active_sellers")))
-    return money.crossJoin(F.broadcast(sellers)).select(
+        F.sum(F.when(F.col("order_total").isNotNull(), w)).alias("cnt")).select(
         "total_orders", "unique_customers", "active_sellers",
         _money(F.col("sp")).alias("product_revenue"),
         _money(F.col("sf")).alias("freight_revenue"),
@@ -87,9 +89,8 @@ def kpi_monthly_trend(t: Tables) -> DataFrame:
 
 def kpi_quarterly(t: Tables) -> DataFrame:
     ts = F.col(PURCHASE_TS)
-    month = F.month(ts)
-    quarter = (F.when(month.between(1, 3), QUARTERS[0]).when(month.between(4, 6), QUARTERS[1])
-               .when(month.between(7, 9), QUARTERS[2]).otherwise(QUARTERS[3]))
+    # A row without a timestamp belongs to the last quarter, as in the original.
+    quarter = F.element_at(F.array(*map(F.lit, QUARTERS)), F.coalesce(F.quarter(ts), F.lit(4)))
     rows = delivered_order_rows(t).select(
         F.date_format(ts, "yyyy").alias("year"), quarter.alias("quarter"),
         "order_id", "order_total")
@@ -126,14 +127,18 @@ def category_sales(t: Tables) -> DataFrame:
 
 
 def kpi_category_performance(t: Tables) -> DataFrame:
+    return t.shared("category_performance", lambda: _category_performance(t)).orderBy(
+        F.desc("product_revenue"), "category")
+
+
+def _category_performance(t: Tables) -> DataFrame:
     g = category_sales(t).groupBy("category").agg(
         F.countDistinct("order_id").alias("total_orders"),
         F.sum("price").alias("rev"),
         avg_of("price").alias("avg_price"))
     return (share_of_total(g, "rev", "revenue_share_pct", 2).select(
         "category", "total_orders", _money(F.col("rev")).alias("product_revenue"),
-        round_dp("avg_price", 2).alias("average_item_price"), "revenue_share_pct")
-        .orderBy(F.desc("product_revenue"), "category"))
+        round_dp("avg_price", 2).alias("average_item_price"), "revenue_share_pct"))
 
 
 def kpi_state_performance(t: Tables) -> DataFrame:

@@ -26,13 +26,14 @@ def review_satisfaction(t: Tables) -> DataFrame:
 
 
 def order_categories(t: Tables) -> DataFrame:
-    """Distinct (order_id, category) pairs.
+    """Distinct (order_id, category) pairs of delivered orders.
 
-    One item-grain shuffle for the product join, then a de-duplication whose
-    map-side combine collapses each order to its few categories before the
-    (order, category) shuffle, so a hot order or product cannot pile up.
+    Items of other orders drop out first, so only what is kept meets the
+    products; the de-duplication's map-side combine collapses each order to its
+    few categories before its shuffle, so a hot order or product cannot pile up.
     """
-    items = t.order_items.select("order_id", "product_id")
+    items = (t.order_items.select("order_id", "product_id")
+             .join(delivered_orders(t).select("order_id").distinct(), "order_id", "left_semi"))
     return items.join(product_categories(t), "product_id").select("order_id", "category").distinct()
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. Shuffle partition count is left to the caller:
@@ -62,19 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str = "tmp") -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: reliably checkpoint ``df`` into the shared checkpoint folder.
 
-    The frame is persisted first, so the eager checkpoint computes the plan
-    once (its count job fills the cache, the checkpoint write reads it), and
-    the cache is dropped again afterwards. The checkpointed rows are fixed:
-    every later reader sees identical data, and executor loss re-reads the
-    files instead of re-running the plan. (Measured faster than writing a
-    parquet table, whose commit protocol dominates on small frames.)
+    The plan runs once and its rows are stored once. They are fixed from then
+    on: every later reader sees identical data, and executor loss re-reads the
+    files instead of re-running the plan.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    return df.checkpoint(eager=True)

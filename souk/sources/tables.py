@@ -49,7 +49,7 @@ class Tables:
             df = build()
             if self._reuse:
                 from souk.session import materialize
-                df = materialize(df, name)
+                df = materialize(df)
             self._memo[name] = df
         return self._memo[name]
 

@@ -1,6 +1,6 @@
 """Physical-plan properties that matter at scale."""
 
-from souk.operators import customers, kpis, quality
+from souk.operators import common, customers, kpis, quality, reviews
 
 
 def _plan(df) -> str:
@@ -19,6 +19,27 @@ def test_top_ranked_ranks_after_limit(tables):
     assert "TakeOrderedAndProject(limit=20" in lines[window + 1]
 
 
+def test_top_ranked_looks_up_places_for_the_top_only(spark, tables):
+    lines = _plan(customers.cust_top_ranked(tables, n=20))
+    assert "SortAggregate" not in _plan(common.person_orders(tables))
+    assert "Scan ExistingRDD" in lines or "ExistingRDD" in lines or "FileScan parquet" in lines
+
+
+def test_snapshot_scans_items_once(spark, fixture_dir):
+    from souk.sources.tables import load_tables
+    plan = _plan(kpis.kpi_snapshot(load_tables(spark, fixture_dir)))
+    scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "freight_value" in x]
+    assert len(scans) == 1
+    assert sum("order_items" in x for x in plan.splitlines() if "FileScan" in x) == 1
+
+
+def test_review_by_category_drops_undelivered_items_first(tables):
+    """The semi-join with delivered orders stands below the join with products."""
+    plan = reviews.order_categories(tables)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda text: min(len(x) - len(x.lstrip(" :+-")) for x in plan if text in x)
+    assert depth("Join LeftSemi") > depth("Join Inner")
+
+
 def test_orphans_use_anti_join(tables):
     assert "LeftAnti" in _plan(quality.dq_orphan_orders(tables))
     assert "LeftAnti" in _plan(quality.dq_scorecard(tables))
