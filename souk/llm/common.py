@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ MEMO = 500_000
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder, removed when the application ends."""
+    ready(spark)
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/llm/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -48,9 +50,19 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def ready(spark: SparkSession) -> None:
+    """Let Python workers import this package where it lies in the same folder as on the
+    driver but isn't installed (a local session); on a cluster it is installed or shipped."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of at most ``rows`` rows, so that one batch of very long
     texts still fits a Python worker."""
+    ready(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Memo, map_texts
+from souk.llm.common import Memo, map_texts, ready
 
 SAMPLE = 2500  # labelled documents of each class to fit on, at most
 BUCKETS = 1 << 18
@@ -154,6 +154,7 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[float, np.ndarray]:
     """A model fitted, in one task, on at most ``sample`` labelled rows of each class that
     aren't held out, those with the least hashes of their ids."""
+    ready(docs.sparkSession)
     known = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
