@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import save, sized, text_of
+from souk.llm.common import numbered, save, sized, text_of
 
 # Keys in a bucket before it splits: some tens of MB of index rows.
 BUCKET_KEYS = 250_000
@@ -120,18 +120,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the rows that are not kept; columns as they are."""
     groups = save(exact_groups(docs, id_col, text_col, **options), "exact-groups")
     gone = save(groups.filter("NOT kept").select(
-        F.col("doc_id").alias("__id"), "text_sha256", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("again"))
+        F.col("doc_id").alias("id"), "text_sha256", F.col("keep_id").eqNullSafe(F.col("doc_id")).alias("again"))
         .distinct(), "exact-gone")
-    sha = F.sha2(text_of(text_col), 256)
-    lost = sized(gone.filter("NOT again"))
-    kept = docs.join(lost, docs[id_col].eqNullSafe(lost["__id"]) & (sha == lost["text_sha256"]), "left_anti")
+    rows, name = numbered(docs)
+    same = F.col(name[id_col]).eqNullSafe(F.col("id")) & (F.sha2(text_of(name[text_col]), 256) == F.col("text_sha256"))
+    kept = rows.join(sized(gone.filter("NOT again")), same, "left_anti")
     again = gone.filter("again")
     if again.count() == 0:
-        return kept
+        return kept.toDF(*docs.columns)
     # Repeated rows of a kept document: one of them stays.
-    both = sized(again)
-    match = docs[id_col].eqNullSafe(both["__id"]) & (sha == both["text_sha256"])
-    single = kept.join(both, match, "left_anti")
-    first = (kept.join(both, match, "left_semi").withColumn("__sha", sha)
-             .dropDuplicates([id_col, "__sha"]).drop("__sha"))
-    return single.unionByName(first)
+    single = kept.join(sized(again), same, "left_anti")
+    first = (kept.join(sized(again), same, "left_semi").withColumn("sha", F.sha2(text_of(name[text_col]), 256))
+             .dropDuplicates([name[id_col], "sha"]).drop("sha"))
+    return single.unionByName(first).toDF(*docs.columns)

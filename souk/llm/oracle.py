@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from souk.llm.rules import DELTA, RISK, STEPS
 from souk.llm.secrets import BASE, RULES
 
 OP2 = r"""
@@ -60,8 +61,69 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
 
 
+def _op6() -> str:
+    """Counts, then cutoffs: a cutoff is safe if so few good holdouts beyond it are unlikely
+    (at most delta over the number of tests) were the share at the limit; the safe ones
+    reach from the mildest to the first that isn't."""
+    whole = {"symbols": "least(n_symbols / words, 1.0)", "marks": "least(n_marks / words, 1.0)",
+             "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / words", "capitals": "n_upper / words",
+             "long_words": "least(greatest(word_chars / words - 5, 0.0) / 15, 1.0)",
+             "short_words": "least(greatest(5 - word_chars / words, 0.0) / 5, 1.0)"}
+    limit = f"(CAST({RISK} AS DOUBLE) / {len(whole)})"
+    cells = ", ".join(f"{{'metric': '{m}', 'cell': CAST(ceil(CAST({x} AS DOUBLE) * {STEPS}) AS INT)}}" for m, x in whole.items())
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word,
+             generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS pos FROM d),
+per_word AS (
+  SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars, sum(length(regexp_replace(word, '[^#*$%&|<>]', '', 'g'))) AS n_symbols,
+         sum(length(regexp_replace(word, '[^#*$%&|<>!]', '', 'g'))) AS n_marks,
+         count(*) FILTER (WHERE regexp_matches(word, '[A-Z]') AND NOT regexp_matches(word, '[a-z]') AND strlen(word) > 1) AS n_upper
+  FROM w GROUP BY r),
+triples AS (
+  SELECT a.r, a.pos, count(*) OVER (PARTITION BY a.r, a.word, b.word, c.word) AS times
+  FROM w a JOIN w b ON b.r = a.r AND b.pos = a.pos + 1 JOIN w c ON c.r = a.r AND c.pos = a.pos + 2),
+again AS (SELECT r, count(DISTINCT pos + k) AS n_repeat_words FROM triples, range(3) x(k) WHERE times > 1 GROUP BY r),
+lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+f AS (
+  SELECT d.r, doc_id, stratum, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         coalesce(n_symbols, 0) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_marks, 0) AS n_marks, coalesce(n_upper, 0) AS n_upper, coalesce(n_lines, 0) AS n_lines,
+         greatest(coalesce(n_words, 0), 1) AS words
+  FROM d LEFT JOIN per_word USING (r) LEFT JOIN again USING (r) LEFT JOIN lines USING (r)),
+x AS (
+  SELECT r, doc_id, stratum, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, unnest([{cells}], recursive := true) FROM f),
+known AS (SELECT doc_id, min(coalesce(quality = 1, false)) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+held AS (
+  SELECT stratum, metric, cell, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b
+  FROM x JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+sizes AS (SELECT stratum, metric, sum(g) AS n, sum(b) AS m FROM held GROUP BY ALL),
+tried AS (
+  SELECT stratum, metric, c, n, m, coalesce(sum(g) FILTER (WHERE cell >= c), 0) AS k, coalesce(sum(b) FILTER (WHERE cell >= c), 0) AS j
+  FROM range(1, {STEPS + 1}) t(c), sizes JOIN held USING (stratum, metric) GROUP BY ALL),
+tested AS (
+  SELECT *, bool_and(k < n AND k <= n * {limit} + 1 AND list_sum(list_transform(range(0, CAST(least(k, n * {limit} + 1) AS BIGINT) + 1), lambda i:
+      exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit}))))
+      <= CAST({DELTA} AS DOUBLE) / (SELECT count(*) FROM sizes)) OVER (PARTITION BY stratum, metric ORDER BY c DESC) AS safe
+  FROM tried WHERE n > 0),
+cut AS (
+  SELECT stratum, metric, arg_max(c, (j / m - k / n, c)) AS lowest
+  FROM tested WHERE safe AND m > 0 AND j / m > k / n GROUP BY ALL),
+bad AS (SELECT DISTINCT r FROM x JOIN cut USING (stratum, metric) WHERE cell >= lowest)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND r NOT IN (SELECT r FROM bad) AS kept, stratum
+FROM f
+"""
+
+
 ORACLE = {
     "op2_chat": OP2,
+    "op6_quality_rules": _op6(),
     "op7_exact_dedup": OP7,
     "op8_secret_scan": _op8(),
 }

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import map_texts, save, sized
+from souk.llm.common import map_texts, numbered, save, sized
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper")
 SYMBOLS = b"#*$%&|<>"  # fixed values: the symbols that are counted
@@ -191,8 +191,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     ids = save(labels.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "rule-labelled")
     limits = learn(features(source.join(sized(ids), "doc_id", "left_semi"), {"doc_id": "doc_id", "stratum": "stratum"}),
                    labels, risk, delta)
-    keep = {c: f"__{i}" for i, c in enumerate(docs.columns)}
-    feats = features(docs, keep, text_col)
-    stratum = _stratum(keep[stratum_col] if stratum_col else None)
+    rows, name = numbered(docs)
+    feats = features(rows, {c: c for c in rows.columns}, name[text_col])
+    stratum = _stratum(name[stratum_col] if stratum_col else None)
     out = verdicts(feats.withColumn("stratum", stratum), limits).filter("kept")
-    return out.select(*(F.col(n).alias(c) for c, n in keep.items()))
+    return out.select(*rows.columns).toDF(*docs.columns)

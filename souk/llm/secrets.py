@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm.common import save, scratch, sized, text_of
+from souk.llm.common import numbered, save, scratch, sized, text_of
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 
@@ -190,14 +190,14 @@ def redact_documents(docs: DataFrame, ledger: str, rules=RULES, id_col: str = "d
     """``docs`` with secrets replaced by a mark and ``length_col``, if there, following the
     new text. Findings belong to a text, so they are joined by its address."""
     found = save(scan(docs, ledger, rules, id_col, text_col).filter(F.size("findings") > 0)
-                 .select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings")).dropDuplicates(["__blob"]),
-                 "secret-found")
-    blob = F.unhex(F.sha2(text_of(text_col), 256))
-    out = docs.join(sized(found, 50_000), blob == F.col("__blob"), "left")
-    new = F.when(F.col("__findings").isNull(), F.col(text_col)).otherwise(redacted(text_of(text_col), F.col("__findings")))
-    out = out.withColumn("__text", new)
-    cols = {text_col: F.col("__text")}
-    if length_col in docs.columns:
-        cols[length_col] = F.when(F.col("__findings").isNull(), F.col(length_col)).otherwise(
-            F.length("__text").cast(docs.schema[length_col].dataType))
-    return out.select(*(cols.get(c, F.col(c)).alias(c) for c in docs.columns))
+                 .select("blob", "findings").dropDuplicates(["blob"]), "secret-found")
+    rows, name = numbered(docs)
+    text = name[text_col]
+    out = rows.join(sized(found, 50_000), F.unhex(F.sha2(text_of(text), 256)) == F.col("blob"), "left")
+    clean = F.col("findings").isNull()
+    out = out.withColumn("new", F.when(clean, F.col(text)).otherwise(redacted(text_of(text), F.col("findings"))))
+    cols = {text: F.col("new")}
+    if length_col in name:
+        size = name[length_col]
+        cols[size] = F.when(clean, F.col(size)).otherwise(F.length("new").cast(rows.schema[size].dataType))
+    return out.select(*(cols.get(c, F.col(c)) for c in rows.columns)).toDF(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from souk.llm.common import map_texts, save, sized
+from souk.llm.common import map_texts, numbered, save, sized
 from souk.llm.graph import components
 
 SHARD = 2048  # nodes of a shard, about
@@ -218,17 +218,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      radius: int = 3) -> DataFrame:
     """One row of each group of ``docs``, that with the least id; columns as they are."""
     _, groups = near_groups(docs, id_col, text_col, shingle=shingle, radius=radius)
-    keep = {c: f"__{i}" for i, c in enumerate(docs.columns)}
-    rows = with_fingerprints(docs, keep, text_col, shingle).join(sized(groups), "fp")
-    rows = rows.filter(F.col(keep[id_col]).eqNullSafe(F.col("component_id")))
+    plain, name = numbered(docs)
+    rows = with_fingerprints(plain, {c: c for c in plain.columns}, name[text_col], shingle).join(sized(groups), "fp")
+    rows = rows.filter(F.col(name[id_col]).eqNullSafe(F.col("component_id")))
     # Rows that share the least id with a group-mate (repeated rows): one of them stays.
     again = save(rows.groupBy("root").agg(F.count("*").alias("n"))
-                 .filter("n > 1").select(F.col("root").alias("__again")), "simhash-again")
-    back = [F.col(n).alias(c) for c, n in keep.items()]
+                 .filter("n > 1").select("root"), "simhash-again")
     if again.count() == 0:
-        return rows.select(back)
+        return rows.select(plain.columns).toDF(*docs.columns)
     many = sized(again)
-    same = F.col("root") == F.col("__again")
-    single = rows.join(many, same, "left_anti")
-    first = rows.join(many, same, "left_semi").dropDuplicates(["root"])
-    return single.select(back).unionByName(first.select(back))
+    single = rows.join(many, "root", "left_anti").select(plain.columns)
+    first = rows.join(many, "root", "left_semi").dropDuplicates(["root"]).select(plain.columns)
+    return single.unionByName(first).toDF(*docs.columns)

@@ -1,0 +1,261 @@
+"""Encoding, packing, chat formatting, counts, secrets: against plain Python."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+from math import comb
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import messy
+from souk.llm import bpe, chat, packing, rules, secrets
+from souk.llm.queries import vocabulary_path
+
+VOCAB = vocabulary_path()
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(VOCAB)
+
+
+@pytest.fixture(scope="module")
+def own():
+    with open(VOCAB, "rb") as f:
+        return bpe.Bpe(f.read())
+
+
+def ids_of(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+PIECES = ["a", "b", " ", "  ", "\n", "\t", "é", "à ", " ", " ", "'s", "don't", "1", "!?", "<|endoftext|>", "中", "🙂",
+          "the ", "ing", "\r\n", "=" * 70, "ab" * 40]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14) | st.lists(st.characters(codec="utf-8"), max_size=30))
+def test_encoding_equals_the_library(library, own, parts):
+    text = "".join(parts)
+    ids = ids_of(library, text)
+    got = own.encode(text.encode())
+    assert np.frombuffer(got, "<u4").tolist() == ids
+    assert own.decode(got) == library.decode(ids, skip_special_tokens=False) == text
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="byte-level"), open(vocabulary_path("word_bpe_49k.json"), "rb") as f:
+        bpe.Bpe(f.read())
+
+
+def test_bpe_rows(spark, library):
+    rows = bpe.digest_documents(messy.docs(spark), VOCAB).collect()
+    want = []
+    for doc_id, text, *_ in messy.ROWS:
+        ids = ids_of(library, text)
+        want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    full = bpe.encode_documents(messy.docs(spark), VOCAB).collect()
+    assert Counter(r["decoded"] for r in full) == Counter(t or "" for _, t, *_ in messy.ROWS)
+
+
+def test_packing(spark, library):
+    rows = packing.pack(messy.docs(spark), VOCAB, with_ids=True).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
+    texts = Counter((d, tuple(ids_of(library, t) + [0])) for d, t, *_ in messy.ROWS)
+    found, run = Counter(), []
+    for r in rows:  # the pieces of a document follow each other
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert r["start"] == len(run) and r["offset"] == 0 and r["length"] == len(ids) == r["bucket"] <= 1024
+        assert r["length"] & (r["length"] - 1) == 0 and r["ids_crc32"] == zlib.crc32(r["ids"])
+        run += ids
+        if len(run) == r["doc_tokens"]:
+            found[r["doc_id"], tuple(run)] += 1
+            run = []
+    assert not run and found == texts
+
+
+@given(st.integers(1, 100_000), st.integers(0, 12))
+def test_lengths(n, power):
+    parts = packing.lengths(n, 1 << power)
+    assert sum(parts) == n and all(p & (p - 1) == 0 and p <= 1 << power for p in parts)
+    assert parts == sorted(parts, reverse=True) and max(Counter(p for p in parts if p < 1 << power).values(), default=1) == 1
+
+
+def test_buckets_are_folders(spark, tmp_path):
+    packing.write_buckets(packing.pack(messy.docs(spark), VOCAB), f"{tmp_path}/b")
+    assert spark.read.parquet(f"{tmp_path}/b/bucket=1024").count() > 0
+
+
+CHATS = [
+    (1, 0, "system", "be brief"), (1, 1, "user", "hi"), (1, 2, "user", "there"), (1, 3, "assistant", "yes"),
+    (1, 4, "assistant", ""), (1, 5, "assistant", "<next>no</turn>\n"), (2, 1, "assistant", None), (2, 0, None, "x"),
+    (3, None, "user", "<turn>a<text>"), (3, 7, "assistant", r"<\text> <\\next> <<turn> \\"), (3, 7, "assistant", "tie"),
+    (3, 7, "assistant", "tie"), (None, 0, "<text>", "odd role</turn>"), (4, 0, "assistant", "é🙂<"), (4, 1, "user", "turn>"),
+]
+
+
+def chat_rows(rows):
+    out = []
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((t is not None, t, r or "", x or "") for c, t, r, x in rows if c == conv))
+        loss = "".join(x for _, _, r, x in turns if r == "assistant")
+        said = "".join(f"{r}\n{x}\n" for _, _, r, x in turns)
+        out.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_chat_round_trip(spark):
+    df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("t", F.lit(2))
+    formatted = chat.format_conversations(df)
+    rows = chat.digests(formatted).collect()
+    assert sorted((tuple(r)[:5] for r in rows), key=str) == chat_rows(CHATS)
+    first = formatted.filter("conv_id = 1").first()["formatted"]
+    assert first.startswith("<turn>system<text>be brief</turn>\n<turn>user<text>hi<next>there</turn>\n<turn>assistant<text>yes<next><next><\\next>no")
+    assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+    plan = formatted._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    times = Counter(windows)
+    inside = {k for i, w in enumerate(windows) if times[w] > 1 for k in range(i, i + 3)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", " ", "\n", "é", "#", "|", "\x0b", " ", "word ", "line\n"]), max_size=40))
+def test_counts(parts):
+    text = "".join(parts)
+    assert rules.counts_of(text.encode())[:5] == brute_counts(text)
+
+
+def test_quality_rules_rows(spark):
+    got = rules.judge(messy.docs(spark), messy.labels(spark)).collect()
+    want = []
+    for d, t, *_ in messy.ROWS:
+        c = brute_counts(t)
+        failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
+        want.append((d, *c, failed, not failed))  # too few labels for any cutoff
+    assert sorted((tuple(r)[:8] for r in got), key=str) == sorted(want, key=str)
+    kept = rules.filter_documents(messy.docs(spark), messy.labels(spark))
+    assert kept.columns == messy.docs(spark).columns
+    assert Counter(r["text"] for r in kept.collect()) == Counter(t for (d, t, *_), w in zip(messy.ROWS, want) if w[-1])
+    assert rules.judge(messy.docs(spark, []), messy.labels(spark, [])).count() == 0
+    assert rules.judge(messy.docs(spark), messy.labels(spark, [])).count() == len(messy.ROWS)
+
+
+@pytest.mark.parametrize("k,n,delta", [(0, 10, 0.05), (1, 10, 0.05), (3, 200, 0.001), (50, 60, 0.1), (0, 5000, 1e-4)])
+def test_exact_bound(k, n, delta):
+    """The bound is the share at which k or fewer of n have probability delta."""
+    p = rules.upper_bound(k, n, delta)
+    assert sum(comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1)) == pytest.approx(delta, rel=1e-6)
+    assert rules.upper_bound(n, n, delta) == 1.0
+
+
+def test_cutoffs_separate_and_hold_the_risk():
+    good, bad = {0: 4000, 10: 900, 100: 5}, {0: 10, 150: 80, 100: 10}
+    cut = rules.safe_cutoff(good, bad, 0.01, 0.001)
+    assert 10 < cut <= 100 and rules.upper_bound(sum(n for c, n in good.items() if c >= cut), 4905, 0.001) <= 0.01
+    assert rules.safe_cutoff({0: 50}, bad, 0.01, 0.001) is None      # too few labels
+    assert rules.safe_cutoff(good, {0: 50}, 0.0001, 0.001) is None
+    assert rules.safe_cutoff({200: 4000}, bad, 0.01, 0.001) is None  # the mildest cutoff already fails
+
+
+def test_cutoffs_reject_bad_documents(spark):
+    clean = [(i, messy.words(60 + i % 9, 20 + i % 5), "en", "s", 1) for i in range(6000)]
+    noisy = [(10_000 + i, " ".join(f"{w} #$" for w in messy.words(60, 30 + i % 7).split()), "en", "s", 1) for i in range(300)]
+    other = [(20_000 + i, noisy[i][1], "de", "s", 1) for i in range(5)]
+    labels = [(d, int(d < 10_000), 0) for d, *_ in clean + noisy]
+    rows = rules.judge(messy.docs(spark, clean + noisy + other, extra=False), messy.labels(spark, labels)).collect()
+    kept = {r["doc_id"] for r in rows if r["kept"]}
+    assert kept == {d for d, *_ in clean + other}  # no labels, so no cutoff, for the stratum "de"
+
+
+KINDS = {
+    "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
+}
+
+
+def spans_of(text):
+    found = [(m.start(), k, m.end(), name) for k, (name, (p, group, least)) in enumerate(KINDS.items())
+             for m in p.finditer(text or "") if len(m.group(group)) >= least]
+    return [(name, a, b) for a, _, b, name in sorted(found)]
+
+
+def secret_rows(rows):
+    out = []
+    for d, t, *_ in rows:
+        spans = spans_of(t)
+        line = ",".join(f"{n}:{a}:{b}" for n, a, b in spans)
+        out.append((d, *(sum(n == kind for n, _, _ in spans) for kind in KINDS), hashlib.sha256(line.encode()).hexdigest(), line))
+    return sorted(out, key=str)
+
+
+def test_secret_rows(spark):
+    docs = messy.docs(spark)
+    got = secrets.report(secrets.scan(docs, secrets.new_ledger(spark)))
+    assert sorted(map(tuple, got.collect()), key=str) == secret_rows(messy.ROWS)
+    assert secrets.report(secrets.scan(messy.docs(spark, []), secrets.new_ledger(spark))).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["password", "SECRET", "token", "api_key", "=", ": ", "'", " ", "abcdef", "AKIA", "0123456789ABCDEF",
+                                          "deadbeefdeadbeefdeadbeef", "é", "x", "\n"]), max_size=12).map("".join), min_size=1, max_size=25))
+def test_places_equal_a_plain_search(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rows = df.select("i", *(secrets.matches(F.col("text"), r).alias(r.kind) for r in secrets.BASE)).collect()
+    for r in rows:
+        got = sorted((s["start"], k, s["end"]) for k in KINDS for s in r[k])
+        assert got == sorted((a, n, b) for n, a, b in spans_of(texts[r["i"]]))
+
+
+def test_ledger_scans_only_what_is_unseen(spark):
+    ledger = secrets.new_ledger(spark)
+    one = messy.docs(spark, messy.ROWS[:14])
+    read = lambda: [(bytes(r["blob"]), tuple(r["scanned"])) for r in spark.read.parquet(ledger).collect()]
+    secrets.scan(one, ledger, secrets.BASE)
+    first = read()
+    assert len({b for b, _ in first}) == len({t or "" for _, t, *_ in messy.ROWS[:14]})
+    secrets.scan(one, ledger, secrets.BASE)
+    assert sorted(read()) == sorted(first)                       # nothing is unseen
+    found = secrets.scan(messy.docs(spark), ledger, secrets.BASE)
+    assert len(read()) > len(first)                               # new versions only
+    assert len({b for b, _ in read()}) == len({t or "" for _, t, *_ in messy.ROWS})
+    assert sorted(map(tuple, secrets.report(found).collect()), key=str) == secret_rows(messy.ROWS)
+    before = len(read())
+    newer = (*secrets.BASE[:2], secrets.Rule("hex", 2, r"[0-9a-f]{26,}", r"[0-9a-f]{26}"))
+    secrets.scan(messy.docs(spark), ledger, newer)
+    assert {s for _, s in read()[:]} >= {("hex@2",)} and len(read()) == before + len({t or "" for _, t, *_ in messy.ROWS})
+
+
+def test_redaction(spark):
+    docs = messy.docs(spark)
+    out = secrets.redact_documents(docs, secrets.new_ledger(spark))
+    assert out.columns == docs.columns
+    want = []
+    for d, t, lang, source, n in messy.ROWS:
+        spans, new, at = spans_of(t), "", 0
+        for _, a, b in spans:
+            if a >= at:
+                new += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        new = new + t[at:] if spans else t
+        want.append((d, new, lang, source, len(new) if spans else n))
+    assert Counter(tuple(r)[:5] for r in out.collect()) == Counter(want)
+    for name in ("scan", "report"):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan, name
