@@ -1,6 +1,6 @@
 """Spark-vs-DuckDB result comparison used by the oracle tests and by hand.
 
-Mirrors the driver's gate: same row count, same column names and coarse
+Mirrors the driver's gate: same row count, same column names and
 types, and the same multiset of rows (columns sorted by name, rows sorted).
 """
 
@@ -21,15 +21,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _kind(type_name: str) -> str:
-    t = type_name.lower()
-    if any(x in t for x in ("bigint", "int", "long", "hugeint")):
-        return "int"
-    if any(x in t for x in ("double", "float", "decimal")):
-        return "float"
-    if "varchar" in t or "string" in t:
-        return "str"
-    return t
+# DuckDB's names of the types that Spark results have.
+DUCK_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
 
 
 def _norm(v):
@@ -50,10 +44,11 @@ def compare(spark_df, con, sql: str) -> list[str]:
     problems = []
     s_rows = [tuple(r) for r in spark_df.collect()]
     s_cols = spark_df.columns
-    s_types = {f.name: _kind(f.dataType.simpleString()) for f in spark_df.schema.fields}
+    s_types = {f.name: DUCK_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in spark_df.schema.fields}
     rel = con.sql(sql)
     d_cols = rel.columns
-    d_types = {c: _kind(str(t)) for c, t in zip(rel.columns, rel.types)}
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     d_rows = rel.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns differ: spark={s_cols} duck={d_cols}")
