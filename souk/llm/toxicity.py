@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import Memo, map_texts, ready
+from souk.llm.common import map_texts, ready
 
 SAMPLE = 2500  # labelled documents of each class to fit on, at most
 BUCKETS = 1 << 18
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 6)  # from, to
+PRIME = np.uint64(0x9E3779B97F4A7C15)
+CHUNK = 20_000  # words whose n-grams are hashed at once
 DIM = 8
 STEPS = 600
 BATCH = 64
@@ -46,34 +49,43 @@ NEUTRAL = 50  # words without a say that each mean takes in: a single word doesn
 THRESHOLD = 0.7
 
 
-def grams(word: bytes) -> list[str]:
-    """A word's different n-grams, in lower case and without what is no letter (a word
-    without letters stays as it is), and the whole."""
+def letters(word: bytes) -> str:
+    """A word in lower case and without what is no letter; without letters it stays."""
     text = word.decode(errors="replace").lower()
-    letters = text if text.isalpha() else "".join(filter(str.isalpha, text))
-    whole = f"<{letters or text}>"
-    return [*{whole[i:i + n] for n in GRAMS for i in range(len(whole) - n + 1)}, whole]
-
-
-def bucket(gram: str) -> int:
-    return zlib.crc32(gram.encode()) % BUCKETS
-
-
-def buckets(word: bytes) -> np.ndarray:
-    return np.array(sorted(map(bucket, grams(word))), np.int64)
-
-
-def bag(text: bytes, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    return text if text.isalpha() else "".join(filter(str.isalpha, text)) or text
+
+
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of the n-grams of all words, the word of each, and their number by word.
+    The words stand between marks in one array of code points; an n-gram's hash grows
+    from the one of n - 1 at the same place."""
+    marked = [f"<{letters(w)}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # to the end of the word
+    hashed = np.zeros(len(codes), np.uint64)
+    found = [np.array([zlib.crc32(w.encode()) % BUCKETS for w in marked], np.int64)]
+    of = [np.arange(len(words))]
+    for n in range(1, GRAMS[-1] + 1):
+        hashed[:len(codes) - n + 1] = hashed[:len(codes) - n + 1] * PRIME + codes[n - 1:]
+        if n >= GRAMS[0]:
+            there = np.nonzero(left >= n)[0]
+            found.append(((hashed[there] * PRIME) >> np.uint64(32)).astype(np.int64) % BUCKETS)
+            of.append(word[there])
+    return np.concatenate(found), np.concatenate(of), 1 + sum(np.maximum(sizes - n + 1, 0) for n in range(GRAMS[0], GRAMS[-1] + 1))
+
+
+def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, weights): a text's mean over words of means over buckets."""
     words = Counter(text.split())
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    parts = list(map(memo.__getitem__, words))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    found, of, sizes = grams(list(words))
     times = np.sqrt(np.fromiter(words.values(), np.float64, len(words)))
-    of, where = np.unique(np.concatenate(parts), return_inverse=True)
-    weight = np.bincount(where, np.repeat(SCALE * times / (sizes * (times.sum() + NEUTRAL)), sizes))
-    return of, weight.astype(np.float32)
+    own, where = np.unique(found, return_inverse=True)
+    weight = np.bincount(where, (SCALE * times / (sizes * (times.sum() + NEUTRAL)))[of])
+    return own, weight.astype(np.float32)
 
 
 def fit(texts: list[bytes], toxic: np.ndarray, steps: int = STEPS, seed: int = 7) -> tuple[float, np.ndarray]:
@@ -83,9 +95,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = STEPS, seed: int = 7
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.0
         return (math.log(share / (1 - share)) if 0 < share < 1 else -30.0), np.zeros(BUCKETS, np.float32)
-    memo = Memo(buckets, lambda key: len(key) <= 40)
-    bags = [bag(t, memo) for t in texts]
-    memo.clear()
+    bags = [bag(t) for t in texts]
     rng = np.random.default_rng(seed)
     embed = np.zeros((BUCKETS, DIM), np.float32)  # a bucket that no text trains says nothing
     soft = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
@@ -123,24 +133,21 @@ def fit(texts: list[bytes], toxic: np.ndarray, steps: int = STEPS, seed: int = 7
     return float(base[1] - base[0]), (SCALE * (embed @ side)).astype(np.float32)
 
 
-class Scorer:
-    """Scores texts by a fitted model; a word's part is remembered."""
-
-    def __init__(self, bias: float, weights: np.ndarray):
-        self.bias, self.weights = bias, weights
-        self.of_gram = Memo(lambda g: float(weights[bucket(g)]), lambda key: len(key) <= 12)
-        self.memo = Memo(self._part, lambda key: len(key) <= 40)
-
-    def _part(self, word: bytes) -> float:
-        own = grams(word)
-        return sum(map(self.of_gram.__getitem__, own)) / len(own)
-
-    def score(self, text: bytes) -> float:
-        words = Counter(text.split())
-        n = len(words)
-        part = np.fromiter(map(self.memo.__getitem__, words), np.float64, n)
-        times = np.sqrt(np.fromiter(words.values(), np.float64, n))
-        return _share(self.bias + float(part @ times) / (float(times.sum()) + NEUTRAL))
+def scores(texts: list[bytes], bias: float, weights: np.ndarray) -> list[float]:
+    """Scores of texts by a fitted model; each spelling among them is looked at once."""
+    counted = [Counter(t.split()) for t in texts]
+    place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(counted)))}
+    words = list(place)
+    part = np.zeros(len(words))
+    for at in range(0, len(words), CHUNK):
+        found, of, sizes = grams(words[at:at + CHUNK])
+        part[at:at + CHUNK] = np.bincount(of, weights[found], len(sizes)) / sizes
+    out = []
+    for c in counted:
+        own = part[np.fromiter(map(place.__getitem__, c), np.int64, len(c))]
+        times = np.sqrt(np.fromiter(c.values(), np.float64, len(c)))
+        out.append(_share(bias + float(own @ times) / (float(times.sum()) + NEUTRAL)))
+    return out
 
 
 def _share(odds: float) -> float:
@@ -174,12 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
 def score_documents(docs: DataFrame, model: tuple[float, np.ndarray], keep: dict[str, str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and ``score`` for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a MB, whatever the input
-    held: dict[int, Scorer] = {}
-
-    def make(texts: list[bytes]) -> list[pa.Array]:
-        scorer = held.setdefault(0, Scorer(*shared.value)) if 0 not in held else held[0]
-        return [pa.array([scorer.score(t) for t in texts], pa.float64())]
-    return map_texts(docs, text_col, keep, "score double", make)
+    return map_texts(docs, text_col, keep, "score double",
+                     lambda texts: [pa.array(scores(texts, *shared.value), pa.float64())])
 
 
 def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
