@@ -211,22 +211,25 @@ def hex_digits(fp: Column) -> Column:
 def report(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
     rows, groups = near_groups(docs, **options)
-    return rows.join(sized(groups), "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    return rows.join(groups, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3,
                      radius: int = 3) -> DataFrame:
-    """One row of each group of ``docs``, that with the least id; columns as they are."""
-    _, groups = near_groups(docs, id_col, text_col, shingle=shingle, radius=radius)
-    plain, name = numbered(docs)
-    rows = with_fingerprints(plain, {c: c for c in plain.columns}, name[text_col], shingle).join(sized(groups), "fp")
-    rows = rows.filter(F.col(name[id_col]).eqNullSafe(F.col("component_id")))
+    """One row of each group of ``docs``, that with the least id; columns as they are. Rows
+    that go are subtracted by id and fingerprint, so that texts need no shuffle where few go."""
+    found, groups = near_groups(docs, id_col, text_col, shingle=shingle, radius=radius)
+    found = save(found.join(groups, "fp").select(F.col("doc_id").alias("id"), F.col("fp").alias("print"), "root",
+                                                 F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "simhash-found")
+    gone = save(found.filter("NOT stays").select("id", "print").distinct(), "simhash-gone")
     # Rows that share the least id with a group-mate (repeated rows): one of them stays.
-    again = save(rows.groupBy("root").agg(F.count("*").alias("n"))
-                 .filter("n > 1").select("root"), "simhash-again")
-    if again.count() == 0:
-        return rows.select(plain.columns).toDF(*docs.columns)
-    many = sized(again)
-    single = rows.join(many, "root", "left_anti").select(plain.columns)
-    first = rows.join(many, "root", "left_semi").dropDuplicates(["root"]).select(plain.columns)
-    return single.unionByName(first).toDF(*docs.columns)
+    many = found.filter("stays").groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    again = save(found.filter("stays").join(many, "root").select("id", "print", "root").distinct(), "simhash-again")
+    plain, name = numbered(docs)
+    rows = with_fingerprints(plain, {c: c for c in plain.columns}, name[text_col], shingle)
+    same = F.col(name[id_col]).eqNullSafe(F.col("id")) & (F.col("fp") == F.col("print"))
+    rows = rows.join(sized(gone), same, "left_anti")
+    if again.count():
+        first = rows.join(sized(again), same).dropDuplicates(["root"]).select(plain.columns)
+        rows = rows.join(sized(again), same, "left_anti").select(plain.columns).unionByName(first)
+    return rows.select(plain.columns).toDF(*docs.columns)
