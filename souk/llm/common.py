@@ -31,11 +31,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage
-    is cut, and a lost executor costs a re-read of files, never a re-run."""
+def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder (``by``: a folder for each value of that
+    column, of few values) and read it back: the lineage is cut, and a lost executor costs a
+    re-read of files, never a re-run."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +51,13 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1, ... and these names by the old ones, so that
+    no name of the input meets one of an operator."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 def ready(spark: SparkSession) -> None:
     """Let Python workers import this package where it lies in the same folder as on the
     driver but isn't installed (a local session); on a cluster it is installed or shipped."""

@@ -197,12 +197,20 @@ def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_links(docs: DataFrame, paragraphs: DataFrame, least: int, threshold: float) -> DataFrame:
-    """Verified links between nodes (h1) of paragraphs (h1, bands) that collide in a band."""
-    keyed = paragraphs.select(F.col("h1").alias("node"), F.explode("bands").alias("key")).distinct()
-    many = save(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "passage-buckets")
-    members = save(keyed.join(sized(many), "key"), "passage-members")
-    wanted = save(members.select("node").distinct(), "passage-wanted")
-    sets = save(paragraph_shingles(docs, least).join(sized(wanted), "node", "left_semi")
+    """Verified links between nodes (h1) of paragraphs (doc_id, h1, bands) that collide in a
+    band. Nodes that only rows without an id have don't matter."""
+    paragraphs = paragraphs.filter("doc_id IS NOT NULL")
+    keyed = paragraphs.select(F.col("h1").alias("node"), F.explode("bands").alias("key"))
+    # Buckets of two nodes or more; equal paragraphs are combined before the shuffle.
+    many = save(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+                .filter("low < high").select("key"), "passage-buckets")
+    members = save(keyed.join(many, "key").distinct(), "passage-members")
+    members = save(members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "passage-members")
+    # One document of each such node is read again; the others hold the same paragraph.
+    wanted = save(paragraphs.select("doc_id", F.col("h1").alias("node")).join(sized(save(members.select("node").distinct(), "passage-nodes")), "node", "left_semi")
+                  .groupBy("node").agg(F.min("doc_id").alias("doc_id")), "passage-wanted")
+    again = docs.join(sized(save(wanted.select("doc_id").distinct(), "passage-docs")), "doc_id", "left_semi")
+    sets = save(paragraph_shingles(again, least).join(sized(wanted.select("node")), "node", "left_semi")
                 .groupBy("node").agg(F.min("shingles").alias("shingles")), "passage-shingles")
     shards = max(1, members.count() // 1000)
     parts = F.ceil(F.col("n") / BUCKET)
@@ -221,14 +229,14 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     document that keeps the passage."""
     bands, rows = tune_bands(threshold)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = save(units(source, least, bands, rows), "passage-units")
+    found = save(units(source, least, bands, rows), "passage-units", by="kind")
     frames = found.filter(F.col("kind") == FRAME).select("doc_id", "start", "words", "h1", "h2")
     equal = save(frames.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last"))
                  .filter("keep_id < last").drop("last"), "passage-equal")
-    exact = frames.join(sized(equal), ["h1", "h2"]).select("doc_id", "start", "words", "keep_id")
+    exact = frames.join(equal, ["h1", "h2"]).select("doc_id", "start", "words", "keep_id")
     paragraphs = found.filter(F.col("kind") == PARAGRAPH)
     roots = components(save(near_links(source, paragraphs, least, threshold), "passage-links"))
-    near = save(paragraphs.join(sized(save(roots, "passage-roots")), F.col("h1") == F.col("node"))
+    near = save(paragraphs.join(save(roots, "passage-roots"), F.col("h1") == F.col("node"))
                 .select("doc_id", "start", "words", "root"), "passage-near")
     keep = near.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).filter("keep_id < last").drop("last")
     return found, exact.unionByName(near.join(keep, "root").select("doc_id", "start", "words", "keep_id"))
