@@ -83,11 +83,8 @@ class Bpe:
         # gives back never stands in an encoding.
         self.parts = {whole: pair for pair, (_, whole) in self.merges.items()}
         self.rank = {whole: rank for _, (rank, whole) in self.merges.items()}
-        # Length of the longest token by its first four bytes.
-        self.reach: dict[bytes, int] = {}
-        for t in ids:
-            if len(t) > 3:
-                self.reach[t[:4]] = max(len(t), self.reach.get(t[:4], 0))
+        # What tokens begin with, from four bytes on.
+        self.begins = {t[:k] for t in ids for k in range(4, len(t) + 1)}
         self.fits = Memo(self._fits, lambda key: True)
         self.pieces = Memo(self._piece, lambda key: len(key) <= 40)
         self.after_space = Memo(lambda w: self._fragment(b" " + w), lambda key: len(key) <= 40)
@@ -118,16 +115,18 @@ class Bpe:
         """Ids (little-endian, 32 bits) of a piece: the one row of tokens of which all
         neighbours fit. Longest tokens are tried first; of a prefix that is reached there
         is one encoding only, so a place that fails once is not tried again."""
-        n, get, fits, reach = len(piece), self.ids.get, self.fits, self.reach.get
+        n, get, fits, begins = len(piece), self.ids.get, self.fits, self.begins
         if n > 64:
             return array("I", self._merge_long([self.single[b] for b in piece])).tobytes()
         out: list[int] = []
         ends: list[int] = []
         dead: set[int] = set()
-        at, size = 0, reach(piece[:4], 3)
+        at, size = 0, -1
         while at < n:
-            if size > n - at:
-                size = n - at
+            if size < 0:  # a new place: no token here is longer
+                size = min(3, n - at)
+                while at + size < n and piece[at:at + size + 1] in begins:
+                    size += 1
             while size:
                 t = get(piece[at:at + size])
                 if t is not None and (not out or fits[out[-1], t]) and at + size not in dead:
@@ -137,7 +136,7 @@ class Bpe:
                 out.append(t)
                 at += size
                 ends.append(size)
-                size = reach(piece[at:at + 4], 3)
+                size = -1
             else:
                 dead.add(at)
                 out.pop()
@@ -172,18 +171,20 @@ class Bpe:
         return [x for x in ids if x != gone]
 
     def _fragment(self, fragment: bytes) -> bytes:
-        body = fragment[1:] if fragment[:1] == b" " else fragment
-        if body.isalpha():  # letters of ASCII: one part for the pattern
+        spaced = fragment[:1] == b" "
+        body = fragment[1:] if spaced else fragment
+        text = body.decode()
+        if text.isalpha():  # letters: one part for the pattern
             return self._part(fragment)
-        if body[-1:] in (b".", b",") and body[:-1].isalpha():  # as the pattern does
-            return self._part(fragment[:-1]) + self._part(fragment[-1:])
+        if spaced and text[-1:] in (".", ",") and text[:-1].isalpha():  # as the pattern does
+            return self.after_space[body[:-1]] + self.pieces[body[-1:]]
         return b"".join(self._part(p.encode()) for p in self.split(fragment.decode()))
 
     def _part(self, part: bytes) -> bytes:
         """A part of the pattern, cut at the forced boundaries inside it. Parts of up to 16
         bytes are merged faster than searched for cuts."""
         if len(part) <= 16:
-            return self.pieces[part]
+            return self._piece(part)
         out, inside, start = [], self.inside, 0
         for i in range(1, len(part)):
             if part[i - 1:i + 1] not in inside:

@@ -17,7 +17,7 @@ from souk.session import ensure_checkpoint_dir
 BROADCAST_ROWS = 500_000
 
 # Entries of a worker's memo of results by word or fragment, about 200 bytes each.
-MEMO = 500_000
+MEMO = 900_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
