@@ -4,8 +4,10 @@ Units of a text, as ranges of its words (lower case, parted by white space):
 
 * paragraphs: its lines of ``LEAST`` words or more;
 * frames: from the start of each sentence or line to the first end of one at least ``LEAST``
-  words on, so that a passage inside a longer paragraph has units of its own wherever it
-  stands. Frames are compared as a whole, by a 128-bit digest of their words.
+  words on, and runs of ``LEAST`` words at places chosen by their own words alone (winnowing:
+  of ``LEAST`` runs in turn, the one of the least hash). So any ``2 * LEAST - 1`` words in a
+  row hold a whole frame, wherever they stand and whatever their punctuation is. Frames are
+  compared as a whole, by a 128-bit digest of their words.
 
 1. Equal frames are found by counting digests, combined before the shuffle.
 2. Paragraphs get MinHash signatures over word shingles, cut into bands; ``tune_bands``
@@ -67,6 +69,23 @@ def word_code(word: bytes) -> int:
     return xxh3_64_intdigest(word) & ~1 | (word[-1:] in (b".", b"!", b"?"))
 
 
+def sliding(f: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
+    """f (minimum or maximum) of every ``size`` values in a row."""
+    done = 1
+    while done * 2 <= size:
+        x, done = f(x[:-done], x[done:]), done * 2
+    return f(x[:len(x) - size + done], x[size - done:])
+
+
+def winnowed(x: np.ndarray, size: int) -> np.ndarray:
+    """Places of the values that are the least of some ``size`` values in a row, equal ones
+    included; at most ``size`` apart."""
+    if len(x) < size:
+        return np.zeros(0, np.int64)
+    edge = np.zeros(size - 1, np.uint64)
+    return np.nonzero(sliding(np.maximum, np.concatenate([edge, sliding(np.minimum, x, size), edge]), size) == x)[0]
+
+
 class Units:
     """Finds the units of texts."""
 
@@ -93,7 +112,17 @@ class Units:
         cuts = np.unique(np.concatenate([[0], ends, np.nonzero(codes & np.uint64(1))[0] + 1]))
         to = np.searchsorted(cuts, cuts + self.least)
         there = to < len(cuts)
-        return cuts[there], cuts[to[there]]
+        runs = winnowed(self.runs(codes), self.least)
+        return np.concatenate([cuts[there], runs]), np.concatenate([cuts[to[there]], runs + self.least])
+
+    def runs(self, codes: np.ndarray) -> np.ndarray:
+        """Hashes of all runs of ``least`` words."""
+        if len(codes) < self.least:
+            return np.zeros(0, np.uint64)
+        odd = 0x9E3779B97F4A7C15
+        up, down = (np.cumprod(np.full(len(codes), x, np.uint64), dtype=np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up, dtype=np.uint64)])
+        return mixed((total[self.least:] - total[:-self.least]) * down[:len(codes) - self.least + 1])
 
     def shingles(self, codes: np.ndarray) -> np.ndarray:
         """Hashes of all shingles of the words with these codes."""

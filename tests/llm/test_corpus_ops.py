@@ -201,6 +201,25 @@ def test_substring_on_test_data(spark):
     assert sharing(51) <= got <= sharing(25) | sharing(12)
 
 
+def test_runs_of_fifty_words_hold_a_frame(spark):
+    """Passages without sentence ends, spliced into the middle of lines."""
+    finder = substring.Units(25, 7, 2)
+    for text in (messy.words(600, 1), "a b " * 300, " ".join(f"q{(i * i) % 37}" for i in range(600))):
+        words, codes, ends = finder.words(text.encode())
+        spans = list(zip(*finder.frames(codes, ends)))
+        assert all(any(i <= s and e <= i + 50 for s, e in spans) for i in range(len(words) - 49))
+    rows = []
+    for i in range(20):
+        shared = messy.words(50 + i, 100 + i)
+        rows += [(2 * i, f"{messy.words(33 + i, 200 + i)} {shared} {messy.words(90, 300 + i)}"),
+                 (2 * i + 1, f"{messy.words(57, 400 + i)} {shared} {messy.words(41 + i, 500 + i)}")]
+    got = {r["doc_id"]: r for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(20):
+        first, last = (int(x) for x in got[2 * i + 1]["removed"].split(":"))
+        assert 57 <= first and first + 25 <= last <= 57 + 50 + i and got[2 * i + 1]["keep_ids"] == [2 * i]
+        assert got[2 * i]["repeated_words"] == last - first and got[2 * i]["removed_words"] == 0
+
+
 def test_near_lines_are_linked(spark):
     """Every pair of lines at the threshold is connected, also in a large bucket."""
     rnd = random.Random(2)
