@@ -2,17 +2,22 @@
 
 Units of a text, as ranges of its words (lower case, parted by white space):
 
-* paragraphs: its lines of ``LEAST`` words or more;
+* paragraphs: its lines of ``LINE`` words or more;
 * frames: from the start of each sentence or line to the first end of one at least ``LEAST``
   words on, and runs of ``LEAST`` words at places chosen by their own words alone (winnowing:
   of ``LEAST`` runs in turn, the one of the least hash). So any ``2 * LEAST - 1`` words in a
   row hold a whole frame, wherever they stand and whatever their punctuation is. Frames are
   compared as a whole, by a 128-bit digest of their words.
+* blocks: from each start of a frame's sentence or line to the first end at least ``BLOCK``
+  words on (one word of so many can differ at 0.8), also over short lines. Where no sentence
+  ends for ``2 * LEAST`` words, places chosen by their words part it.
 
 1. Equal frames are found by counting digests, combined before the shuffle.
 2. Paragraphs get MinHash signatures over word shingles, cut into bands; ``tune_bands``
    chooses the fewest bands that miss less than a thousandth of the pairs at the threshold.
-   Equal paragraphs are one node.
+   Blocks and frames overlap their neighbours, which bands would bring together (as they
+   would all that hold a common line); their keys are the shingles at both ends, or one of
+   them and the shingle next to the other. Equal units are one node.
 3. Nodes that collide in a band meet in a shard. There their exact shingle sets are compared
    pair by pair, except pairs that links already connect; a bucket of many nodes is cut into
    parts, whose pairs are tasks of their own, so no link is lost and no task is unbounded.
@@ -36,15 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from souk.llm.common import Memo, bounded_batches, save, sized
+from souk.llm.common import BROADCAST_ROWS, Memo, bounded_batches, save, sized
 from souk.llm.graph import components
 
-LEAST = 25  # words of a unit, at least
+LEAST = 25  # words of a frame, at least
+LINE, BLOCK = 12, 45  # words of a paragraph and of a block, at least
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 BUCKET = 256  # nodes of a bucket that are compared in one go
-DOC, FRAME, PARAGRAPH = 0, 1, 2
+DOC, FRAME, PARAGRAPH, BLOCKS, RUN, LOOSE = 0, 1, 2, 3, 4, 10
 UNITS = "kind tinyint, start int, words int, h1 bigint, h2 bigint, bands array<bigint>"
 
 
@@ -105,15 +111,44 @@ class Units:
 
     def paragraphs(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.concatenate([[0], ends[:-1]])
-        long = ends - starts >= self.least
+        long = ends - starts >= LINE
         return starts[long], ends[long]
 
-    def frames(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cuts = np.unique(np.concatenate([[0], ends, np.nonzero(codes & np.uint64(1))[0] + 1]))
-        to = np.searchsorted(cuts, cuts + self.least)
-        there = to < len(cuts)
+    def near(self, codes: np.ndarray, ends: np.ndarray, shingles: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(kind, starts, ends) of the paragraphs, frames and blocks: from each cut to the
+        first one so many words on. Cuts are the ends of lines and sentences, and winnowed
+        places where these are far apart; units that such a place bounds are LOOSE."""
+        marks = np.unique(np.concatenate([[0], ends, np.nonzero(codes & np.uint64(1))[0] + 1]))
+        more = winnowed(shingles, self.least)
+        after = np.searchsorted(marks, more, "right")
+        cuts = np.union1d(marks, more[marks[after] - marks[after - 1] >= 2 * self.least])
+        firm = np.isin(cuts, marks)
+        out = [(PARAGRAPH, *self.paragraphs(ends))]
+        for kind, least in ((FRAME, self.least), (BLOCKS, max(BLOCK, self.least))):
+            to = np.searchsorted(cuts, cuts + least)
+            at = np.nonzero(to < len(cuts))[0]
+            both = firm[at] & firm[to[at]]
+            out += [(k, cuts[a], cuts[to[a]]) for k, a in ((kind, at[both]), (kind + LOOSE, at[~both]))]
+        return out
+
+    def ends_keys(self, kind: int, shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Keys of frames and blocks: the shingles at both ends, and, where sentences or lines
+        bound them, these with the shingle next to one in its place."""
+        first, last, step = starts, ends - SHINGLE, SHINGLE
+        pairs = [(0, first, last), (1, first + step, last), (2, first, last - step)]
+        pairs = {FRAME: pairs[1:], BLOCKS: pairs, BLOCKS + LOOSE: pairs[:1]}.get(kind, [])
+        keys = [mixed(mixed(shingles[a] + np.uint64(k + 1)) * np.uint64(3) + shingles[b]) for k, a, b in pairs]
+        return np.stack(keys, 1).view(np.int64) if keys else np.zeros((len(starts), 0), np.int64)
+
+    def find(self, codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, starts, ends, keys) of all units; a row of keys for each."""
+        shingles = self.shingles(codes)
+        for kind, starts, to in self.near(codes, ends, shingles):
+            if len(starts):
+                yield kind, starts, to, (self.signatures(shingles, starts, to) if kind == PARAGRAPH else
+                                         self.ends_keys(kind, shingles, starts, to))
         runs = winnowed(self.runs(codes), self.least)
-        return np.concatenate([cuts[there], runs]), np.concatenate([cuts[to[there]], runs + self.least])
+        yield RUN, runs, runs + self.least, np.zeros((len(runs), 0), np.int64)
 
     def runs(self, codes: np.ndarray) -> np.ndarray:
         """Hashes of all runs of ``least`` words."""
@@ -129,9 +164,9 @@ class Units:
         n = len(codes) - SHINGLE + 1
         return mixed(sum((codes[k:k + n] * self.power[k] for k in range(SHINGLE)), np.zeros(n, np.uint64)))
 
-    def signatures(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def signatures(self, shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Keys of the bands (a row for each paragraph)."""
-        all_of = np.append(self.shingles(codes), np.uint64(2**64 - 1))
+        all_of = np.append(shingles, np.uint64(2**64 - 1))
         at = np.stack([starts, ends - SHINGLE + 1], 1).ravel()
         least = np.stack([np.minimum.reduceat(mixed(all_of * a), at)[::2] for a in self.odd], 1)
         keys = np.zeros((len(starts), self.bands), np.uint64)
@@ -141,23 +176,23 @@ class Units:
 
 
 def units(docs: DataFrame, least: int, bands: int, rows: int) -> DataFrame:
-    """Rows (doc_id, kind, start, words, h1, h2, bands): one for each document (its words),
-    frame and paragraph of docs (doc_id, text); bands for paragraphs only."""
+    """Rows (doc_id, kind, start, words, h1, h2, bands): one for each document (its words)
+    and unit of docs (doc_id, text); bands: the keys by which near units meet."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Units(least, bands, rows)
         for b in batches:
-            of, kind, start, size, digest, keys = [], [], [], [], [], []
+            of, kind, start, size, digest, counts, keys = [], [], [], [], [], [], []
             for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                 words, codes, ends = finder.words(text or b"")
                 spans = [(DOC, 0, len(words))]
-                if len(words) >= least:
-                    spans += [(FRAME, s, e) for s, e in zip(*(x.tolist() for x in finder.frames(codes, ends)))]
-                    p = finder.paragraphs(ends)
-                    if len(p[0]):
-                        keys.append(finder.signatures(codes, *p))
-                        spans += [(PARAGRAPH, s, e) for s, e in zip(*(x.tolist() for x in p))]
+                counts.append(0)
+                if len(words) >= LINE:
+                    for k, starts, to, key in finder.find(codes, ends):
+                        spans += [(k, s, e) for s, e in zip(starts.tolist(), to.tolist())]
+                        counts += [key.shape[1]] * len(starts)
+                        keys.append(key.ravel())
                 of += [i] * len(spans)
                 for k, s, e in spans:
                     kind.append(k)
@@ -166,8 +201,7 @@ def units(docs: DataFrame, least: int, bands: int, rows: int) -> DataFrame:
                     digest.append(xxh3_128_digest(b" ".join(words[s:e])) if k else bytes(16))
             h = np.frombuffer(b"".join(digest), ">i8").reshape(-1, 2).astype(np.int64)
             kinds = np.array(kind, np.int8)
-            counts = np.where(kinds == PARAGRAPH, bands, 0)
-            flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(of, pa.int32())), pa.array(kinds, pa.int8()), pa.array(start, pa.int32()),
@@ -177,23 +211,30 @@ def units(docs: DataFrame, least: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {UNITS}")
 
 
-def paragraph_shingles(docs: DataFrame, least: int) -> DataFrame:
-    """(node, shingles): the sorted shingle hashes of every paragraph, 8 bytes each."""
+def shingle_sets(docs: DataFrame, least: int) -> DataFrame:
+    """(node, shingles): the sorted shingle hashes, 8 bytes each, of those units of docs
+    (text, nodes) that ``nodes`` names."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Units(least, 1, 1)
         for b in batches:
             node, sets = [], []
-            for text in b.column("text").cast(pa.binary()).to_pylist():
+            for text, nodes in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("nodes").to_pylist()):
                 words, codes, ends = finder.words(text or b"")
-                if len(words) >= least:
-                    whole = finder.shingles(codes)
-                    for s, e in zip(*(x.tolist() for x in finder.paragraphs(ends))):
-                        node.append(int.from_bytes(xxh3_128_digest(b" ".join(words[s:e]))[:8], "big", signed=True))
-                        sets.append(np.unique(whole[s:e - SHINGLE + 1]).tobytes())
+                left = set(nodes)
+                if len(words) < LINE:
+                    continue
+                whole = finder.shingles(codes)
+                for _, starts, to in finder.near(codes, ends, whole):
+                    for s, e in zip(starts.tolist(), to.tolist()):
+                        h = int.from_bytes(xxh3_128_digest(b" ".join(words[s:e]))[:8], "big", signed=True)
+                        if h in left:
+                            left.discard(h)
+                            node.append(h)
+                            sets.append(np.unique(whole[s:e - SHINGLE + 1]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
-    return docs.select("text").mapInArrow(run, "node bigint, shingles binary")
+    return docs.select("text", "nodes").mapInArrow(run, "node bigint, shingles binary")
 
 
 def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -225,22 +266,22 @@ def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def near_links(docs: DataFrame, paragraphs: DataFrame, least: int, threshold: float) -> DataFrame:
-    """Verified links between nodes (h1) of paragraphs (doc_id, h1, bands) that collide in a
-    band. Nodes that only rows without an id have don't matter."""
-    paragraphs = paragraphs.filter("doc_id IS NOT NULL")
-    keyed = paragraphs.select(F.col("h1").alias("node"), F.explode("bands").alias("key"))
-    # Buckets of two nodes or more; equal paragraphs are combined before the shuffle.
+def near_links(docs: DataFrame, found: DataFrame, least: int, threshold: float) -> DataFrame:
+    """Verified links between nodes (h1) of units (doc_id, h1, bands) that collide in a key.
+    Nodes that only rows without an id have don't matter."""
+    found = found.filter("doc_id IS NOT NULL")
+    keyed = found.select(F.col("h1").alias("node"), F.explode("bands").alias("key"))
+    # Buckets of two nodes or more; equal units are combined before the shuffle.
     many = save(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                 .filter("low < high").select("key"), "passage-buckets")
-    members = save(keyed.join(many, "key").distinct(), "passage-members")
+    members = save(keyed.join(sized(many), "key").distinct(), "passage-members")
     members = save(members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "passage-members")
-    # One document of each such node is read again; the others hold the same paragraph.
-    wanted = save(paragraphs.select("doc_id", F.col("h1").alias("node")).join(sized(save(members.select("node").distinct(), "passage-nodes")), "node", "left_semi")
+    # One document of each such node is read again; the others hold the same words.
+    wanted = save(found.select("doc_id", F.col("h1").alias("node")).join(sized(save(members.select("node").distinct(), "passage-nodes")), "node", "left_semi")
                   .groupBy("node").agg(F.min("doc_id").alias("doc_id")), "passage-wanted")
-    again = docs.join(sized(save(wanted.select("doc_id").distinct(), "passage-docs")), "doc_id", "left_semi")
-    sets = save(paragraph_shingles(again, least).join(sized(wanted.select("node")), "node", "left_semi")
-                .groupBy("node").agg(F.min("shingles").alias("shingles")), "passage-shingles")
+    by_doc = save(wanted.groupBy("doc_id").agg(F.collect_list("node").alias("nodes")), "passage-docs")  # at most a document's units
+    again = docs.join(F.broadcast(by_doc) if wanted.count() <= BROADCAST_ROWS else by_doc, "doc_id")
+    sets = save(shingle_sets(again, least).groupBy("node").agg(F.min("shingles").alias("shingles")), "passage-shingles")
     shards = max(1, members.count() // 1000)
     parts = F.ceil(F.col("n") / BUCKET)
     part = F.pmod(F.xxhash64("node"), parts)
@@ -259,13 +300,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     bands, rows = tune_bands(threshold)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = save(units(source, least, bands, rows), "passage-units", by="kind")
-    frames = found.filter(F.col("kind") == FRAME).select("doc_id", "start", "words", "h1", "h2")
+    frames = found.filter(F.col("kind").isin(FRAME, FRAME + LOOSE, RUN)).select("doc_id", "start", "words", "h1", "h2")
     equal = save(frames.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last"))
                  .filter("keep_id < last").drop("last"), "passage-equal")
     exact = frames.join(equal, ["h1", "h2"]).select("doc_id", "start", "words", "keep_id")
-    paragraphs = found.filter(F.col("kind") == PARAGRAPH)
-    roots = components(save(near_links(source, paragraphs, least, threshold), "passage-links"))
-    near = save(paragraphs.join(save(roots, "passage-roots"), F.col("h1") == F.col("node"))
+    compared = found.filter(F.col("kind").isin(PARAGRAPH, FRAME, BLOCKS, BLOCKS + LOOSE))
+    roots = components(save(near_links(source, compared, least, threshold), "passage-links"))
+    near = save(compared.join(save(roots, "passage-roots"), F.col("h1") == F.col("node"))
                 .select("doc_id", "start", "words", "root"), "passage-near")
     keep = near.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).filter("keep_id < last").drop("last")
     return found, exact.unionByName(near.join(keep, "root").select("doc_id", "start", "words", "keep_id"))

@@ -206,7 +206,7 @@ def test_runs_of_fifty_words_hold_a_frame(spark):
     finder = substring.Units(25, 7, 2)
     for text in (messy.words(600, 1), "a b " * 300, " ".join(f"q{(i * i) % 37}" for i in range(600))):
         words, codes, ends = finder.words(text.encode())
-        spans = list(zip(*finder.frames(codes, ends)))
+        spans = [(s, e) for _, starts, to, _ in finder.find(codes, ends) for s, e in zip(starts, to)]
         assert all(any(i <= s and e <= i + 50 for s, e in spans) for i in range(len(words) - 49))
     rows = []
     for i in range(20):
@@ -237,6 +237,27 @@ def test_near_lines_are_linked(spark):
     assert len(linked - found) <= 0.01 * len(linked) and 900 not in found
 
 
+def test_substring_edited_copies_of_short_units(spark):
+    """A passage of three lines, or of three sentences inside a line, of 20 words with another
+    word in the middle; a line of 20 words with another last word."""
+    def passage(seed, middle, gap):
+        parts = [messy.words(20, seed + i).split() for i in range(3)]
+        parts[1][10] = middle
+        return gap.join(" ".join(p) for p in parts)
+    last = messy.words(19, 20)
+    rows = [(1, "\n".join([messy.words(9, 21), passage(30, "one", "\n"), messy.words(7, 22)])),
+            (2, "\n".join([messy.words(8, 23), passage(30, "two", "\n"), messy.words(6, 24)])),
+            (3, f"{messy.words(30, 40)}. {passage(50, 'one', '. ')}. {messy.words(31, 41)}"),
+            (4, f"{messy.words(29, 42)}. {passage(50, 'two', '. ')}. {messy.words(33, 43)}"),
+            (5, "\n".join([messy.words(10, 25), last + " one", messy.words(10, 26)])),
+            (6, "\n".join([messy.words(11, 27), last + " two", messy.words(9, 28)])),
+            (7, messy.words(200, 29))]
+    got = {r["doc_id"]: (r["removed"], r["keep_ids"], r["repeated_words"])
+           for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("", [], 60), 2: ("8:68", [1], 60), 3: ("", [], 60), 4: ("29:89", [3], 60),
+                   5: ("", [], 20), 6: ("11:31", [5], 20), 7: ("", [], 0)}
+
+
 def test_bands_reach_the_recall():
     bands, rows = substring.tune_bands(0.8, 0.999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999 > 1 - (1 - 0.8 ** rows) ** (bands - 1)
