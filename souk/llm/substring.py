@@ -12,7 +12,7 @@ Units of a text, as ranges of its words (lower case, parted by white space):
   words on (one word of so many can differ at 0.8), also over short lines. Where no sentence
   ends for ``2 * LEAST`` words, places chosen by their words part it.
 
-1. Equal frames are found by counting digests, combined before the shuffle.
+1. Equal frames and paragraphs are found by counting digests, combined before the shuffle.
 2. Paragraphs get MinHash signatures over word shingles, cut into bands; ``tune_bands``
    chooses the fewest bands that miss less than a thousandth of the pairs at the threshold.
    Blocks and frames overlap their neighbours, which bands would bring together (as they
@@ -21,8 +21,8 @@ Units of a text, as ranges of its words (lower case, parted by white space):
 3. Nodes that collide in a band meet in a shard. There their exact shingle sets are compared
    pair by pair, except pairs that links already connect; a bucket of many nodes is cut into
    parts, whose pairs are tasks of their own, so no link is lost and no task is unbounded.
-4. Components of the verified links are the clusters. In each cluster of paragraphs or equal
-   frames the document with the least id keeps the passage; others lose it.
+4. Components of the verified links are the clusters; equal units without a link are one,
+   too, so that equal lines go whole. In each cluster the document with the least id keeps the passage; others lose it.
 
 Cases: null text = empty text, without units; null ids neither keep nor lose a passage;
 repeated rows (one id) are one document; very long lines are one paragraph; an empty table
@@ -300,15 +300,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     bands, rows = tune_bands(threshold)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = save(units(source, least, bands, rows), "passage-units", by="kind")
-    frames = found.filter(F.col("kind").isin(FRAME, FRAME + LOOSE, RUN)).select("doc_id", "start", "words", "h1", "h2")
-    equal = save(frames.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last"))
-                 .filter("keep_id < last").drop("last"), "passage-equal")
-    exact = frames.join(equal, ["h1", "h2"]).select("doc_id", "start", "words", "keep_id")
+    every = found.filter(F.col("kind") != DOC).select("doc_id", "kind", "start", "words", "h1", "h2")
     compared = found.filter(F.col("kind").isin(PARAGRAPH, FRAME, BLOCKS, BLOCKS + LOOSE))
-    roots = components(save(near_links(source, compared, least, threshold), "passage-links"))
-    near = save(compared.join(save(roots, "passage-roots"), F.col("h1") == F.col("node"))
-                .select("doc_id", "start", "words", "root"), "passage-near")
+    roots = save(components(save(near_links(source, compared, least, threshold), "passage-links")), "passage-roots")
+    near = save(every.join(roots, F.col("h1") == F.col("node")).select("doc_id", "start", "words", "root"), "passage-near")
     keep = near.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).filter("keep_id < last").drop("last")
+    # Units without a link are clusters of equal ones (blocks hold nothing that these miss).
+    single = every.filter(~F.col("kind").isin(BLOCKS, BLOCKS + LOOSE)).drop("kind")
+    equal = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).filter("keep_id < last").drop("last")
+    equal = save(equal.join(roots, F.col("h1") == F.col("node"), "left_anti"), "passage-equal")
+    exact = single.join(equal, ["h1", "h2"]).select("doc_id", "start", "words", "keep_id")
     return found, exact.unionByName(near.join(keep, "root").select("doc_id", "start", "words", "keep_id"))
 
 

@@ -258,6 +258,20 @@ def test_substring_edited_copies_of_short_units(spark):
                    5: ("", [], 20), 6: ("11:31", [5], 20), 7: ("", [], 0)}
 
 
+def test_equal_lines_go_whole(spark):
+    """Also their words that are in no frame, short lines, and lines that a near one joins."""
+    tail = messy.words(26, 1) + ". " + messy.words(23, 2)
+    short, near = messy.words(12, 3), messy.words(60, 4)
+    rows = [(i, "\n".join([messy.words(6 + i, 10 + i), tail, messy.words(7, 20 + i), short, messy.words(8, 30 + i)])) for i in range(1, 4)]
+    rows += [(i, messy.words(7 + i % 2, 40 + i) + "\n" + near + (" one" if i == 5 else " two") + "\n" + messy.words(9, 50 + i)) for i in (5, 6, 7)]
+    rows += [(8, messy.words(15, 60)), (9, messy.words(15, 60))]
+    got = {r["doc_id"]: (r["removed"], r["keep_ids"], r["repeated_words"])
+           for r in substring.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("", [], 61) and got[8] == ("", [], 15) and got[9] == ("0:15", [8], 15)
+    assert got[2] == ("8:57,64:76", [1], 61) and got[3] == ("9:58,65:77", [1], 61)
+    assert got[6][0] == "7:68" and got[7][0] == "8:69" and got[6][1] == [5] and got[7][1][0] == 5
+
+
 def test_bands_reach_the_recall():
     bands, rows = substring.tune_bands(0.8, 0.999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999 > 1 - (1 - 0.8 ** rows) ** (bands - 1)
