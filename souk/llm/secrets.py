@@ -2,7 +2,7 @@
 
 Every version of every path is content-addressed: its blob is the SHA-256 of its text.
 The ledger (Parquet in a shared folder) holds one row for each blob and each batch of rule
-versions it was scanned with, findings included, also where nothing was found. A scan takes
+versions it was scanned with, findings and their rule@version included, also where nothing was found. A scan takes
 the blobs of the given paths, subtracts from all (blob, rule@version) pairs those in the
 ledger, runs only what is left, each blob once however many paths hold it, appends to the
 ledger, and joins the findings back to all paths.
@@ -88,7 +88,7 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.when(hint, F.aggregate(found, start, step, lambda acc: acc["spans"])).otherwise(none)
 
 
-LEDGER = f"blob binary, scanned array<string>, findings array<{SPAN}>"
+LEDGER = "blob binary, scanned array<string>, findings array<struct<kind:string,start:bigint,end:bigint,rule:string>>"
 
 
 def new_ledger(spark: SparkSession) -> str:
@@ -131,14 +131,17 @@ def scan(docs: DataFrame, ledger: str, rules=RULES, path_col: str = "doc_id",
         due = sized(todo)
         left = (texts.join(due, same(texts, due["__path"], due["__blob"]))
                 .select(F.col("__blob").alias("blob"), "text", "todo"))
-    runs = [F.when(F.array_contains("todo", r.id), matches(F.col("text"), r)).otherwise(
-        F.array().cast(f"array<{SPAN}>")) for r in rules]
+    by = lambda r: lambda f: f.withField("rule", F.lit(r.id))
+    runs = [F.transform(F.when(F.array_contains("todo", r.id), matches(F.col("text"), r)).otherwise(
+        F.array().cast(f"array<{SPAN}>")), by(r)) for r in rules]
     (left.select("blob", F.col("todo").alias("scanned"), F.flatten(F.array(*runs)).alias("findings"))
      .write.mode("append").parquet(ledger))
+    # Findings of the versions asked for. Rows of ledgers that don't name them: by the batch's.
+    version = F.coalesce("f.rule", F.expr("filter(scanned, s -> startswith(s, concat(f.kind, '@')))[0]"))
     known = (spark.read.schema(LEDGER).parquet(ledger)
              .filter(F.size("findings") > 0)
-             .select("blob", F.explode(F.array_distinct("findings")).alias("f"))
-             .filter(F.col("f.kind").isin([r.kind for r in rules])).distinct()
+             .select("blob", "scanned", F.explode(F.array_distinct("findings")).alias("f"))
+             .filter(version.isin(ids)).select("blob", F.col("f").dropFields("rule").alias("f")).distinct()
              .groupBy("blob").agg(F.sort_array(F.collect_list("f")).alias("findings")))
     known = save(known, "secret-findings")
     return paths.join(sized(known, 50_000), "blob", "left").select(

@@ -242,6 +242,24 @@ def test_ledger_scans_only_what_is_unseen(spark):
     assert {s for _, s in read()[:]} >= {("hex@2",)} and len(read()) == before + len({t or "" for _, t, *_ in messy.ROWS})
 
 
+def test_findings_follow_the_rule_version(spark):
+    """On a used ledger only what the versions asked for find is reported and redacted, also
+    where the ledger's findings have no version."""
+    a, b = "0123456789abcdef01234567", "0123456789abcdef0123456789"  # 24 and 26 digits
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    old = secrets.BASE
+    new = (*old[:2], secrets.Rule("hex", 2, r"[0-9a-f]{26,}", r"[0-9a-f]{26}"))
+    ledger = secrets.new_ledger(spark)
+    get = lambda rules, at: {r["path"]: [tuple(f) for f in r["findings"]] for r in secrets.scan(docs, at, rules).collect()}
+    first, second = {1: [("hex", 0, 24)], 2: [("hex", 0, 26)]}, {1: [], 2: [("hex", 0, 26)]}
+    assert get(old, ledger) == first and get(new, ledger) == second and get(old, ledger) == first
+    assert {r["text"] for r in secrets.redact_documents(docs, ledger, new).collect()} == {a, "[SECRET]"}
+    plain = secrets.scratch(spark, "secret-plain")
+    (spark.read.parquet(ledger).withColumn("findings", F.transform("findings", lambda f: f.dropFields("rule")))
+     .write.parquet(plain))
+    assert get(new, plain) == second and get(old, plain) == first
+
+
 def test_redaction(spark):
     docs = messy.docs(spark)
     out = secrets.redact_documents(docs, secrets.new_ledger(spark))
