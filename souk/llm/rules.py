@@ -102,10 +102,21 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     """P(X <= k) for X of the binomial distribution (n, p)."""
     if p <= 0 or p >= 1:
         return float(p <= 0)
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-           for i in range(k, max(-1, k - 2000), -1)]  # terms fall off below k, as k < np here
-    top = max(log)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in log))
+    at = min(k, int((n + 1) * p))  # the largest term; the others relative to it, until they change nothing
+    total = term = 1.0
+    for i in range(at, 0, -1):
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        if total + term == total:
+            break
+        total += term
+    term = 1.0
+    for i in range(at + 1, k + 1):
+        term *= (n - i + 1) * p / (i * (1 - p))
+        if total + term == total:
+            break
+        total += term
+    log = math.lgamma(n + 1) - math.lgamma(at + 1) - math.lgamma(n - at + 1) + at * math.log(p) + (n - at) * math.log1p(-p)
+    return min(1.0, math.exp(log) * total)
 
 
 def safe_cutoff(good: dict[int, int], bad: dict[int, int], risk: float, delta: float) -> int | None:

@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from math import comb
+from math import comb, erfc
 
 import numpy as np
 import pytest
@@ -164,6 +164,17 @@ def test_exact_bound(k, n, delta):
     assert rules.upper_bound(n, n, delta) == 1.0
 
 
+def test_binomial_tail_is_whole():
+    """Where far more than 2,000 terms count: against the normal law, and small ones exactly."""
+    n, p = 2 * 10**9, 0.01
+    dev = (n * p * (1 - p)) ** 0.5
+    for z in (-3, -2, -1, 0, 1):
+        k = int(n * p + z * dev)
+        assert rules.binomial_cdf(k, n, p) == pytest.approx(erfc(-(k + 0.5 - n * p) / dev / 2 ** 0.5) / 2, rel=2e-3)
+    for k in range(61):
+        assert rules.binomial_cdf(k, 60, 0.3) == pytest.approx(sum(comb(60, i) * 0.3 ** i * 0.7 ** (60 - i) for i in range(k + 1)), rel=1e-9)
+
+
 def test_cutoffs_separate_and_hold_the_risk():
     good, bad = {0: 4000, 10: 900, 100: 5}, {0: 10, 150: 80, 100: 10}
     cut = rules.safe_cutoff(good, bad, 0.01, 0.001)
