@@ -115,21 +115,22 @@ class Units:
         return starts[long], ends[long]
 
     def near(self, codes: np.ndarray, ends: np.ndarray, shingles: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, starts, ends) of the paragraphs, frames and blocks: from each cut to the
-        first one so many words on. Cuts are the ends of lines and sentences, and winnowed
-        places where these are far apart; units that such a place bounds are LOOSE."""
+        """(kind, starts, ends) of the paragraphs, of the frames between ends of lines and
+        sentences, and of the blocks: from each cut to the first one so many words on. Cuts
+        are these ends, and winnowed places where they are far apart; blocks that such a place
+        bounds are LOOSE."""
         marks = np.unique(np.concatenate([[0], ends, np.nonzero(codes & np.uint64(1))[0] + 1]))
         more = winnowed(shingles, self.least)
         after = np.searchsorted(marks, more, "right")
         cuts = np.union1d(marks, more[marks[after] - marks[after - 1] >= 2 * self.least])
         firm = np.isin(cuts, marks)
-        out = [(PARAGRAPH, *self.paragraphs(ends))]
-        for kind, least in ((FRAME, self.least), (BLOCKS, max(BLOCK, self.least))):
-            to = np.searchsorted(cuts, cuts + least)
-            at = np.nonzero(to < len(cuts))[0]
-            both = firm[at] & firm[to[at]]
-            out += [(k, cuts[a], cuts[to[a]]) for k, a in ((kind, at[both]), (kind + LOOSE, at[~both]))]
-        return out
+        to = np.searchsorted(cuts, cuts + max(BLOCK, self.least))
+        at = np.nonzero(to < len(cuts))[0]
+        both = firm[at] & firm[to[at]]
+        end = np.searchsorted(marks, marks + self.least)
+        there = end < len(marks)
+        return [(PARAGRAPH, *self.paragraphs(ends)), (FRAME, marks[there], marks[end[there]]),
+                *((k, cuts[a], cuts[to[a]]) for k, a in ((BLOCKS, at[both]), (BLOCKS + LOOSE, at[~both])))]
 
     def ends_keys(self, kind: int, shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Keys of frames and blocks: the shingles at both ends, and, where sentences or lines
@@ -201,6 +202,7 @@ def units(docs: DataFrame, least: int, bands: int, rows: int) -> DataFrame:
                     digest.append(xxh3_128_digest(b" ".join(words[s:e])) if k else bytes(16))
             h = np.frombuffer(b"".join(digest), ">i8").reshape(-1, 2).astype(np.int64)
             kinds = np.array(kind, np.int8)
+            h[np.isin(kinds, (BLOCKS, BLOCKS + LOOSE)), 1] = 0  # blocks are nodes only
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
