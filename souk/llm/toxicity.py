@@ -16,7 +16,8 @@ a hash of the id; scoring reads every whole text.
 Cases: null text = empty text, which gets the bias alone; labels that are null are skipped;
 labels for one id that contradict each other count as toxic; without labels of both classes
 the score is the smoothed share of toxic labels; null ids are scored and, by remainder,
-never held out; repeated rows are scored alike; an empty table gives an empty result.
+never held out; repeated rows are scored alike, and of several texts under one id the least
+is trained on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     hashed = np.zeros(len(codes), np.uint64)
     found = [np.array([zlib.crc32(w.encode()) % BUCKETS for w in marked], np.int64)]
     of = [np.arange(len(words))]
-    for n in range(1, GRAMS[-1] + 1):
+    for n in range(1, min(GRAMS[-1], len(codes)) + 1):
         hashed[:len(codes) - n + 1] = hashed[:len(codes) - n + 1] * PRIME + codes[n - 1:]
         if n >= GRAMS[0]:
             there = np.nonzero(left >= n)[0]
@@ -165,11 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
     known = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select(
-        "doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("all"))
+    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(F.coalesce("text", F.lit(""))).alias("text")).withColumn("all", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id"]).sort_values("doc_id")
+        pdf = pdf.sort_values("doc_id")
         bias, weights = fit([t.encode() for t in pdf["text"]], pdf["toxic"].to_numpy())
         return pd.DataFrame({"bias": [bias], "weights": [weights.astype("<f4").tobytes()]})
     model = rows.groupBy("all").applyInPandas(run, "bias double, weights binary").collect()  # one row of a MB

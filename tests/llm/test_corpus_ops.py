@@ -319,6 +319,30 @@ def test_toxicity_without_labels(spark):
     assert toxicity.report(messy.docs(spark, []), messy.labels(spark)).count() == 0
 
 
+def test_toxicity_of_short_texts(spark):
+    """Texts with fewer letters than an n-gram, alone in a batch, and among the rows trained on."""
+    short = [(d, t) for d, t in enumerate(["", "a", "ok", "42", " ", "é"], 50_000)]
+    train = toxic_rows(120, 1)
+    docs = spark.createDataFrame([r[:2] for r in train] + short, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1, y) for d, _, y in train] + [(d, 1, d % 2) for d, _ in short], "doc_id long, quality int, toxic int")
+    rows = toxicity.report(docs, labels).collect()
+    assert len(rows) == len(train) + len(short) and all(0 <= r["score"] <= 1 for r in rows)
+    for d, t in short:
+        one = toxicity.report(spark.createDataFrame([(d, t)], "doc_id long, text string"), labels).collect()
+        assert len(one) == 1 and 0 <= one[0]["score"] <= 1
+    bias, weights = toxicity.fit([t.encode() for _, t in short], np.array([0, 1, 0, 1, 0, 1]))
+    assert np.isfinite(bias) and np.isfinite(weights).all()
+
+
+def test_toxicity_trains_on_the_least_text_of_an_id(spark):
+    train = toxic_rows(120, 1)
+    labels = spark.createDataFrame([(d, 1, y) for d, _, y in train], "doc_id long, quality int, toxic int")
+    again = [(d, "zz " + t) for d, t, _ in train]
+    models = [toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+              for rows in ([r[:2] for r in train], [r[:2] for r in train] + again, again + again + [r[:2] for r in train])]
+    assert all(m[0] == models[0][0] and np.array_equal(m[1], models[0][1]) for m in models)
+
+
 def test_quality_classifier(spark):
     """Sites with few rows stay near the level above; those with many follow their rows."""
     good = lambda i: messy.words(80, 100 + i % 50)
