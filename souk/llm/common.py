@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from souk.session import ensure_checkpoint_dir
@@ -46,6 +46,23 @@ def sized(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= max_rows else table
 
 
+def in_order(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """``df`` as a written table sorted by ``keys``, with ``place``: a row's number from 0 in
+    that order, without gaps.
+
+    Ranges of the keys are dealt to tasks, so the keys should tell rows apart (a row number
+    last), lest a value that many rows share makes one range of them. A task's rows are
+    counted from 0; what stands before them is a running sum over one row for each task."""
+    sorted_rows = save(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                       .withColumn("at", F.monotonically_increasing_id()), name)
+    task = F.shiftright("at", 33)
+    sizes = sorted_rows.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
+    before = sizes.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
+    return (sorted_rows.join(F.broadcast(before), task == F.col("task"))
+            .withColumn("place", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("task", "before", "at"))
+
+
 def text_of(name: str = "text") -> Column:
     """The text column; null counts as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from souk.llm import bpe, chat, exact, packing, quality, rules, secrets, simhash, substring, toxicity
+from souk.llm import (
+    bpe, chat, exact, packing, quality, repair, resample, rules, secrets, sharding, simhash, substring, toxicity,
+)
 from souk.llm.common import table
 
 # The vocabulary the contracts name; its place is found on the driver and its content is
@@ -64,6 +66,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_chat": op2_chat,
@@ -75,4 +89,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_repair": op11_repair,
+    "op12_resample": op12_resample,
+    "op13_sharding": op13_sharding,
 }
