@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from souk.llm import sharding
+from souk.llm.resample import BUCKETS, LEAST_WORDS, PERCENT, SEED
 from souk.llm.rules import DELTA, RISK, STEPS
 from souk.llm.secrets import BASE, RULES
+from souk.llm.sharding import SHARDS
 
 OP2 = r"""
 WITH t AS (
@@ -121,9 +124,121 @@ FROM f
 """
 
 
+# The remainders of all bytes for CRC-32, by its rule, as one list t.
+CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's bytes, where crc_table is in scope."""
+    return (f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT)), "
+            "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)")
+
+
+def _op11() -> str:
+    """Row by row: the least (cost, audit, repaired turns) for each state of the pattern."""
+    some = lambda x, cost, edit, line="": f"{{'c': {x}.c + {cost}, 'a': {x}.a || {edit}, 't': {x}.t{line}}}"
+    new = lambda x, role: some(x, 5, "'I'", f" || chr(10) || '{role}:'")
+    far = "{'c': 1000000000, 'a': '', 't': ''}"
+    most = "{'c': 2000000000, 'a': '', 't': ''}"
+
+    def grown(select: str, source: str) -> str:
+        """``source`` with inserted turns: u, then a."""
+        return (f"SELECT {select}, s0 AS i0, s1 AS i1, i2, least(s3, {new('i2', 'assistant')}) AS i3 FROM ("
+                f"SELECT *, least(s2, {new('s0', 'user')}, {new('s1', 'user')}, {new('s3', 'user')}) AS i2 FROM {source})")
+
+    def said(x: str, role: str) -> str:
+        """The row kept, or given the role, after ``x``."""
+        own = f"(c = '{role[0]}')"
+        return (f"CASE WHEN ok THEN " + some(x, f"IF({own}, 0, 1) + cut", f"IF({own}, 'K', 'R')",
+                f" || chr(10) || IF({own}, role, '{role}') || ':' || text") + f" ELSE {most} END")
+    gone = lambda x: some(x, 2, "'D'")
+    keep_s = "CASE WHEN ok AND c = 's' THEN " + some("i0", "cut", "'K'", " || chr(10) || role || ':' || text") + f" ELSE {most} END"
+    return rf"""
+WITH RECURSIVE {CRC_TABLE},
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, IF(k = 4, 'user', role) AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed),
+placed AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS c, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, nth,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS before
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM damaged)),
+faulty AS (
+  SELECT *, CASE WHEN last = '' THEN 1 WHEN nth > 1 THEN 2 WHEN last IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault FROM placed),
+rated AS (SELECT *, fault IN (0, 3) AS ok, IF(fault = 3, 5, 0) AS cut FROM faulty),
+run(conv_id, k, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}}, {far}, {far}, {far} FROM conversations
+  UNION ALL
+  SELECT r.conv_id, i, {gone('i0')}, least({gone('i1')}, {keep_s}), least({gone('i2')}, {said('least(i0, i1, i3)', 'user')}),
+         least({gone('i3')}, {said('i2', 'assistant')})
+  FROM ({grown('conv_id, k', 'run')}) r JOIN rated ON rated.conv_id IS NOT DISTINCT FROM r.conv_id AND i = k + 1),
+ended AS (SELECT conv_id, arg_max(least(i0, i3), k) AS best FROM ({grown('conv_id, k', 'run')}) GROUP BY conv_id),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+         count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+         count(*) FILTER (WHERE i > 1 AND (before || c) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rated GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN figures f ON e.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
+
+def _op12() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = rf"unnest(regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word"
+    h = f"CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)"
+    return f"""
+WITH {CRC_TABLE},
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+w AS (SELECT r, {words} FROM d),
+x AS (SELECT {words} FROM benchmark),
+buckets AS (SELECT word, {_crc32('word')} % {BUCKETS} AS bucket FROM (SELECT word FROM w UNION SELECT word FROM x), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM x JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM w) + {BUCKETS}.0::DOUBLE)
+    / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM x) + {BUCKETS}.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(({h} + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS k, count(*) OVER () AS able FROM scored WHERE n >= {LEAST_WORDS})
+SELECT doc_id, n AS n_features, weight, score, IF(k <= {PERCENT} * able // 100, k, NULL) AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
+def _op13() -> str:
+    return f"""
+WITH {CRC_TABLE},
+b AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc32("coalesce(text, '')")} AS text_crc32,
+             sha256('{sharding.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled FROM documents, crc_table),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY shuffled, doc_id NULLS FIRST, size, text_crc32) - 0.5::DOUBLE)
+                / CAST(count(*) OVER (PARTITION BY source) AS DOUBLE) AS fraction FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST) - 1 AS place, count(*) OVER () // {SHARDS} AS q,
+             count(*) OVER () % {SHARDS} AS m FROM f),
+e AS (SELECT *, place < m * (q + 1) AS early, place - m * (q + 1) AS over, greatest(q, 1) AS least FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(IF(early, place // (q + 1), m + over // least) AS INTEGER) AS shard,
+  CAST(IF(early, place % (q + 1), over % least) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM e
+"""
+
+
 ORACLE = {
     "op2_chat": OP2,
     "op6_quality_rules": _op6(),
     "op7_exact_dedup": OP7,
     "op8_secret_scan": _op8(),
+    "op11_repair": _op11(),
+    "op12_resample": _op12(),
+    "op13_sharding": _op13(),
 }

@@ -291,7 +291,8 @@ def repair(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     given = rows.schema["conv_id"].dataType.simpleString()
     conv = "bigint" if given in ("bigint", "int", "smallint", "tinyint") else "string"
     rows = rows.withColumns({"turn": F.col("turn").cast("long"), "conv_id": F.col("conv_id").cast(conv)})
-    order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")]
+    # Of equal rows the one that repeats none stands first.
+    order = [*(F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "text")), (F.col("fault") == 2).asc()]
     placed = save(with_faults(rows).repartitionByRange(*order).sortWithinPartitions(*order)
                   .withColumn("at", F.monotonically_increasing_id())
                   .withColumn("block", F.floor(F.col("at") / block)), "repair-rows")

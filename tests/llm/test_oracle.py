@@ -6,8 +6,9 @@ import pytest
 import messy
 from souk.llm.oracle import ORACLE
 from souk.llm.queries import QUERIES
+from test_order_ops import conversations
 
-TABLES = ("documents", "labels", "conversations")
+TABLES = ("documents", "labels", "conversations", "benchmark")
 
 
 def compare(spark, folder, key):
@@ -20,7 +21,7 @@ def compare(spark, folder, key):
     got = QUERIES[key](spark, folder)
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    assert {c: t.replace("bigint", "BIGINT").replace("string", "VARCHAR").replace("boolean", "BOOLEAN") for c, t in got.dtypes} == {
+    assert {c: {"string": "VARCHAR", "int": "INTEGER"}.get(t, t.upper()) for c, t in got.dtypes} == {
         c: str(t) for c, t in zip(want.columns, want.types)}
     rows = [tuple(r) for r in got.select(*cols).collect()]
     assert sorted(rows, key=str) == sorted(want.select(*cols).fetchall(), key=str)
@@ -35,7 +36,9 @@ def test_test_data(spark, key):
 def write(spark, folder, docs, labels):
     messy.docs(spark, docs, extra=False).coalesce(1).write.parquet(f"{folder}/documents.parquet")
     messy.labels(spark, labels).coalesce(1).write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    rows = [(c, t, r, x) for i, (c, t, r, x) in enumerate(conversations(5, 40, 12)) if c is not None or i % 2]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(1, messy.PASSAGE), (2, None)], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
