@@ -38,6 +38,7 @@ RAW_SCHEMAS = {
     "nation": "n_nationkey INT, n_name STRING",
     "supplier": "s_suppkey BIGINT",
     "part": "p_partkey BIGINT, p_brand STRING, p_size INT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
 }
 
 
@@ -132,6 +133,11 @@ def category_translation_view(part: DataFrame) -> DataFrame:
                     .alias("product_category_name_english")))
 
 
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activity log; its users are customers."""
+    return _read(spark, sf_dir, "events")
+
+
 def from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
     """The eight marketplace DataFrames over one test-data folder (opened lazily)."""
 

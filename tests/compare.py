@@ -11,7 +11,7 @@ import sys
 
 import duckdb
 
-RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
