@@ -6,12 +6,12 @@ only the k - 1 rows that end a tile: NTILE gives the first n mod k tiles
 n div k + 1 rows and the others n div k, so the ranks of these rows are known,
 and a row's tile follows from comparing its key with theirs.
 
-``cut_keys`` finds the keys at given ranks exactly, by narrowing: up to
-``PIVOTS`` rows of the range, drawn by a hash, split it into parts that one
-aggregation counts, and the part that holds the rank is the next range. Keys are
-(value, id), so a hot value is split by its ids. A range of at most ``SMALL``
-rows is collected and sorted. Each step is one scan with a few counters; no row
-is shuffled.
+``cut_keys`` finds the keys at given ranks of several values at once, exactly, by
+narrowing: pivots drawn by a hash from every range that holds a rank split it into
+parts that one aggregation counts, and the part with the rank is the next range. Keys
+are (value, id), so a hot value is split by its ids. When all ranges hold at most
+``SMALL`` rows, these are collected and sorted. A step is two scans with a few
+counters for all values and ranks together; no row is shuffled.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIVOTS = 64
+PIVOTS = 16
 SMALL = 20_000
+HASHES = 1 << 52
 
 
 def _order(key: tuple) -> tuple:
@@ -30,54 +31,79 @@ def _order(key: tuple) -> tuple:
     return tuple((x is not None, x) for x in key)
 
 
-def cut_keys(df: DataFrame, value: str, id_col: str, ranks: list[int], n: int,
-             small: int = SMALL, pivots: int = PIVOTS) -> list[tuple]:
-    """The keys (value, id) at the 1-based ``ranks`` of the n rows, ordered by value
-    (NULLs first) and id."""
-    rows = df.select(F.struct(F.col(value), F.col(id_col)).alias("key"))
-    kinds = [df.schema[value].dataType, df.schema[id_col].dataType]
-
-    def literal(key: tuple) -> Column:
-        return F.struct(*(F.lit(x).cast(kind).alias(name) for x, kind, name in zip(key, kinds, (value, id_col))))
-
-    def within(low: tuple | None, high: tuple | None) -> DataFrame:
-        part = rows
-        if low is not None:
-            part = part.where(F.col("key") > literal(low))
-        return part if high is None else part.where(F.col("key") <= literal(high))
-
-    out: list[tuple] = []
-    held: tuple | None = None  # the last small range and its sorted keys
-    for rank in ranks:
-        low, high, below, upto = None, None, 0, n
-        while upto - below > small:
-            drawn = within(low, high).orderBy(F.xxhash64("key"), "key").limit(pivots).collect()
-            tries = sorted({tuple(r["key"]) for r in drawn}, key=_order)
-            counts = within(low, high).agg(*(c for i, p in enumerate(tries) for c in (
-                F.count_if(F.col("key") < literal(p)).alias(f"l{i}"),
-                F.count_if(F.col("key") <= literal(p)).alias(f"u{i}")))).first()
-            start = below
-            for i, p in enumerate(tries):
-                less, most = start + counts[2 * i], start + counts[2 * i + 1]
-                if most < rank:
-                    low, below = p, most
-                elif less < rank:  # the rank is this key's
-                    low = high = p
-                    below, upto = rank - 1, rank
-                    break
-                else:
-                    high, upto = p, less
-                    break
-            if low == high and low is not None:
-                break
-        if low == high and low is not None:
-            out.append(low)
+class _Range:
+    """Where the key at ``rank`` of a value lies: after ``low``, not after ``high``;
+    ``below`` rows come before the range, ``upto`` with it."""
+
+    def __init__(self, value: str, rank: int, n: int):
+        self.value, self.rank, self.low, self.high, self.below, self.upto = value, rank, None, None, 0, n
+        self.found: tuple | None = None
+
+    @property
+    def size(self) -> int:
+        return self.upto - self.below
+
+    @property
+    def place(self) -> tuple:
+        return self.value, self.low, self.high
+
+    def narrow(self, pivots: list[tuple], upto: list[int]) -> None:
+        """``upto[i]``: rows up to ``pivots[i]``, which are sorted."""
+        for pivot, most in zip(pivots, upto):
+            if most == self.rank:
+                self.found = pivot
+            if most >= self.rank:
+                self.high, self.upto = pivot, most
+                return
+            self.low, self.below = pivot, most
+
+
+def cut_keys(df: DataFrame, id_col: str, ranks: dict[str, list[int]], n: int,
+             small: int = SMALL, pivots: int = PIVOTS) -> dict[str, list[tuple]]:
+    """For each value column the keys (value, id) at its 1-based ``ranks`` of the n rows,
+    ordered by value (NULLs first) and id. Ids must be unique."""
+    def key(value: str) -> Column:
+        return F.struct(F.col(value), F.col(id_col))
+
+    def literal(value: str, k: tuple) -> Column:
+        return F.struct(*(F.lit(x).cast(df.schema[c].dataType).alias(c) for x, c in zip(k, (value, id_col))))
+
+    def within(value: str, low: tuple | None, high: tuple | None) -> Column:
+        here = F.lit(True) if low is None else key(value) > literal(value, low)
+        return here if high is None else here & (key(value) <= literal(value, high))
+
+    rows = df.select(id_col, *ranks)
+    goals = [_Range(value, rank, n) for value, of in ranks.items() for rank in of]
+    step = 0
+    while wide := {g.place: g.size for g in goals if g.found is None and g.size > small}:
+        step += 1
+        lots = F.pmod(F.xxhash64(F.col(id_col), F.lit(step)), F.lit(HASHES))
+        drawn = rows.agg(*(F.collect_list(F.when(within(*place) & (lots < max(1, HASHES * pivots // size)), key(place[0]))).alias(f"r{i}")
+                           for i, (place, size) in enumerate(wide.items()))).first()  # about ``pivots`` keys each
+        tries = {place: sorted((tuple(k) for k in drawn[i]), key=_order) for i, place in enumerate(wide)}
+        tests = [(place, p) for place, ps in tries.items() for p in ps]
+        if not tests:
             continue
-        if held is None or held[0] != (low, high):
-            keys = sorted((tuple(r["key"]) for r in within(low, high).collect()), key=_order)
-            held = ((low, high), keys)
-        out.append(held[1][rank - below - 1])
-    return out
+        counts = rows.agg(*(F.count_if(within(*place) & (key(place[0]) <= literal(place[0], p))).alias(f"c{i}")
+                            for i, (place, p) in enumerate(tests))).first()
+        for g in goals:
+            if g.found is None and g.place in tries:
+                place = g.place
+                g.narrow(tries[place], [g.below + c for c, (at, _) in zip(counts, tests) if at == place])
+    left = {g.place for g in goals if g.found is None}
+    if left:
+        some = F.lit(False)
+        for place in left:
+            some = some | within(*place)
+        held = rows.where(some).collect()  # ``small`` rows for each rank, at most
+        keys = {}
+        for value, low, high in left:
+            every = sorted(((r[value], r[id_col]) for r in held), key=_order)
+            keys[value, low, high] = [k for k in every if (low is None or _order(k) > _order(low)) and (high is None or _order(k) <= _order(high))]
+        for g in goals:
+            if g.found is None:
+                g.found = keys[g.place][g.rank - g.below - 1]
+    return {value: [g.found for g in goals if g.value == value] for value in ranks}
 
 
 def ntile_by_cuts(df: DataFrame, k: int, id_col: str, scores: dict[str, str], **sizes) -> DataFrame:
@@ -86,14 +112,13 @@ def ntile_by_cuts(df: DataFrame, k: int, id_col: str, scores: dict[str, str], **
     ``id_col`` must be unique; ``df`` should be a written frame, as it is scanned
     a few times."""
     n = df.count()
-    ranks = list(accumulate(n // k + (i < n % k) for i in range(k - 1)))
-    ranks = [r for r in ranks if 0 < r < n]
-    for value, out in scores.items():
+    ranks = [r for r in accumulate(n // k + (i < n % k) for i in range(k - 1)) if 0 < r < n]
+    for value, cuts in cut_keys(df, id_col, {value: ranks for value in scores}, n, **sizes).items():
         key = F.struct(F.col(value), F.col(id_col))
         tile = F.lit(1)
-        for cut in cut_keys(df, value, id_col, ranks, n, **sizes):
+        for cut in cuts:
             at = F.struct(F.lit(cut[0]).cast(df.schema[value].dataType).alias(value),
                           F.lit(cut[1]).cast(df.schema[id_col].dataType).alias(id_col))
             tile = tile + F.when(key > at, 1).otherwise(0)
-        df = df.withColumn(out, tile.cast("long"))
+        df = df.withColumn(scores[value], tile.cast("long"))
     return df

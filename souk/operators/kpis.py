@@ -22,9 +22,10 @@ def _snapshot(t: Tables, weighted: bool) -> DataFrame:
     """Shared body of both snapshot forms.
 
     One pass over the items gives a row for each (order, seller) with sums and
-    a count; a hot order is one row for each of its sellers from there on. A
-    window over the order adds the order's sums to these rows, and one of them
-    (``first``) carries them into the result, while all of them carry sellers.
+    a count, so a hot order is one row for each of its sellers from there on.
+    Joined with the delivered orders (one row for each order and customer, with
+    their number), these rows are grouped by order and, beside it, by seller;
+    both combine before their one shuffle.
 
     ``weighted`` reproduces the original query, which joins order totals back
     to the item rows so every order's totals count once per item: sums become
@@ -34,22 +35,22 @@ def _snapshot(t: Tables, weighted: bool) -> DataFrame:
     pairs = t.order_items.groupBy("order_id", "seller_id").agg(
         F.sum("price").alias("p"), F.sum("freight_value").alias("f"),
         F.sum(F.col("price") + F.col("freight_value")).alias("o"), F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("order_id")
-    pairs = pairs.select(
-        "order_id", "seller_id", F.sum("p").over(order).alias("product_amount"),
-        F.sum("f").over(order).alias("freight_amount"), F.sum("o").over(order).alias("order_total"),
-        F.sum("n").over(order).alias("n_items"),
-        (F.row_number().over(order.orderBy("seller_id")) == 1).alias("first"))
-    rows = pairs.join(delivered_orders(t).select("order_id", "customer_id"), "order_id")
-    w = F.when(F.col("first"), F.col("n_items") if weighted else F.lit(1))
-    return rows.agg(
+    orders = delivered_orders(t).groupBy("order_id", "customer_id").agg(F.count(F.lit(1)).alias("m"))
+    rows = pairs.join(orders, "order_id")
+    order = ["order_id", "customer_id", "m"]
+    grouped = rows.groupingSets([order, ["seller_id"]], *order, "seller_id").agg(
+        F.grouping("seller_id").alias("of_order"),
+        *(F.sum(c).alias(c) for c in ("p", "f", "o", "n"))).where("of_order = 1 OR seller_id IS NOT NULL")
+    of_order = F.col("of_order") == 1
+    w = F.when(of_order, F.col("m") * F.col("n") if weighted else F.col("m"))
+    return grouped.agg(
         F.countDistinct("order_id").alias("total_orders"),
         F.countDistinct("customer_id").alias("unique_customers"),
-        F.countDistinct("seller_id").alias("active_sellers"),
-        F.sum(F.col("product_amount") * w).alias("sp"),
-        F.sum(F.col("freight_amount") * w).alias("sf"),
-        F.sum(F.col("order_total") * w).alias("st"),
-        F.sum(F.when(F.col("order_total").isNotNull(), w)).alias("cnt")).select(
+        F.count_if(~of_order).alias("active_sellers"),
+        F.sum(F.col("p") * w).alias("sp"),
+        F.sum(F.col("f") * w).alias("sf"),
+        F.sum(F.col("o") * w).alias("st"),
+        F.sum(F.when(F.col("o").isNotNull(), w)).alias("cnt")).select(
         "total_orders", "unique_customers", "active_sellers",
         _money(F.col("sp")).alias("product_revenue"),
         _money(F.col("sf")).alias("freight_revenue"),

@@ -23,9 +23,17 @@ def null_profile(df: DataFrame, checks: dict[str, str], total_alias: str) -> Dat
                   *[F.count_if(F.col(c).isNull()).alias(a) for a, c in checks.items()])
 
 
-def duplicate_keys(df: DataFrame, keys: list[str], count_alias: str = "occurrences") -> DataFrame:
-    """Key groups seen more than once (partial aggregation absorbs hot keys)."""
-    return df.groupBy(*keys).agg(count_rows().alias(count_alias)).where(F.col(count_alias) > 1)
+def duplicate_keys(df: DataFrame, keys: list[str], count_alias: str = "occurrences", limit: int | None = None) -> DataFrame:
+    """Key groups seen more than once (partial aggregation absorbs hot keys); with ``limit``
+    the most frequent ones, ties by key."""
+    found = df.groupBy(*keys).agg(count_rows().alias(count_alias)).where(F.col(count_alias) > 1)
+    return found if limit is None else found.orderBy(F.desc(count_alias), *keys).limit(limit)
+
+
+def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """The child rows whose ``key`` has no parent row (NULL keys count). The parent side is
+    one row per key; a hot key of the child is on the side that a skewed join splits."""
+    return child.join(parent.select(key).distinct(), key, "left_anti").select(child.columns)
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, key: str, alias: str) -> DataFrame:
@@ -80,8 +88,7 @@ def dq_null_products(t: Tables) -> DataFrame:
 
 
 def dq_duplicate_orders(t: Tables, limit: int = 10) -> DataFrame:
-    return (duplicate_keys(t.orders.select("order_id"), ["order_id"])
-            .orderBy(F.desc("occurrences"), "order_id").limit(limit))
+    return duplicate_keys(t.orders.select("order_id"), ["order_id"], limit=limit)
 
 
 def dq_date_range(t: Tables) -> DataFrame:
@@ -129,3 +136,16 @@ def dq_scorecard(t: Tables) -> DataFrame:
     return (check(CHECK_DUPLICATE_ORDERS, dups, "n")
             .unionByName(check(CHECK_ORPHAN_ITEMS, orphans, "n"))
             .unionByName(check(CHECK_ZERO_PRICE, zero, "n")))
+
+
+def dq_failing_rows(t: Tables) -> DataFrame:
+    """What stands behind each FAIL of the scorecard: the keys of the rows, and how many
+    rows have them."""
+    def rows(name: str, df: DataFrame, key: str) -> DataFrame:
+        return df.groupBy(F.col(key).cast("string").alias("row_key")).agg(count_rows().alias("rows")).select(
+            F.lit(name).alias("check_name"), "row_key", "rows")
+    items = t.order_items.select("order_id", "price")
+    return (duplicate_keys(t.orders.select("order_id"), ["order_id"], "rows")
+            .select(F.lit(CHECK_DUPLICATE_ORDERS).alias("check_name"), F.col("order_id").cast("string").alias("row_key"), "rows")
+            .unionByName(rows(CHECK_ORPHAN_ITEMS, orphans(items.select("order_id"), t.orders, "order_id"), "order_id"))
+            .unionByName(rows(CHECK_ZERO_PRICE, items.where(F.col("price") <= 0), "order_id")))

@@ -24,6 +24,7 @@ OPERATORS: dict[str, Operator] = {
     "dq_orphan_items_product": quality.dq_orphan_items_product,
     "dq_price_sanity": quality.dq_price_sanity,
     "dq_scorecard": quality.dq_scorecard,
+    "dq_failing_rows": quality.dq_failing_rows,
     # business KPIs
     "kpi_snapshot": kpis.kpi_snapshot,
     "kpi_snapshot_order_grain": kpis.kpi_snapshot_order_grain,
