@@ -6,12 +6,15 @@ A user of the log is a customer (``user_id`` = ``customer_id``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.expr import DAY_US, count_rows, trunc_days
-from souk.operators.common import DELIVERED_TS, ESTIMATED_TS, PURCHASE_TS, delivered_orders
+from souk.operators.common import (
+    DELIVERED_TS, ESTIMATED_TS, PURCHASE_TS, delivered_order_rows, delivered_orders, product_categories,
+)
 from souk.operators.temporal import asof_join, interval_join, overlap_join
+from souk.session import materialize
 from souk.sources.tables import Tables
 
 
@@ -40,6 +43,7 @@ def asof_price_moves(t: Tables, events: DataFrame | None = None) -> DataFrame:
     before (of sales at one time, the dearest)."""
     sold = t.order_items.select("order_id", "product_id", "price").join(
         t.orders.select("order_id", PURCHASE_TS).dropDuplicates(["order_id"]), "order_id").drop("order_id")
+    sold = materialize(sold)  # read several times
     found = asof_join(sold, sold, [("product_id", "product_id")], (PURCHASE_TS, PURCHASE_TS), {"price": "before"}, strict=True)
     return found.groupBy("product_id").agg(
         count_rows().alias("sales"), F.count("before").alias("with_earlier"),
@@ -76,3 +80,52 @@ def interval_overlapping_deliveries(t: Tables, events: DataFrame | None = None)
     side = lambda p: rows.toDF(f"{p}_who", f"{p}_id", f"{p}_start", f"{p}_end")
     pairs = overlap_join(side("a"), side("b"), ("a_start", "a_end"), ("b_start", "b_end"), keys=[("a_who", "b_who")])
     return pairs.where("a_id < b_id").groupBy(F.col("a_who").alias("customer_id")).agg(count_rows().alias("overlapping"))
+
+
+def rolling_state_activity(t: Tables, events: DataFrame | None = None, days: int = 28) -> DataFrame:
+    """For each state and day with a sale: revenue and different persons who bought in the
+    ``days`` days up to it.
+
+    Revenue is a moving sum over one row for each state and day. Persons aren't counted
+    again for each day: a person joins the count on the first day of a run of purchases less
+    than ``days`` days apart and leaves it ``days`` days after the last, so the count is a
+    running sum of joins less leaves over the days of a state."""
+    rows = delivered_order_rows(t, with_customer=True).where(F.col(PURCHASE_TS).isNotNull()).select(
+        F.col("customer_state").alias("state"), F.col("customer_unique_id").alias("who"), "order_total",
+        F.datediff(F.to_date(PURCHASE_TS), F.lit("1970-01-01").cast("date")).alias("day"))
+    bought = rows.where("who IS NOT NULL").select("state", "who", "day").distinct()
+    own = Window.partitionBy("state", "who").orderBy("day")
+    runs = bought.select("state", "day", (F.coalesce(F.col("day") - F.lag("day").over(own), F.lit(days)) >= days).alias("joins"),
+                         (F.coalesce(F.lead("day").over(own) - F.col("day"), F.lit(days)) >= days).alias("leaves"))
+    moves = runs.select("state", F.explode(F.array(
+        F.struct("day", F.col("joins").cast("long").alias("change")),
+        F.struct((F.col("day") + days).alias("day"), (-F.col("leaves").cast("long")).alias("change")))).alias("m")).select(
+        "state", "m.day", "m.change").groupBy("state", "day").agg(F.sum("change").alias("change"))
+    sales = rows.groupBy("state", "day").agg(F.sum("order_total").alias("paid"), count_rows().alias("orders"))
+    none = lambda kind: F.lit(None).cast(kind)
+    # One row for each state and day from here on.
+    daily = (sales.select("state", "day", "paid", "orders", none("long").alias("change"))
+             .unionByName(moves.select("state", "day", none(sales.schema["paid"].dataType).alias("paid"), none("long").alias("orders"), "change"))
+             .groupBy("state", "day").agg(F.sum("paid").alias("paid"), F.sum("orders").alias("orders"), F.sum("change").alias("change")))
+    so_far = Window.partitionBy("state").orderBy("day")
+    moving = so_far.rangeBetween(-(days - 1), 0)
+    return daily.select(
+        "state", "day", "orders", F.sum("paid").over(moving).alias("revenue"),
+        F.sum(F.coalesce("change", F.lit(0))).over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("active")).where(
+        "orders IS NOT NULL").select(
+        F.col("state"), F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")), "yyyy-MM-dd").alias("day"),
+        F.round("revenue", 2).cast("double").alias("revenue"), F.col("active").alias("active_customers"))
+
+
+def cube_sales(t: Tables, events: DataFrame | None = None) -> DataFrame:
+    """Delivered orders (exact distinct counts) and revenue by category, state and month, at
+    every level: ``level`` has a bit for each column that is summed over (category 4, state
+    2, month 1). What the levels are made of is one row for each order and category."""
+    items = (t.order_items.select("order_id", "product_id", (F.col("price") + F.col("freight_value")).alias("paid"))
+             .groupBy("order_id", "product_id").agg(F.sum("paid").alias("paid"))
+             .join(product_categories(t), "product_id").groupBy("order_id", "category").agg(F.sum("paid").alias("paid")))
+    orders = delivered_orders(t).select("order_id", "customer_id", F.date_format(PURCHASE_TS, "yyyy-MM").alias("month")).join(
+        t.customers.select("customer_id", F.col("customer_state").alias("state")), "customer_id")
+    rows = items.join(orders, "order_id")
+    return rows.cube("category", "state", "month").agg(
+        F.grouping_id().alias("level"), F.countDistinct("order_id").alias("orders"), F.round(F.sum("paid"), 2).cast("double").alias("revenue"))

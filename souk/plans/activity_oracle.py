@@ -56,4 +56,53 @@ FROM {_UNDER_WAY} a JOIN {_UNDER_WAY} b ON a.customer_id = b.customer_id AND a.o
   AND a.order_purchase_timestamp < b.order_delivered_customer_date AND b.order_purchase_timestamp < a.order_delivered_customer_date
 GROUP BY ALL"""
 
+STATEMENTS["rolling_state_activity"] = """
+WITH sold AS (
+  SELECT customer_state AS state, customer_unique_id AS who, CAST(order_purchase_timestamp AS DATE) AS day, paid
+  FROM m_orders o JOIN m_customers USING (customer_id)
+  JOIN (SELECT order_id, SUM(price + freight_value) AS paid FROM m_order_items GROUP BY ALL) USING (order_id)
+  WHERE order_status = 'delivered' AND order_purchase_timestamp IS NOT NULL),
+days AS (SELECT DISTINCT state, day FROM sold)
+SELECT d.state, strftime(d.day, '%Y-%m-%d') AS day, CAST(ROUND(SUM(paid), 2) AS DOUBLE) AS revenue, COUNT(DISTINCT who) AS active_customers
+FROM days d JOIN sold s ON d.state IS NOT DISTINCT FROM s.state AND s.day BETWEEN d.day - 27 AND d.day
+GROUP BY d.state, d.day"""
+
+STATEMENTS["cube_sales"] = """
+WITH named AS (
+  SELECT product_id, COALESCE((SELECT product_category_name_english FROM m_category_translation t
+    WHERE t.product_category_name = p.product_category_name), product_category_name, 'Unknown') AS category
+  FROM m_products p)
+SELECT category, customer_state AS state, strftime(order_purchase_timestamp, '%Y-%m') AS month, GROUPING(category, state, month) AS level,
+  COUNT(DISTINCT order_id) AS orders, CAST(ROUND(SUM(price + freight_value), 2) AS DOUBLE) AS revenue
+FROM m_orders JOIN m_order_items USING (order_id) JOIN named USING (product_id) JOIN m_customers USING (customer_id)
+WHERE order_status = 'delivered' GROUP BY CUBE (category, state, month)"""
+
+_SESSIONS = """seen AS (SELECT DISTINCT ON (event_id, ts) event_id, user_id, ts, value FROM events WHERE ts IS NOT NULL),
+marked AS (
+  SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOURS, true) AS opens FROM seen),
+numbered AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM marked),
+sessions AS (
+  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOURS AS session_end, count(*) AS events,
+         CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
+  FROM numbered GROUP BY user_id, session)"""
+# What a stream gives out: what has ended an hour, the time events may be late, before the last event.
+_FINAL = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+STATEMENTS["session_events"] = f"WITH {_SESSIONS} SELECT * FROM sessions"
+
+STATEMENTS["session_summary"] = f"""
+WITH {_SESSIONS}
+SELECT user_id, count(*) AS sessions, sum(events) / count(*) AS events_per_session,
+  max((epoch_us(session_end) - epoch_us(session_start)) / 60000000.0::DOUBLE) AS longest_minutes
+FROM sessions GROUP BY ALL"""
+
+STATEMENTS["stream_sessions"] = f"WITH {_SESSIONS} SELECT * FROM sessions WHERE session_end <= {_FINAL}"
+
+STATEMENTS["stream_event_windows"] = f"""
+WITH seen AS (SELECT DISTINCT ON (event_id, ts) * FROM events WHERE ts IS NOT NULL),
+dealt AS (SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, value FROM seen)
+SELECT window_start, window_start + INTERVAL 6 HOURS AS window_end, event_type, count(*) AS events,
+  CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
+FROM dealt GROUP BY ALL HAVING window_start + INTERVAL 6 HOURS <= {_FINAL}"""
+
 ORACLE_SQL: dict[str, str] = {key: with_views(sql) for key, sql in STATEMENTS.items()}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from souk.operators import activity
+from souk.streaming import activity as streams
 
 ANALYSES: dict[str, Callable[..., DataFrame]] = {
     "asof_event_order": activity.asof_event_order,
@@ -15,4 +16,14 @@ ANALYSES: dict[str, Callable[..., DataFrame]] = {
     "interval_orders_during_delivery": activity.interval_orders_during_delivery,
     "interval_purchases_after_error": activity.interval_purchases_after_error,
     "interval_overlapping_deliveries": activity.interval_overlapping_deliveries,
+    "rolling_state_activity": activity.rolling_state_activity,
+    "cube_sales": activity.cube_sales,
+    "session_events": lambda t, events: streams.merged_sessions(events),
+    "session_summary": lambda t, events: streams.session_summary(events),
+}
+
+# Streams over the activity log, which they read themselves: (spark, path of the log, its schema).
+STREAMS: dict[str, Callable[..., DataFrame]] = {
+    "stream_event_windows": streams.stream_event_windows,
+    "stream_sessions": streams.stream_sessions,
 }

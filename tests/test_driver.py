@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from compare import compare, duck
-from souk.plans.activity_registry import ANALYSES
+from souk.plans.activity_registry import ANALYSES, STREAMS
 from souk.plans.registry import OPERATORS
 
 SF001 = "/root/testdata/sf0.01"
@@ -21,8 +21,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(OPERATORS) | set(ANALYSES) == set(E.oracle_sql()) - set(E.LLM_ORACLE)
-    assert set(E.queries()) == set(OPERATORS) | set(ANALYSES) | set(E.LLM_QUERIES)
+    assert set(OPERATORS) | set(ANALYSES) | set(STREAMS) == set(E.oracle_sql()) - set(E.LLM_ORACLE)
+    assert set(E.queries()) == set(OPERATORS) | set(ANALYSES) | set(STREAMS) | set(E.LLM_QUERIES)
 
 
 def test_query_opens_only_its_tables_and_writes_nothing(spark, monkeypatch):
@@ -44,7 +44,7 @@ def con():
     return duck(SF001)
 
 
-@pytest.mark.parametrize("key", sorted([*OPERATORS, *ANALYSES]))
+@pytest.mark.parametrize("key", sorted([*OPERATORS, *ANALYSES, *STREAMS]))
 def test_sf001_matches_oracle(spark, con, key):
     df = E.queries()[key](spark, SF001)
     assert compare(df, con, E.oracle_sql()[key]) == []
