@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from souk.llm import sharding
 from souk.llm.resample import BUCKETS, LEAST_WORDS, PERCENT, SEED
-from souk.llm.rules import DELTA, RISK, STEPS
+from souk.llm.rules import DELTA, FIT, LEVELS, RISK, STEPS
 from souk.llm.secrets import BASE, RULES
 from souk.llm.sharding import SHARDS
 
@@ -65,14 +65,14 @@ FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 
 
 def _op6() -> str:
-    """Counts, then cutoffs: a cutoff is safe if so few good holdouts beyond it are unlikely
-    (at most delta over the number of tests) were the share at the limit; the safe ones
-    reach from the mildest to the first that isn't."""
+    """Counts; levels of cells from the rows that learn; then cutoffs on the others: one is safe
+    if so few good holdouts beyond it are unlikely (at most delta over the number of strata)
+    were the share at the limit; the safe ones reach from the mildest to the first that isn't."""
     whole = {"symbols": "least(n_symbols / words, 1.0)", "marks": "least(n_marks / words, 1.0)",
              "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / words", "capitals": "n_upper / words",
              "long_words": "least(greatest(word_chars / words - 5, 0.0) / 15, 1.0)",
              "short_words": "least(greatest(5 - word_chars / words, 0.0) / 5, 1.0)"}
-    limit = f"(CAST({RISK} AS DOUBLE) / {len(whole)})"
+    limit = f"CAST({RISK} AS DOUBLE)"
     cells = ", ".join(f"{{'metric': '{m}', 'cell': CAST(ceil(CAST({x} AS DOUBLE) * {STEPS}) AS INT)}}" for m, x in whole.items())
     return rf"""
 WITH d AS MATERIALIZED (
@@ -100,22 +100,36 @@ f AS (
 x AS (
   SELECT r, doc_id, stratum, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, unnest([{cells}], recursive := true) FROM f),
 known AS (SELECT doc_id, min(coalesce(quality = 1, false)) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+labelled AS (
+  SELECT x.*, good, CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {FIT} = 0 AS fits
+  FROM x JOIN known USING (doc_id) WHERE NOT base_failed),
+fitted AS (
+  SELECT metric, cell, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b FROM labelled WHERE fits GROUP BY ALL),
+beyond AS (
+  SELECT metric, c, coalesce(sum(g) FILTER (WHERE cell >= c), 0) AS g, coalesce(sum(b) FILTER (WHERE cell >= c), 0) AS b,
+         sum(g) AS all_g, sum(b) AS all_b
+  FROM range(0, {STEPS + 1}) t(c), fitted GROUP BY metric, c),
+levels AS (
+  SELECT metric, c AS cell, max(CASE WHEN b = 0 THEN 0 ELSE greatest(0, least({LEVELS}, floor(10 * ln(
+      ((b + 0.5::DOUBLE) / (all_b + 1.0::DOUBLE)) / ((g + 0.5::DOUBLE) / (all_g + 1.0::DOUBLE)))))) END) OVER (PARTITION BY metric ORDER BY c) AS level
+  FROM beyond),
+badness AS (SELECT r, max(coalesce(level, 0)) AS level FROM x LEFT JOIN levels USING (metric, cell) GROUP BY r),
 held AS (
-  SELECT stratum, metric, cell, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b
-  FROM x JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
-sizes AS (SELECT stratum, metric, sum(g) AS n, sum(b) AS m FROM held GROUP BY ALL),
+  SELECT stratum, level, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS b
+  FROM (SELECT DISTINCT r, stratum, good FROM labelled WHERE NOT fits) JOIN badness USING (r) GROUP BY ALL),
+sizes AS (SELECT stratum, sum(g) AS n, sum(b) AS m FROM held GROUP BY ALL),
 tried AS (
-  SELECT stratum, metric, c, n, m, coalesce(sum(g) FILTER (WHERE cell >= c), 0) AS k, coalesce(sum(b) FILTER (WHERE cell >= c), 0) AS j
-  FROM range(1, {STEPS + 1}) t(c), sizes JOIN held USING (stratum, metric) GROUP BY ALL),
+  SELECT stratum, c, n, m, coalesce(sum(g) FILTER (WHERE level >= c), 0) AS k, coalesce(sum(b) FILTER (WHERE level >= c), 0) AS j
+  FROM range(1, {LEVELS + 1}) t(c), sizes JOIN held USING (stratum) GROUP BY ALL),
 tested AS (
   SELECT *, bool_and(k < n AND k <= n * {limit} + 1 AND list_sum(list_transform(range(0, CAST(least(k, n * {limit} + 1) AS BIGINT) + 1), lambda i:
       exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit}))))
-      <= CAST({DELTA} AS DOUBLE) / (SELECT count(*) FROM sizes)) OVER (PARTITION BY stratum, metric ORDER BY c DESC) AS safe
+      <= CAST({DELTA} AS DOUBLE) / (SELECT count(*) FROM sizes)) OVER (PARTITION BY stratum ORDER BY c DESC) AS safe
   FROM tried WHERE n > 0),
 cut AS (
-  SELECT stratum, metric, arg_max(c, (j / m - k / n, c)) AS lowest
+  SELECT stratum, arg_max(c, (j / m - k / n, c)) AS lowest
   FROM tested WHERE safe AND m > 0 AND j / m > k / n GROUP BY ALL),
-bad AS (SELECT DISTINCT r FROM x JOIN cut USING (stratum, metric) WHERE cell >= lowest)
+bad AS (SELECT r FROM f JOIN badness USING (r) JOIN cut USING (stratum) WHERE level >= lowest)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

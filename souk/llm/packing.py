@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.bpe import loaded, vocabulary
+from souk.llm.bpe import loaded, loaded_whole, vocabulary, whole_fits
 from souk.llm.common import bounded_batches
 
 SEQUENCE = 1024
@@ -48,12 +48,13 @@ def pack(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     bounded_batches(spark)
     spec = vocabulary(spark, vocab)
+    load = loaded_whole if whole_fits(spec.value) else loaded
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     end = end_id.to_bytes(4, "little")
     names = ["doc_id", *(c.split()[0] for c in SCHEMA.split(", ")), *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, task = loaded(spec.value), TaskContext.get().partitionId()
+        bpe, task = load(spec.value), TaskContext.get().partitionId()
         made = [0] * longest.bit_length()
         for b in batches:
             of, rows, ids = [], [], []

@@ -247,3 +247,22 @@ def test_in_order(spark):
     got = in_order(spark.createDataFrame(rows, "a long, b long").repartition(6), [F.col("a"), F.desc("b")], "test")
     assert [(r["a"], r["b"]) for r in sorted(got.collect(), key=lambda r: r["place"])] == sorted(rows, key=lambda r: (r[0], -r[1]))
     assert sorted(r["place"] for r in got.collect()) == list(range(500))
+
+
+# Learned quality rules.
+
+
+def test_learned_rules_on_labels(spark):
+    """On labelled test data cutoffs act in the strata, and the rows that calibrated them keep
+    the bound: of the good ones at most the risk is rejected."""
+    from souk.llm import rules
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rows = rules.judge(docs, labels).join(labels, "doc_id").select("stratum", "kept", "quality", rules.fits(F.col("doc_id")).alias("fits")).filter("NOT base_failed").collect()
+    acting = {r["stratum"] for r in rows if not r["kept"]}
+    assert acting
+    for s in acting:
+        good = [r["kept"] for r in rows if r["stratum"] == s and r["quality"] == 1 and not r["fits"]]
+        bad = [r["kept"] for r in rows if r["stratum"] == s and r["quality"] == 0 and not r["fits"]]
+        print(s, "good", len(good), "rejected", good.count(False), "bad", len(bad), "rejected", bad.count(False))
+        assert good.count(False) <= 0.02 * len(good) and bad.count(False) > 0.3 * len(bad)

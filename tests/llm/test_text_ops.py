@@ -31,6 +31,14 @@ def own():
         return bpe.Bpe(f.read())
 
 
+@pytest.fixture(scope="module")
+def whole():
+    with open(VOCAB, "rb") as f:
+        spec = f.read()
+    assert bpe.whole_fits(spec)
+    return bpe.Whole(spec)
+
+
 def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
@@ -41,11 +49,12 @@ PIECES = ["a", "b", " ", "  ", "\n", "\t", "é", "à ", " ", " ", "'s", "don'
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=14) | st.lists(st.characters(codec="utf-8"), max_size=30))
-def test_encoding_equals_the_library(library, own, parts):
+def test_encoding_equals_the_library(library, own, whole, parts):
     text = "".join(parts)
     ids = ids_of(library, text)
     got = own.encode(text.encode())
     assert np.frombuffer(got, "<u4").tolist() == ids
+    assert whole.encode(text.encode()) == got
     assert own.decode(got) == library.decode(ids, skip_special_tokens=False) == text
 
 
