@@ -1,32 +1,33 @@
 """Substring dedup: passages that repeat across documents, by paragraph MinHash banding.
 
-Units of a text, as ranges of its words (lower case, parted by white space):
-
-* paragraphs: its lines of ``LINE`` words or more;
-* frames: from the start of each sentence or line to the first end of one at least ``LEAST``
-  words on, and runs of ``LEAST`` words at places chosen by their own words alone (winnowing:
-  of ``LEAST`` runs in turn, the one of the least hash). So any ``2 * LEAST - 1`` words in a
-  row hold a whole frame, wherever they stand and whatever their punctuation is. Frames are
-  compared as a whole, by a 128-bit digest of their words.
-* blocks: from each start of a frame's sentence or line to the first end at least ``BLOCK``
-  words on (one word of so many can differ at 0.8), also over short lines. Where no sentence
-  ends for ``2 * LEAST`` words, places chosen by their words part it.
-
-1. Equal frames and paragraphs are found by counting digests, combined before the shuffle.
-2. Paragraphs get MinHash signatures over word shingles, cut into bands; ``tune_bands``
-   chooses the fewest bands that miss less than a thousandth of the pairs at the threshold.
-   Blocks and frames overlap their neighbours, which bands would bring together (as they
-   would all that hold a common line); their keys are the shingles at both ends, or one of
-   them and the shingle next to the other. Equal units are one node.
-3. Nodes that collide in a band meet in a shard. There their exact shingle sets are compared
-   pair by pair, except pairs that links already connect; a bucket of many nodes is cut into
-   parts, whose pairs are tasks of their own, so no link is lost and no task is unbounded.
-4. Components of the verified links are the clusters; equal units without a link are one,
-   too, so that equal lines go whole. In each cluster the document with the least id keeps the passage; others lose it.
-
-Cases: null text = empty text, without units; null ids neither keep nor lose a passage;
-repeated rows (one id) are one document; very long lines are one paragraph; an empty table
-gives an empty result; columns other than the id and the text are ignored.
+Words are lower case, parted by white space. Units of a text, as ranges of its words:
+
+* paragraphs: its lines of ``LINE`` words or more; a text of fewer words is one as a whole;
+* seeds: runs of ``SEED`` words at places chosen by their own words alone (winnowing: of
+  ``SEED`` runs in turn, the one of the least hash), so that any ``2 * SEED - 1`` words in a
+  row hold a whole seed, wherever they stand and whatever their punctuation is.
+
+1. One pass over the texts writes a row for each: hashes of its words, paragraphs, seeds.
+2. Paragraphs of ``LINE`` words get MinHash signatures over word shingles, cut into bands;
+   ``tune_bands`` chooses the fewest bands that miss less than a thousandth of the pairs at
+   the threshold. Equal paragraphs are one node. Nodes that collide in a band are compared
+   pair by pair by their exact shingle sets, except pairs that links already connect; a
+   bucket of many nodes is cut into parts, whose pairs are tasks of their own, so no link is
+   lost and no task is unbounded. Components of the links are clusters of near paragraphs;
+   equal ones without a link are clusters, too.
+3. Passages inside paragraphs: seeds are counted by their hash, combined before the shuffle. Of
+   a seed that several documents have, the one with the least id is the keeper, and each other
+   one is compared with it only: around their common seeds both texts are followed word by
+   word, over edits of a few words, and the ranges found are a passage if they hold ``LEAST``
+   words and their exact Jaccard similarity reaches the threshold, or else their equal parts
+   of ``LEAST`` words.
+4. In each cluster, and of each passage, the document with the least id keeps its words; the
+   others lose theirs.
+
+Cases: null text = empty text, without units; null ids neither keep nor lose a passage; rows
+with one id are one document, which doesn't repeat itself, and each row has its own ranges;
+very long lines are one paragraph; an empty table gives an empty result; columns other than
+the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -37,21 +38,23 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from souk.llm.common import BROADCAST_ROWS, Memo, bounded_batches, save, sized
+from souk.llm.common import Memo, bounded_batches, ready, save, sized
 from souk.llm.graph import components
 
-LEAST = 25  # words of a frame, at least
-LINE, BLOCK = 12, 45  # words of a paragraph and of a block, at least
+LEAST = 25  # words of a passage inside paragraphs, at least
+LINE = 12  # words of a line that is a paragraph, at least
+SEED = 16
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 BUCKET = 256  # nodes of a bucket that are compared in one go
-DOC, FRAME, PARAGRAPH, BLOCKS, RUN, LOOSE = 0, 1, 2, 3, 4, 10
-UNITS = "kind tinyint, start int, words int, h1 bigint, h2 bigint, bands array<bigint>"
+CHAIN_GAP, CHAIN_DRIFT = 64, 16  # words between two seeds of one passage, and of difference in their distance, at most
+REACH = 64  # words around the outermost seeds that are looked at
+EDIT, RESUME = 4, 5  # words of an edit inside a passage, at most, and equal words after it, at least
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, stray: float = 0.3) -> tuple[int, int]:
@@ -70,11 +73,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_code(word: bytes) -> int:
-    """A hash of a word whose lowest bit says that the word ends a sentence."""
-    return xxh3_64_intdigest(word) & ~1 | (word[-1:] in (b".", b"!", b"?"))
-
-
 def sliding(f: np.ufunc, x: np.ndarray, size: int) -> np.ndarray:
     """f (minimum or maximum) of every ``size`` values in a row."""
     done = 1
@@ -92,15 +90,20 @@ def winnowed(x: np.ndarray, size: int) -> np.ndarray:
     return np.nonzero(sliding(np.maximum, np.concatenate([edge, sliding(np.minimum, x, size), edge]), size) == x)[0]
 
 
+PARAGRAPHS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+SEEDS = pa.list_(pa.struct([("start", pa.int32()), ("hash", pa.int64())]))
+UNITS = ("n_words int, codes binary, paragraphs array<struct<start:int,words:int,h1:bigint,h2:bigint,bands:array<bigint>>>, "
+         "seeds array<struct<start:int,hash:bigint>>")
+
+
 class Units:
     """Finds the units of texts."""
 
-    def __init__(self, least: int, bands: int, rows: int):
-        self.least, self.bands, self.rows = least, bands, rows
-        self.codes = Memo(word_code, lambda key: len(key) <= 40)
+    def __init__(self, bands: int, rows: int):
+        self.bands, self.rows = bands, rows
+        self.codes = Memo(xxh3_64_intdigest, lambda key: len(key) <= 40)
         rng = np.random.default_rng(11)
         self.odd = rng.integers(1, 1 << 63, bands * rows, np.uint64) | np.uint64(1)
-        self.power = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(SHINGLE)]
 
     def words(self, text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words, their codes, and the ends of the lines as numbers of words."""
@@ -114,56 +117,14 @@ class Units:
         long = ends - starts >= LINE
         return starts[long], ends[long]
 
-    def near(self, codes: np.ndarray, ends: np.ndarray, shingles: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, starts, ends) of the paragraphs, of the frames between ends of lines and
-        sentences, and of the blocks: from each cut to the first one so many words on. Cuts
-        are these ends, and winnowed places where they are far apart; blocks that such a place
-        bounds are LOOSE."""
-        marks = np.unique(np.concatenate([[0], ends, np.nonzero(codes & np.uint64(1))[0] + 1]))
-        more = winnowed(shingles, self.least)
-        after = np.searchsorted(marks, more, "right")
-        cuts = np.union1d(marks, more[marks[after] - marks[after - 1] >= 2 * self.least])
-        firm = np.isin(cuts, marks)
-        to = np.searchsorted(cuts, cuts + max(BLOCK, self.least))
-        at = np.nonzero(to < len(cuts))[0]
-        both = firm[at] & firm[to[at]]
-        end = np.searchsorted(marks, marks + self.least)
-        there = end < len(marks)
-        return [(PARAGRAPH, *self.paragraphs(ends)), (FRAME, marks[there], marks[end[there]]),
-                *((k, cuts[a], cuts[to[a]]) for k, a in ((BLOCKS, at[both]), (BLOCKS + LOOSE, at[~both])))]
-
-    def ends_keys(self, kind: int, shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Keys of frames and blocks: the shingles at both ends, and, where sentences or lines
-        bound them, these with the shingle next to one in its place."""
-        first, last, step = starts, ends - SHINGLE, SHINGLE
-        pairs = [(0, first, last), (1, first + step, last), (2, first, last - step)]
-        pairs = {FRAME: pairs[1:], BLOCKS: pairs, BLOCKS + LOOSE: pairs[:1]}.get(kind, [])
-        keys = [mixed(mixed(shingles[a] + np.uint64(k + 1)) * np.uint64(3) + shingles[b]) for k, a, b in pairs]
-        return np.stack(keys, 1).view(np.int64) if keys else np.zeros((len(starts), 0), np.int64)
-
-    def find(self, codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(kind, starts, ends, keys) of all units; a row of keys for each."""
-        shingles = self.shingles(codes)
-        for kind, starts, to in self.near(codes, ends, shingles):
-            if len(starts):
-                yield kind, starts, to, (self.signatures(shingles, starts, to) if kind == PARAGRAPH else
-                                         self.ends_keys(kind, shingles, starts, to))
-        runs = winnowed(self.runs(codes), self.least)
-        yield RUN, runs, runs + self.least, np.zeros((len(runs), 0), np.int64)
-
-    def runs(self, codes: np.ndarray) -> np.ndarray:
-        """Hashes of all runs of ``least`` words."""
-        if len(codes) < self.least:
-            return np.zeros(0, np.uint64)
-        odd = 0x9E3779B97F4A7C15
-        up, down = (np.cumprod(np.full(len(codes), x, np.uint64), dtype=np.uint64) for x in (odd, pow(odd, -1, 1 << 64)))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * up, dtype=np.uint64)])
-        return mixed((total[self.least:] - total[:-self.least]) * down[:len(codes) - self.least + 1])
-
-    def shingles(self, codes: np.ndarray) -> np.ndarray:
-        """Hashes of all shingles of the words with these codes."""
-        n = len(codes) - SHINGLE + 1
-        return mixed(sum((codes[k:k + n] * self.power[k] for k in range(SHINGLE)), np.zeros(n, np.uint64)))
+    def seeds(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the seeds."""
+        n = len(codes) - SEED + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        runs = mixed(rolled(codes, SEED))
+        starts = winnowed(runs, SEED) if n >= SEED else np.array([int(np.argmin(runs))])
+        return starts, runs[starts].view(np.int64)
 
     def signatures(self, shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Keys of the bands (a row for each paragraph)."""
@@ -176,67 +137,54 @@ class Units:
         return (keys ^ np.arange(1, self.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def units(docs: DataFrame, least: int, bands: int, rows: int) -> DataFrame:
-    """Rows (doc_id, kind, start, words, h1, h2, bands): one for each document (its words)
-    and unit of docs (doc_id, text); bands: the keys by which near units meet."""
-    bounded_batches(docs.sparkSession)
+def rolled(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words with these 64-bit codes."""
+    n, out = len(codes) - size + 1, None
+    for k in range(size):
+        part = codes[k:k + n] if out is None else out * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + n]
+        out = part
+    return out
+
+
+def shingles_of(codes: np.ndarray) -> np.ndarray:
+    """Hashes of all shingles; of fewer words, none."""
+    return mixed(rolled(codes, SHINGLE)) if len(codes) >= SHINGLE else np.zeros(0, np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Units(least, bands, rows)
-        for b in batches:
-            of, kind, start, size, digest, counts, keys = [], [], [], [], [], [], []
-            for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                words, codes, ends = finder.words(text or b"")
-                spans = [(DOC, 0, len(words))]
-                counts.append(0)
-                if len(words) >= LINE:
-                    for k, starts, to, key in finder.find(codes, ends):
-                        spans += [(k, s, e) for s, e in zip(starts.tolist(), to.tolist())]
-                        counts += [key.shape[1]] * len(starts)
-                        keys.append(key.ravel())
-                of += [i] * len(spans)
-                for k, s, e in spans:
-                    kind.append(k)
-                    start.append(s)
-                    size.append(e - s)
-                    digest.append(xxh3_128_digest(b" ".join(words[s:e])) if k else bytes(16))
-            h = np.frombuffer(b"".join(digest), ">i8").reshape(-1, 2).astype(np.int64)
-            kinds = np.array(kind, np.int8)
-            h[np.isin(kinds, (BLOCKS, BLOCKS + LOOSE)), 1] = 0  # blocks are nodes only
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(of, pa.int32())), pa.array(kinds, pa.int8()), pa.array(start, pa.int32()),
-                 pa.array(size, pa.int32()), pa.array(h[:, 0], pa.int64()), pa.array(h[:, 1], pa.int64()), lists],
-                ["doc_id", *(c.split()[0] for c in UNITS.split(", "))])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {UNITS}")
 
+def short(codes: np.ndarray) -> bytes:
+    """32 bits of each word's code: enough to follow two texts that share a seed."""
+    return (codes >> np.uint64(32)).astype("<u4").tobytes()
 
-def shingle_sets(docs: DataFrame, least: int) -> DataFrame:
-    """(node, shingles): the sorted shingle hashes, 8 bytes each, of those units of docs
-    (text, nodes) that ``nodes`` names."""
+
+def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(doc_id, n_words, codes, paragraphs, seeds) for each row of docs (doc_id, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Units(least, 1, 1)
+        finder = Units(bands, rows)
         for b in batches:
-            node, sets = [], []
-            for text, nodes in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("nodes").to_pylist()):
+            sizes, codes_of, lines, seeds = [], [], [], []
+            for text in b.column("text").cast(pa.binary()).to_pylist():
                 words, codes, ends = finder.words(text or b"")
-                left = set(nodes)
-                if len(words) < LINE:
-                    continue
-                whole = finder.shingles(codes)
-                for _, starts, to in finder.near(codes, ends, whole):
-                    for s, e in zip(starts.tolist(), to.tolist()):
-                        h = int.from_bytes(xxh3_128_digest(b" ".join(words[s:e]))[:8], "big", signed=True)
-                        if h in left:
-                            left.discard(h)
-                            node.append(h)
-                            sets.append(np.unique(whole[s:e - SHINGLE + 1]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
-    return docs.select("text", "nodes").mapInArrow(run, "node bigint, shingles binary")
+                sizes.append(len(words))
+                codes_of.append(short(codes))
+                starts, to = finder.paragraphs(ends)
+                keys = finder.signatures(shingles_of(codes), starts, to).tolist() if len(starts) else []
+                spans = list(zip(starts.tolist(), to.tolist()))
+                if 0 < len(words) < LINE:
+                    spans, keys = [(0, len(words))], [[]]
+                digests = [np.frombuffer(xxh3_128_digest(b" ".join(words[s:e])), ">i8").tolist() for s, e in spans]
+                lines.append([dict(start=s, words=e - s, h1=h[0], h2=h[1], bands=k) for (s, e), h, k in zip(spans, digests, keys)])
+                at, hashes = finder.seeds(codes)
+                seeds.append((at, hashes))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([a for a, _ in seeds]), pa.int32()),
+                                               pa.array(np.concatenate([h for _, h in seeds]), pa.int64())], ["start", "hash"])
+            offsets = pa.array(np.cumsum([0, *(len(a) for a, _ in seeds)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(codes_of, pa.binary()), pa.array(lines, PARAGRAPHS),
+                 pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n_words", "codes", "paragraphs", "seeds"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {UNITS}")
 
 
 def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -250,8 +198,8 @@ def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             root[x] = root[root[x]]
             x = root[x]
         return x
-    sets = {n: s for n, s in zip(pdf["node"], pdf["shingles"])}
-    sets = {n: frozenset(np.frombuffer(s, np.uint64).tolist()) for n, s in sets.items()}
+    sets = {n: c for n, c in zip(pdf["node"], pdf["codes"])}
+    sets = {n: frozenset(shingles_of(np.frombuffer(c, "<u4").astype(np.uint64)).tolist()) for n, c in sets.items()}
     out = []
     for _, bucket in pdf.groupby("key", sort=True):
         one = bucket["node"][bucket["side"] == 0].tolist()
@@ -268,22 +216,25 @@ def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def near_links(docs: DataFrame, found: DataFrame, least: int, threshold: float) -> DataFrame:
-    """Verified links between nodes (h1) of units (doc_id, h1, bands) that collide in a key.
-    Nodes that only rows without an id have don't matter."""
-    found = found.filter("doc_id IS NOT NULL")
-    keyed = found.select(F.col("h1").alias("node"), F.explode("bands").alias("key"))
-    # Buckets of two nodes or more; equal units are combined before the shuffle.
+def part_of(codes: str, start, words):
+    """The codes of a range of words."""
+    return F.col(codes).substr(start * 4 + 1, words * 4)
+
+
+def near_links(base: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """Verified links between nodes (h1) of lines (row, start, words, h1, bands) that collide
+    in a key; ``base`` has the codes of rows."""
+    keyed = lines.select(F.col("h1").alias("node"), F.explode("bands").alias("key"))
+    # Buckets of two nodes or more; equal lines are combined before the shuffle.
     many = save(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                 .filter("low < high").select("key"), "passage-buckets")
     members = save(keyed.join(sized(many), "key").distinct(), "passage-members")
     members = save(members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "passage-members")
-    # One document of each such node is read again; the others hold the same words.
-    wanted = save(found.select("doc_id", F.col("h1").alias("node")).join(sized(save(members.select("node").distinct(), "passage-nodes")), "node", "left_semi")
-                  .groupBy("node").agg(F.min("doc_id").alias("doc_id")), "passage-wanted")
-    by_doc = save(wanted.groupBy("doc_id").agg(F.collect_list("node").alias("nodes")), "passage-docs")  # at most a document's units
-    again = docs.join(F.broadcast(by_doc) if wanted.count() <= BROADCAST_ROWS else by_doc, "doc_id")
-    sets = save(shingle_sets(again, least).groupBy("node").agg(F.min("shingles").alias("shingles")), "passage-shingles")
+    # The codes of one line of each such node; the others hold the same words.
+    wanted = (lines.join(sized(save(members.select(F.col("node").alias("h1")).distinct(), "passage-nodes")), "h1", "left_semi")
+              .groupBy(F.col("h1").alias("node")).agg(F.min(F.struct("h2", "row", "start", "words")).alias("at")).select("node", "at.*"))
+    codes = save(wanted.join(base.select("row", "codes"), "row")
+                 .select("node", part_of("codes", F.col("start"), F.col("words")).alias("codes")), "passage-codes")
     shards = max(1, members.count() // 1000)
     parts = F.ceil(F.col("n") / BUCKET)
     part = F.pmod(F.xxhash64("node"), parts)
@@ -291,28 +242,144 @@ def near_links(docs: DataFrame, found: DataFrame, least: int, threshold: float)
     large = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(
         F.col("key").alias("shard"), F.least(p, part).alias("i"), F.greatest(p, part).alias("j"), F.when(p < part, 1).otherwise(0).alias("side")))
     tasks = members.select("node", "key", F.explode(F.when(F.col("n") > BUCKET, large).otherwise(small)).alias("t"))
-    return (tasks.join(sets, "node").select("node", "key", "shingles", "t.*").groupBy("shard", "i", "j")
+    return (tasks.join(codes, "node").select("node", "key", "codes", "t.*").groupBy("shard", "i", "j")
             .applyInPandas(lambda pdf: verified(pdf, threshold), "a bigint, b bigint"))
 
 
+def chains(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Common seeds (start here, start there) in runs that may be one passage."""
+    out: list[list[tuple[int, int]]] = []
+    for a, b in sorted(links):
+        for run in out[:-5:-1]:
+            x, y = run[-1]
+            if a - x <= CHAIN_GAP and 0 < b - y <= CHAIN_GAP and abs((a - x) - (b - y)) <= CHAIN_DRIFT:
+                run.append((a, b))
+                break
+        else:
+            out.append([(a, b)])
+    return out
+
+
+def followed(x: np.ndarray, y: np.ndarray, i: int, j: int, step: int) -> list[tuple[int, int]]:
+    """From place i of x and j of y on (``step`` 1) or back (-1): where equal words end, and
+    further on, over each edit, where those after it end."""
+    x, y, i, j = (x[::-1], y[::-1], len(x) - i, len(y) - j) if step < 0 else (x, y, i, j)
+    ends = []
+    while True:
+        n = min(len(x) - i, len(y) - j)
+        differ = np.nonzero(x[i:i + n] != y[j:j + n])[0]
+        n = int(differ[0]) if len(differ) else n
+        i, j = i + n, j + n
+        ends.append((i, j))
+        for d in range(1, 2 * EDIT + 1):
+            skip = next(((d - k, k) for k in sorted(range(d + 1), key=lambda k: abs(d - 2 * k)) if k <= EDIT and d - k <= EDIT
+                         and len(x) >= i + d - k + RESUME and np.array_equal(x[i + d - k:i + d - k + RESUME], y[j + k:j + k + RESUME])), None)
+            if skip:
+                break
+        else:
+            return [(len(x) - a, len(y) - b) if step < 0 else (a, b) for a, b in ends]
+        i, j = i + skip[0], j + skip[1]
+
+
+def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    a, b = np.unique(shingles_of(x)), np.unique(shingles_of(y))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= threshold * (len(a) + len(b) - both) > 0
+
+
+def aligned(x: np.ndarray, y: np.ndarray, links: list[tuple[int, int]], least: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """Passages (start, end, start there, end there) of x that y has, too, around common seeds."""
+    out: list[tuple[int, int, int, int]] = []
+    for run in chains(links):
+        if any(a <= run[0][0] and run[-1][0] + SEED <= b and c <= run[0][1] <= d for a, b, c, d in out):
+            continue
+        left = followed(x, y, *run[0], -1)
+        right = followed(x, y, run[-1][0] + SEED, run[-1][1] + SEED, 1)
+        # The widest range that is similar enough; then narrower ones, down to the equal words
+        # next to the outermost seeds.
+        tries = [(a, b, c, d) for k in range(max(len(left), len(right)), 0, -1)
+                 for (a, c), (b, d) in [(left[min(k, len(left)) - 1], right[min(k, len(right)) - 1])]]
+        found = next((t for t in tries if t[1] - t[0] >= least and (np.array_equal(x[t[0]:t[1]], y[t[2]:t[3]])
+                                                                    or similar(x[t[0]:t[1]], y[t[2]:t[3]], threshold))), None)
+        if found:
+            out.append(found)
+            continue
+        for a, b in run:  # equal parts
+            (l, m), (r, s) = followed(x, y, a, b, -1)[0], followed(x, y, a + SEED, b + SEED, 1)[0]
+            if r - l >= least:
+                out.append((l, r, m, s))
+    return sorted(set(out))
+
+
+def common_passages(base: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(row, doc_id, start, end, keep_row, keep_id, keep_start, keep_end): passages around seeds
+    that documents share with the keeper of the seed."""
+    ready(base.sparkSession)
+    known = base.filter("doc_id IS NOT NULL")
+    seeds = known.select("doc_id", "row", F.explode("seeds").alias("s")).select("doc_id", "row", "s.*")
+    kept = save(seeds.groupBy("hash").agg(F.min(F.struct("doc_id", "row", "start")).alias("k"), F.max("doc_id").alias("last"))
+                .filter("k.doc_id < last").select("hash", F.col("k.doc_id").alias("keep_id"), F.col("k.row").alias("keep_row"), F.col("k.start").alias("keep_start")), "passage-seeds")
+    pairs = save(seeds.join(kept, "hash").filter("doc_id <> keep_id").groupBy("row", "doc_id", "keep_row", "keep_id").agg(
+        F.collect_list(F.struct("start", "keep_start")).alias("links")), "passage-pairs")  # at most a text's seeds
+
+    def window(start: str, codes: str):
+        low = F.greatest(F.array_min(F.transform("links", lambda x: x[start])) - REACH, F.lit(0))
+        high = F.array_max(F.transform("links", lambda x: x[start])) + SEED + REACH
+        return low, part_of(codes, low, high - low)
+    codes = base.select(F.col("row").alias("of"), "codes")
+    for name, start, key in (("there", "keep_start", "keep_row"), ("here", "start", "row")):
+        low, part = window(start, "codes")
+        pairs = pairs.join(codes, F.col(key) == F.col("of")).select(*pairs.columns, low.alias(f"low_{name}"), part.alias(f"codes_{name}"))
+    ids, kind = ["row", "doc_id", "keep_row", "keep_id"], base.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, spans = [], []
+            cols = [b.column(c).to_pylist() for c in ("links", "low_here", "codes_here", "low_there", "codes_there")]
+            for i, (links, p, x, q, y) in enumerate(zip(*cols)):
+                x, y = np.frombuffer(x, "<u4").astype(np.uint64), np.frombuffer(y, "<u4").astype(np.uint64)
+                for a, e, c, d in aligned(x, y, [(r["start"] - p, r["keep_start"] - q) for r in links], least, threshold):
+                    of.append(i)
+                    spans.append((a + p, e + p, c + q, d + q))
+            at = pa.array(of, pa.int32())
+            ends = [pa.array(c, pa.int32()) for c in zip(*spans)] or [pa.array([], pa.int32())] * 4
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ids), *ends], [*ids, "start", "end", "keep_start", "keep_end"])
+    return pairs.mapInArrow(run, f"row bigint, doc_id {kind}, keep_row bigint, keep_id {kind}, start int, end int, keep_start int, keep_end int")
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = LEAST,
              threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All units, and the repeated ones: (doc_id, start, words, keep_id), where keep_id is the
-    document that keeps the passage."""
+    """(row, doc_id, n_words) of all rows, and the repeated ranges of words: (row, doc_id, start,
+    end, keep_id), where keep_id is the document that keeps the passage."""
     bands, rows = tune_bands(threshold)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = save(units(source, least, bands, rows), "passage-units", by="kind")
-    every = found.filter(F.col("kind") != DOC).select("doc_id", "kind", "start", "words", "h1", "h2")
-    compared = found.filter(F.col("kind").isin(PARAGRAPH, FRAME, BLOCKS, BLOCKS + LOOSE))
-    roots = save(components(save(near_links(source, compared, least, threshold), "passage-links")), "passage-roots")
-    near = save(every.join(roots, F.col("h1") == F.col("node")).select("doc_id", "start", "words", "root"), "passage-near")
+    base = save(units(source, bands, rows).withColumn("row", F.monotonically_increasing_id()), "passage-units")
+    lines = base.filter("doc_id IS NOT NULL").select("row", "doc_id", F.explode("paragraphs").alias("p")).select("row", "doc_id", "p.*")
+    roots = save(components(save(near_links(base, lines, threshold), "passage-links")), "passage-roots")
+    own = lines.select("row", "doc_id", "start", "words", "h1", "h2")
+    near = save(own.join(sized(roots), F.col("h1") == F.col("node")).drop("node"), "passage-near")
+    # A node is half a digest. Of lines with the same half and another rest only the least digest's
+    # are meant, whose codes were compared.
+    halves = near.groupBy("h1").agg(F.min("h2").alias("h2"))
+    near = near.join(halves, ["h1", "h2"])
     keep = near.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).filter("keep_id < last").drop("last")
-    # Units without a link are clusters of equal ones (blocks hold nothing that these miss).
-    single = every.filter(~F.col("kind").isin(BLOCKS, BLOCKS + LOOSE)).drop("kind")
-    equal = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).filter("keep_id < last").drop("last")
-    equal = save(equal.join(roots, F.col("h1") == F.col("node"), "left_anti"), "passage-equal")
-    exact = single.join(equal, ["h1", "h2"]).select("doc_id", "start", "words", "keep_id")
-    return found, exact.unionByName(near.join(keep, "root").select("doc_id", "start", "words", "keep_id"))
+    equal = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last")).filter("keep_id < last").drop("last")
+    equal = save(equal.join(sized(roots), F.col("h1") == F.col("node"), "left_anti"), "passage-equal")
+    span = ["row", "doc_id", "start", (F.col("start") + F.col("words")).alias("end"), "keep_id"]
+    whole = near.join(keep, "root").select(span).unionByName(own.join(equal, ["h1", "h2"]).select(span))
+    inside = save(common_passages(base, least, threshold), "passage-inside")
+    lost = inside.select("row", "doc_id", "start", "end", "keep_id")
+    held = inside.select(F.col("keep_row").alias("row"), F.col("keep_id").alias("doc_id"), F.col("keep_start").alias("start"), F.col("keep_end").alias("end"), "keep_id")
+    return base.select("row", "doc_id", "n_words"), whole.unionByName(lost).unionByName(held.distinct())
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """Ranges (row, start, end) with those that overlap or touch joined."""
+    before = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = spans.distinct().withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    numbered = opens.withColumn("n", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("row", "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("n")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -320,27 +387,18 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     other documents have too), removed_words (of these, in passages that another document
     keeps), removed (their ranges of words, start:end joined by commas) and keep_ids (the
     documents that keep them)."""
-    found, again = passages(docs, id_col, text_col, **options)
-    lost = F.col("doc_id") > F.col("keep_id")
-    span = F.struct(F.col("start"), (F.col("start") + F.col("words")).alias("end"))
-    each = again.groupBy("doc_id").agg(  # at most as many as a document has units
-        F.sort_array(F.collect_set(span)).alias("all"), F.sort_array(F.collect_set(F.when(lost, span))).alias("lost"),
-        F.sort_array(F.collect_set(F.when(lost, F.col("keep_id")))).alias("keep_ids"))
-    each = each.select("doc_id", merged("all").alias("all"), merged("lost").alias("lost"), "keep_ids")
-    size = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"]), F.lit(0).cast("long"))
-    whole = found.filter(F.col("kind") == DOC).select("doc_id", F.col("words").cast("long").alias("n_words"))
-    return whole.join(each, "doc_id", "left").select(
-        "doc_id", "n_words", size("all").alias("repeated_words"), size("lost").alias("removed_words"),
-        F.coalesce(F.array_join(F.transform("lost", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","), F.lit("")).alias("removed"),
-        F.coalesce("keep_ids", F.array().cast("array<bigint>")).alias("keep_ids"))
-
-
-def merged(spans: str):
-    """Sorted spans with overlapping and touching ones joined."""
-    kind = "array<struct<start:int,end:int>>"
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), joined).otherwise(F.array_append(acc, s))
-    return F.aggregate(spans, F.array().cast(kind), step)
+    rows, again = passages(docs, id_col, text_col, **options)
+    again = save(again, "passage-ranges")
+    size = F.sum(F.col("end") - F.col("start")).cast("long")
+    every = merged(again.select("row", "start", "end")).groupBy("row").agg(size.alias("repeated_words"))
+    gone = again.filter("doc_id > keep_id")
+    ranges = merged(gone.select("row", "start", "end")).groupBy("row").agg(  # at most as many as a text has units
+        size.alias("removed_words"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
+    keepers = gone.groupBy("row").agg(F.sort_array(F.collect_set("keep_id")).alias("keep_ids"))
+    each = every.join(ranges, "row", "left").join(keepers, "row", "left")
+    none = F.lit(0).cast("long")
+    return rows.join(each, "row", "left").select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("repeated_words", none).alias("repeated_words"),
+        F.coalesce("removed_words", none).alias("removed_words"),
+        F.coalesce(F.array_join(F.transform("ranges", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","), F.lit("")).alias("removed"),
+        F.coalesce("keep_ids", F.array().cast(keepers.schema["keep_ids"].dataType)).alias("keep_ids"))
