@@ -90,8 +90,6 @@ def winnowed(x: np.ndarray, size: int) -> np.ndarray:
     return np.nonzero(sliding(np.maximum, np.concatenate([edge, sliding(np.minimum, x, size), edge]), size) == x)[0]
 
 
-PARAGRAPHS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))]))
-SEEDS = pa.list_(pa.struct([("start", pa.int32()), ("hash", pa.int64())]))
 UNITS = ("n_words int, codes binary, paragraphs array<struct<start:int,words:int,h1:bigint,h2:bigint,bands:array<bigint>>>, "
          "seeds array<struct<start:int,hash:bigint>>")
 
@@ -130,7 +128,7 @@ class Units:
         """Keys of the bands (a row for each paragraph)."""
         all_of = np.append(shingles, np.uint64(2**64 - 1))
         at = np.stack([starts, ends - SHINGLE + 1], 1).ravel()
-        least = np.stack([np.minimum.reduceat(mixed(all_of * a), at)[::2] for a in self.odd], 1)
+        least = np.minimum.reduceat(mixed(all_of * self.odd[:, None]), at, axis=1)[:, ::2].T
         keys = np.zeros((len(starts), self.bands), np.uint64)
         for r in range(self.rows):
             keys = mixed(keys * np.uint64(3) + least[:, r::self.rows])
@@ -139,10 +137,13 @@ class Units:
 
 def rolled(codes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words with these 64-bit codes."""
-    n, out = len(codes) - size + 1, None
-    for k in range(size):
-        part = codes[k:k + n] if out is None else out * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + n]
-        out = part
+    done, out, factor = 1, codes, 0x9E3779B97F4A7C15
+    while 2 * done <= size:  # runs twice as long
+        out = out[:-done] * np.uint64(factor) + out[done:]
+        done, factor = 2 * done, factor * factor % 2**64
+    for k in range(done, size):
+        n = len(out) - 1
+        out = out[:n] * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + n]
     return out
 
 
@@ -161,28 +162,37 @@ def units(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Units(bands, rows)
+        finder, none = Units(bands, rows), np.zeros(0, np.int64)
         for b in batches:
-            sizes, codes_of, lines, seeds = [], [], [], []
+            sizes, codes_of, first, last, digests, bands_of, counts, seeds = [], [], [none], [none], [], [none], [], []
             for text in b.column("text").cast(pa.binary()).to_pylist():
                 words, codes, ends = finder.words(text or b"")
                 sizes.append(len(words))
                 codes_of.append(short(codes))
                 starts, to = finder.paragraphs(ends)
-                keys = finder.signatures(shingles_of(codes), starts, to).tolist() if len(starts) else []
-                spans = list(zip(starts.tolist(), to.tolist()))
-                if 0 < len(words) < LINE:
-                    spans, keys = [(0, len(words))], [[]]
-                digests = [np.frombuffer(xxh3_128_digest(b" ".join(words[s:e])), ">i8").tolist() for s, e in spans]
-                lines.append([dict(start=s, words=e - s, h1=h[0], h2=h[1], bands=k) for (s, e), h, k in zip(spans, digests, keys)])
-                at, hashes = finder.seeds(codes)
-                seeds.append((at, hashes))
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([a for a, _ in seeds]), pa.int32()),
-                                               pa.array(np.concatenate([h for _, h in seeds]), pa.int64())], ["start", "hash"])
-            offsets = pa.array(np.cumsum([0, *(len(a) for a, _ in seeds)]), pa.int32())
+                if len(starts):
+                    bands_of.append(finder.signatures(shingles_of(codes), starts, to).ravel())
+                elif 0 < len(words) < LINE:
+                    starts, to = np.zeros(1, np.int64), np.array([len(words)])
+                first.append(starts)
+                last.append(to)
+                counts.append((len(starts), bands if len(words) >= LINE else 0))
+                digests += [xxh3_128_digest(b" ".join(words[s:e])) for s, e in zip(starts.tolist(), to.tolist())]
+                seeds.append(finder.seeds(codes))
+            start, end = np.concatenate(first), np.concatenate(last)
+            h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            keys = np.cumsum([0, *(k for n, k in counts for _ in range(n))])
+            lines = pa.StructArray.from_arrays(
+                [pa.array(start, pa.int32()), pa.array(end - start, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]),
+                 pa.ListArray.from_arrays(pa.array(keys, pa.int32()), pa.array(np.concatenate(bands_of), pa.int64()))],
+                ["start", "words", "h1", "h2", "bands"])
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *(a for a, _ in seeds)]), pa.int32()),
+                                               pa.array(np.concatenate([none, *(x for _, x in seeds)]), pa.int64())], ["start", "hash"])
+            ends_of = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(codes_of, pa.binary()), pa.array(lines, PARAGRAPHS),
-                 pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "n_words", "codes", "paragraphs", "seeds"])
+                [b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(codes_of, pa.binary()),
+                 pa.ListArray.from_arrays(ends_of(n for n, _ in counts), lines),
+                 pa.ListArray.from_arrays(ends_of(len(a) for a, _ in seeds), flat)], ["doc_id", "n_words", "codes", "paragraphs", "seeds"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {UNITS}")
 
@@ -198,8 +208,8 @@ def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             root[x] = root[root[x]]
             x = root[x]
         return x
-    sets = {n: c for n, c in zip(pdf["node"], pdf["codes"])}
-    sets = {n: frozenset(shingles_of(np.frombuffer(c, "<u4").astype(np.uint64)).tolist()) for n, c in sets.items()}
+    codes = {n: c for n, c in zip(pdf["node"], pdf["codes"])}
+    sets = Memo(lambda n: frozenset(shingles_of(np.frombuffer(codes[n], "<u4").astype(np.uint64)).tolist()), lambda n: True)
     out = []
     for _, bucket in pdf.groupby("key", sort=True):
         one = bucket["node"][bucket["side"] == 0].tolist()
@@ -260,6 +270,10 @@ def chains(links: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
+# Words that an edit takes on both sides: the fewest first, and about as many on each.
+SKIPS = sorted(((a, b) for a in range(EDIT + 1) for b in range(EDIT + 1) if a + b), key=lambda s: (s[0] + s[1], abs(s[0] - s[1]), s))
+
+
 def followed(x: np.ndarray, y: np.ndarray, i: int, j: int, step: int) -> list[tuple[int, int]]:
     """From place i of x and j of y on (``step`` 1) or back (-1): where equal words end, and
     further on, over each edit, where those after it end."""
@@ -271,19 +285,18 @@ def followed(x: np.ndarray, y: np.ndarray, i: int, j: int, step: int) -> list[tu
         n = int(differ[0]) if len(differ) else n
         i, j = i + n, j + n
         ends.append((i, j))
-        for d in range(1, 2 * EDIT + 1):
-            skip = next(((d - k, k) for k in sorted(range(d + 1), key=lambda k: abs(d - 2 * k)) if k <= EDIT and d - k <= EDIT
-                         and len(x) >= i + d - k + RESUME and np.array_equal(x[i + d - k:i + d - k + RESUME], y[j + k:j + k + RESUME])), None)
-            if skip:
+        u, v = x[i:i + EDIT + RESUME].tolist(), y[j:j + EDIT + RESUME].tolist()
+        for a, b in SKIPS:
+            if a + RESUME <= len(u) and u[a:a + RESUME] == v[b:b + RESUME]:
                 break
         else:
             return [(len(x) - a, len(y) - b) if step < 0 else (a, b) for a, b in ends]
-        i, j = i + skip[0], j + skip[1]
+        i, j = i + a, j + b
 
 
 def similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
-    a, b = np.unique(shingles_of(x)), np.unique(shingles_of(y))
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    a, b = (set(shingles_of(z.astype(np.uint64)).tolist()) for z in (x, y))
+    both = len(a & b)
     return both >= threshold * (len(a) + len(b) - both) > 0
 
 
@@ -337,7 +350,7 @@ def common_passages(base: DataFrame, least: int, threshold: float) -> DataFrame:
             of, spans = [], []
             cols = [b.column(c).to_pylist() for c in ("links", "low_here", "codes_here", "low_there", "codes_there")]
             for i, (links, p, x, q, y) in enumerate(zip(*cols)):
-                x, y = np.frombuffer(x, "<u4").astype(np.uint64), np.frombuffer(y, "<u4").astype(np.uint64)
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
                 for a, e, c, d in aligned(x, y, [(r["start"] - p, r["keep_start"] - q) for r in links], least, threshold):
                     of.append(i)
                     spans.append((a + p, e + p, c + q, d + q))
