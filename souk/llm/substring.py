@@ -99,7 +99,6 @@ class Units:
 
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
-        self.codes = Memo(xxh3_64_intdigest, lambda key: len(key) <= 40)
         rng = np.random.default_rng(11)
         self.odd = rng.integers(1, 1 << 63, bands * rows, np.uint64) | np.uint64(1)
 
@@ -107,7 +106,7 @@ class Units:
         """Words, their codes, and the ends of the lines as numbers of words."""
         lines = [x.split() for x in text.lower().split(b"\n")]
         words = list(chain.from_iterable(lines))
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.uint64, len(words))
+        codes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
         return words, codes, np.cumsum([len(x) for x in lines])
 
     def paragraphs(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,9 +210,10 @@ def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     codes = {n: c for n, c in zip(pdf["node"], pdf["codes"])}
     sets = Memo(lambda n: frozenset(shingles_of(np.frombuffer(codes[n], "<u4").astype(np.uint64)).tolist()), lambda n: True)
     out = []
-    for _, bucket in pdf.groupby("key", sort=True):
-        one = bucket["node"][bucket["side"] == 0].tolist()
-        two = bucket["node"][bucket["side"] == 1].tolist()
+    buckets: dict[int, tuple[list[int], list[int]]] = {}
+    for key, side, node in zip(pdf["key"].tolist(), pdf["side"].tolist(), pdf["node"].tolist()):
+        buckets.setdefault(key, ([], []))[side].append(node)
+    for one, two in buckets.values():
         for i, a in enumerate(one):
             for b in two or one[i + 1:]:
                 if a != b and find(a) != find(b):
