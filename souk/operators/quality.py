@@ -139,13 +139,12 @@ def dq_scorecard(t: Tables) -> DataFrame:
 
 
 def dq_failing_rows(t: Tables) -> DataFrame:
-    """What stands behind each FAIL of the scorecard: the keys of the rows, and how many
+    """What stands behind each FAIL of the scorecard: the order ids of the rows, and how many
     rows have them."""
-    def rows(name: str, df: DataFrame, key: str) -> DataFrame:
-        return df.groupBy(F.col(key).cast("string").alias("row_key")).agg(count_rows().alias("rows")).select(
-            F.lit(name).alias("check_name"), "row_key", "rows")
+    def rows(name: str, df: DataFrame) -> DataFrame:
+        return df.groupBy("order_id").agg(count_rows().alias("rows")).select(F.lit(name).alias("check_name"), "order_id", "rows")
     items = t.order_items.select("order_id", "price")
     return (duplicate_keys(t.orders.select("order_id"), ["order_id"], "rows")
-            .select(F.lit(CHECK_DUPLICATE_ORDERS).alias("check_name"), F.col("order_id").cast("string").alias("row_key"), "rows")
-            .unionByName(rows(CHECK_ORPHAN_ITEMS, orphans(items.select("order_id"), t.orders, "order_id"), "order_id"))
-            .unionByName(rows(CHECK_ZERO_PRICE, items.where(F.col("price") <= 0), "order_id")))
+            .select(F.lit(CHECK_DUPLICATE_ORDERS).alias("check_name"), "order_id", "rows")
+            .unionByName(rows(CHECK_ORPHAN_ITEMS, orphans(items.select("order_id"), t.orders, "order_id")))
+            .unionByName(rows(CHECK_ZERO_PRICE, items.where(F.col("price") <= 0))))
