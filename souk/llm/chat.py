@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk.llm.arrays import before, let, parts
+
 _MARK = r"<(\\*)(/turn|turn|text|next)>"
 _ESCAPED = r"<\\(\\*)(/turn|turn|text|next)>"
 
@@ -55,21 +57,18 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
             F.when(last, F.lit("</turn>\n")).otherwise(F.lit("")).alias("after"),
             (t["role"] == loss_role).alias("loss"))
     pieces = convs.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    start = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["before"])
-        end = begin + F.length(p["body"])
-        span = F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct((end + F.length(p["after"])).cast("long").alias("at"),
-                        F.when(p["loss"], F.array_append(acc["spans"], span))
-                         .otherwise(acc["spans"]).alias("spans"))
+
+    def spans(all_pieces: Column) -> Column:
+        sizes = F.transform(all_pieces, lambda p: sum(F.length(p[c]).cast("long") for c in ("before", "body", "after")))
+        bodies = F.zip_with(all_pieces, before(sizes), lambda p, at: F.struct(
+            (at + F.length(p["before"])).alias("start"),
+            (at + F.length(p["before"]) + F.length(p["body"])).alias("end"), p["loss"].alias("loss")))
+        return F.transform(F.filter(bodies, lambda s: s["loss"]), lambda s: s.dropFields("loss"))
     return pieces.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["body"], p["after"])), "")
          .alias("formatted"),
-        F.aggregate("pieces", start, step, lambda acc: acc["spans"]).alias("loss_spans"))
+        let(F.col("pieces"), spans).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -87,9 +86,7 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(
-        spans, lambda s: unescape(formatted.substr((s["start"] + 1).cast("int"),
-                                                   (s["end"] - s["start"]).cast("int")))), "")
+    return F.array_join(F.transform(parts(formatted, spans), unescape), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
