@@ -9,7 +9,8 @@ ledger, and joins the findings back to all paths.
 
 Matches of a rule are leftmost and do not overlap. Their places follow from the text
 between them: ``split`` and ``regexp_extract_all`` by one pattern give gaps and matches in
-turn, whose lengths (code points) add up to the offsets.
+turn, whose lengths (code points) add up to the offsets, in time that grows with the
+matches and the text, not with their squares.
 
 Cases: null text = empty text, which has a blob like any other; null paths stay; repeated
 rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -23,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.llm.arrays import before, let, parts
 from souk.llm.common import numbered, save, scratch, sized, text_of
 
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
@@ -75,17 +77,16 @@ def matches(text: Column, rule: Rule) -> Column:
                      F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part")),
         lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"),
                            F.length(x["part"]).alias("part")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["hit"]
-        span = F.struct(F.lit(rule.kind).alias("kind"), begin.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct(F.coalesce(end, begin).cast("long").alias("at"),  # the last gap has no match after it
-                        F.when(x["part"] >= rule.least, F.array_append(acc["spans"], span))
-                         .otherwise(acc["spans"]).alias("spans"))
+
+    def spans(all_found: Column) -> Column:
+        sizes = F.transform(all_found, lambda x: (x["gap"] + F.coalesce(x["hit"], F.lit(0))).cast("long"))
+        every = F.zip_with(all_found, before(sizes), lambda x, at: F.struct(
+            F.lit(rule.kind).alias("kind"), (at + x["gap"]).alias("start"),
+            (at + x["gap"] + x["hit"]).alias("end"), x["part"].alias("part")))
+        # The last gap has no match after it: its part is null.
+        return F.transform(F.filter(every, lambda x: x["part"] >= rule.least), lambda x: x.dropFields("part"))
     hint = F.contains(text, F.lit(rule.hint)) if rule.hint.replace("-", "").replace(" ", "").isalnum() else text.rlike(rule.hint)
-    return F.when(hint, F.aggregate(found, start, step, lambda acc: acc["spans"])).otherwise(none)
+    return F.when(hint, let(found, spans)).otherwise(none)
 
 
 LEDGER = "blob binary, scanned array<string>, findings array<struct<kind:string,start:bigint,end:bigint,rule:string>>"
@@ -107,15 +108,17 @@ def scan(docs: DataFrame, ledger: str, rules=RULES, path_col: str = "doc_id",
     blob = F.unhex(F.sha2(text_of(text_col), 256))
     paths = save(docs.select(F.col(path_col).alias("path"), blob.alias("blob")), "secret-paths")
     # Unseen pairs, a row for each blob with the rules that are left for it.
-    # Any path may stand for its blob; the smallest does.
-    blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    # Any path may stand for its blob; the smallest does. It may be there more than once.
+    blobs = (paths.groupBy("blob", "path").agg(F.count("*").alias("n"))
+             .groupBy("blob").agg(F.min(F.struct("path", "n")).alias("p")).select("blob", "p.path", "p.n"))
     seen = (spark.read.schema(LEDGER).parquet(ledger).select("blob", F.explode("scanned").alias("rule"))
             .filter(F.col("rule").isin(ids)).groupBy("blob").agg(F.collect_set("rule").alias("seen")))
     wanted = F.array(*map(F.lit, ids))
     todo = save(blobs.join(seen, "blob", "left")
                 .withColumn("todo", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
-                .filter(F.size("todo") > 0).select(F.col("path").alias("__path"), F.col("blob").alias("__blob"), "todo"),
+                .filter(F.size("todo") > 0).select(F.col("path").alias("__path"), F.col("blob").alias("__blob"), "todo", "n"),
                 "secret-todo")
+    again = save(todo.filter("n > 1").select(F.col("__blob").alias("blob")), "secret-again")
     # The texts of those blobs: the rows that stand for one. If only few rows are copies or
     # seen, these are subtracted instead, so that texts need no shuffle.
     copies = save(paths.join(todo.select("__path", "__blob"),
@@ -131,6 +134,9 @@ def scan(docs: DataFrame, ledger: str, rules=RULES, path_col: str = "doc_id",
         due = sized(todo)
         left = (texts.join(due, same(texts, due["__path"], due["__blob"]))
                 .select(F.col("__blob").alias("blob"), "text", "todo"))
+    if again.count():  # repeated rows of a path: one of them is scanned
+        one = left.join(sized(again), "blob", "left_semi").dropDuplicates(["blob"])
+        left = left.join(sized(again), "blob", "left_anti").unionByName(one)
     by = lambda r: lambda f: f.withField("rule", F.lit(r.id))
     runs = [F.transform(F.when(F.array_contains("todo", r.id), matches(F.col("text"), r)).otherwise(
         F.array().cast(f"array<{SPAN}>")), by(r)) for r in rules]
@@ -177,15 +183,14 @@ def report(found: DataFrame) -> DataFrame:
 
 def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every found span, overlapping ones merged, replaced by ``mark``."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, f: Column) -> Column:
-        piece = F.when(f["start"] >= acc["at"],
-                       F.concat(text.substr((acc["at"] + 1).cast("int"), (f["start"] - acc["at"]).cast("int")), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], f["end"]).alias("at"),
-                        F.when(piece.isNotNull(), F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-    return F.aggregate(ordered(findings), start, step,
-                       lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text))))
+    def cut(spans: Column) -> Column:
+        reach = before(F.transform(spans, lambda f: f["end"]), F.greatest)  # the end of all spans before
+        gaps = F.filter(F.zip_with(spans, reach, lambda f, at: F.struct(at.alias("start"), f["start"].alias("end"))),
+                        lambda g: g["end"] >= g["start"])
+        end = F.coalesce(F.array_max(F.transform(spans, lambda f: f["end"])), F.lit(0))
+        return F.concat(F.array_join(F.transform(parts(text, gaps), lambda t: F.concat(t, F.lit(mark))), ""),
+                        text.substr((end + 1).cast("int"), F.length(text)))
+    return let(ordered(findings), cut)
 
 
 def redact_documents(docs: DataFrame, ledger: str, rules=RULES, id_col: str = "doc_id", text_col: str = "text",

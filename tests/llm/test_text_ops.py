@@ -262,6 +262,31 @@ def test_ledger_scans_only_what_is_unseen(spark):
     assert {s for _, s in read()[:]} >= {("hex@2",)} and len(read()) == before + len({t or "" for _, t, *_ in messy.ROWS})
 
 
+def test_repeated_rows_are_scanned_once(spark):
+    """The ledger has one row for each blob, however often a path and its text are there."""
+    ledger = secrets.new_ledger(spark)
+    docs = spark.createDataFrame([(7, "token=abcdefgh")] * 50 + [(None, "x")] * 3 + [(8, "token=abcdefgh")], "doc_id long, text string")
+    found = secrets.scan(docs, ledger, secrets.BASE)
+    assert spark.read.parquet(ledger).count() == 2
+    assert Counter((r["path"], len(r["findings"])) for r in found.collect()) == {(7, 1): 50, (None, 0): 3, (8, 1): 1}
+    secrets.scan(docs, ledger, secrets.BASE)
+    assert spark.read.parquet(ledger).count() == 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 256, 257, 20000])
+def test_many_matches_and_turns(spark, n):
+    """Blocks of matches and turns, the last one full or not."""
+    text = "é password=abcdefgh " * n
+    df = spark.createDataFrame([(text,)], "text string").select("text", secrets.matches(F.col("text"), secrets.BASE[0]).alias("f"))
+    row = df.select("f", secrets.redacted(F.col("text"), F.col("f")).alias("clean")).first()
+    assert [(s["start"], s["end"]) for s in row["f"]] == [(20 * i + 2, 20 * i + 19) for i in range(n)]
+    assert row["clean"] == ("é [SECRET] " * n if n else "")
+    turns = [(1, i, ("user", "assistant")[i % 2], f"<text> é {i}") for i in range(n)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat.digests(chat.format_conversations(rows)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == chat_rows(turns)
+
+
 def test_findings_follow_the_rule_version(spark):
     """On a used ledger only what the versions asked for find is reported and redacted, also
     where the ledger's findings have no version."""
