@@ -1,16 +1,22 @@
 """Exact dedup over an extendible-hash index on shared files, with DataFrame functions only.
 
 1. ``entries`` (row number, doc_id, 64-bit key, SHA-256) of every row go to a shared file.
-2. Keys are counted (combined before the shuffle, so a hot text is one row per task).
-   Only rows whose key occurs twice or more can have a copy: for these the texts
-   themselves are grouped with the key, which compares their bytes. Different texts under
-   one key become links of a chain.
+2. Entries of one key are combined within a task and sent on under (key, salt), so a hot
+   text is at most ``SALTS`` postings, whichever share of the rows it has.
 3. The directory maps the leading bits of a key to a bucket. It starts with one slot and
-   doubles while some bucket holds more than ``bucket_keys`` keys; a bucket that is not
-   overfull keeps its smaller local depth and is shared by several slots.
-4. The buckets are written as shared files: owner tasks take contiguous ranges of
-   (bucket, key), so a hot text is one index row, not many.
-5. Every row probes the index by key; where a chain has two or more links, by text.
+   doubles while some bucket holds more than ``bucket_keys`` different keys; a bucket that
+   is not overfull keeps its smaller local depth and is shared by several slots.
+4. Owner tasks take contiguous ranges of (bucket, key): they get the postings of their range
+   through the directory, sort them and make one link of each key. Postings of one key with
+   different SHA-256 are different texts under one key: the texts of these keys are grouped,
+   which compares their bytes, and become links of a chain. Where one key is there twice or
+   more with one SHA-256, the texts are compared by their bytes likewise.
+5. Every row finds its bucket by the directory and probes the index by (bucket, key); where
+   a chain has two or more links, by text.
+
+The directory uses three bits more than equal buckets need, ``MAX_DEPTH`` at most. A bucket
+that these can't split (with a ``key`` that is far from uniform) stays overfull; its keys are
+dealt to several owner tasks by ranges, as any bucket's, and no row is lost.
 
 Cases: null text = empty text; a null doc_id loses against any other; rows with one
 doc_id and one text are repeated rows, of which exactly one is kept; an empty table gives
@@ -27,6 +33,7 @@ from souk.llm.common import numbered, save, sized, text_of
 # Keys in a bucket before it splits: some tens of MB of index rows.
 BUCKET_KEYS = 250_000
 MAX_DEPTH = 24
+SALTS = 16  # postings of a key at most
 
 
 def directory(cells: list[tuple[int, int]], depth: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -52,6 +59,13 @@ def directory(cells: list[tuple[int, int]], depth: int, capacity: int) -> list[t
             for slot in range(prefix << (top - at), (prefix + 1) << (top - at))]
 
 
+def split_buckets(keys: DataFrame, capacity: int) -> list[tuple[int, int, int]]:
+    """The directory over different ``keys``, from counts by leading bits, 16 for each bucket."""
+    depth = min(MAX_DEPTH, max(0, (keys.count() // max(1, capacity)).bit_length() + 3))
+    cells = keys.groupBy(bits(F.col("key"), depth).alias("cell")).agg(F.count("*").alias("n")).collect()
+    return directory([(r["cell"], r["n"]) for r in cells], depth, capacity)
+
+
 def bits(key: Column, depth: int) -> Column:
     """The first ``depth`` bits of a 64-bit key, as a number from 0."""
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
@@ -69,33 +83,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low = F.lit(-(2**63)).cast("long")
     rank = F.coalesce(F.col("doc_id").cast("long"), low)
 
-    # Keys and their counts; the copies' bytes are compared below.
-    counted = entries.groupBy("key").agg(F.count("*").alias("n"))
-    twice = save(counted.filter("n > 1").select("key"), "exact-twice")
-    texts = keyed.join(sized(twice), "key", "left_semi")
-    chains = save(texts.groupBy("key", "text").agg(F.count("*").alias("n"))
+    # Postings, combined before the shuffle.
+    salt = F.pmod(F.shiftright("row", 33), F.lit(SALTS))
+    postings = save(entries.groupBy("key", salt.alias("salt")).agg(
+        F.max("doc_id").alias("keep_id"), F.max(rank).alias("rank"), F.max_by("row", rank).alias("keep_row"),
+        F.count("*").alias("n"), F.min("sha").alias("low"), F.max("sha").alias("high")), "exact-postings")
+    slots = split_buckets(postings.select("key").distinct(), bucket_keys)
+    depth = max(at for _, _, at in slots)
+    slot_table = spark.createDataFrame(slots, "slot long, bucket long, local_depth int")
+    slot_table = F.broadcast(slot_table) if len(slots) <= 1 << 18 else slot_table
+    to_bucket = lambda df: df.join(slot_table, bits(F.col("key"), depth) == F.col("slot")).drop("slot")
+
+    # Owner tasks: each key's postings are in one range, so they are grouped where they are.
+    owned = (to_bucket(postings).repartitionByRange("bucket", "key").groupBy("bucket", "key").agg(
+        F.max("local_depth").alias("local_depth"), F.max("keep_id").alias("keep_id"),
+        F.max_by("keep_row", "rank").alias("keep_row"), F.sum("n").alias("group_size"),
+        F.min("low").alias("low"), F.max("high").alias("high")))
+    index = save(owned.sortWithinPartitions("bucket", "key").withColumn("chain", F.lit(0).cast("long")), "exact-index")
+
+    # Bytes of the texts whose key is there twice or more.
+    twice = save(index.filter("group_size > 1").select("key"), "exact-twice")
+    chains = save(keyed.join(sized(twice), "key", "left_semi")
+                  .groupBy("key", "text").agg(F.count("*").alias("n"))
                   .groupBy("key").agg(F.count("*").alias("links")).filter("links > 1"), "exact-chains")
     collide = chains.count() > 0
-
-    # Index rows: one for each text; a key without a collision needs no text.
-    simple = entries.groupBy("key").agg(
-        F.max("doc_id").alias("keep_id"), F.max_by("row", rank).alias("keep_row"),
-        F.count("*").alias("group_size"))
-    index = simple.withColumn("chain", F.lit(0).cast("long"))
     if collide:
         index = index.join(sized(chains.select("key")), "key", "left_anti")
-    cells_depth = min(MAX_DEPTH, max(0, (entries.count() // max(1, bucket_keys)).bit_length() + 3))
-    cells = [(r[0], r[1]) for r in index.groupBy(bits(F.col("key"), cells_depth).alias("cell"))
-             .agg(F.count("*").alias("n")).collect()]  # at most 2^MAX_DEPTH counts, 16 for each bucket
-    slots = directory(cells, cells_depth, bucket_keys)
-    depth = max(at for _, _, at in slots)
-    slot_table = spark.createDataFrame(slots, "slot long, bucket long, local_depth int")
-    index = index.join(F.broadcast(slot_table) if len(slots) <= 1 << 18 else slot_table,
-                       bits(F.col("key"), depth) == F.col("slot")).drop("slot")
-    index = save(index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"),
-                 "exact-index")
 
-    found = entries.join(index, "key", "left" if collide else "inner")
+    found = to_bucket(entries).join(index.drop("local_depth"), ["bucket", "key"], "left" if collide else "inner")
     out = [F.col("doc_id"), F.col("keep_id"), F.col("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"),
            F.lower(F.hex("sha")).alias("text_sha256"), F.col("bucket"), F.col("chain")]
     if not collide:
@@ -109,8 +124,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count("*").alias("group_size"), F.min("row").alias("first"))
     links = links.withColumn("chain", F.row_number().over(
         Window.partitionBy("key").orderBy("first")).cast("long")).drop("first")
-    links = links.join(F.broadcast(slot_table) if len(slots) <= 1 << 18 else slot_table,
-                       bits(F.col("key"), depth) == F.col("slot")).drop("slot")
+    links = to_bucket(links)
     probed = (rows.withColumn("sha", F.unhex(F.sha2("text", 256)))
               .join(links, ["key", "text"]).select(out))
     return alone.unionByName(probed)

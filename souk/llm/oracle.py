@@ -30,8 +30,7 @@ FROM e GROUP BY conv_id
 OP7 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
-SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256,
-  CAST(0 AS BIGINT) AS bucket, CAST(0 AS BIGINT) AS chain
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.text) AS text_sha256
 FROM d JOIN g USING (text)
 """
 

@@ -45,6 +45,24 @@ def test_exact_groups(spark, mask):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_exact_index_of_many_buckets(spark):
+    """Buckets split as the directory says, owner tasks group their own ranges, and the rows
+    are those of a plain grouping, with a hot text of a third of the rows."""
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    docs = docs.unionByName(spark.range(10**6, 10**6 + docs.count() // 2).select(F.col("id").alias("doc_id"), F.lit("hot").alias("text")))
+    got = exact.exact_groups(docs, bucket_keys=20)
+    rows = got.collect()
+    assert sorted((tuple(r)[:5] for r in rows), key=str) == exact_rows([tuple(r) for r in docs.collect()])
+    keys = defaultdict(set)
+    for r in rows:
+        keys[r["bucket"]].add(r["text_sha256"])
+    assert len(keys) > 8 and max(map(len, keys.values())) <= 20
+    by_sha = defaultdict(set)
+    for r in rows:
+        by_sha[r["text_sha256"]].add(r["bucket"])
+    assert all(len(b) == 1 for b in by_sha.values())
+
+
 def test_exact_empty_and_stage(spark):
     assert exact.exact_groups(messy.docs(spark, [])).count() == 0
     docs = messy.docs(spark)
