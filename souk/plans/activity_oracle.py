@@ -105,4 +105,86 @@ SELECT window_start, window_start + INTERVAL 6 HOURS AS window_end, event_type,
   CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value
 FROM dealt GROUP BY ALL HAVING window_start + INTERVAL 6 HOURS <= {_FINAL}"""
 
+_NAMED = """named AS (
+  SELECT product_id, COALESCE((SELECT product_category_name_english FROM m_category_translation t
+    WHERE t.product_category_name = p.product_category_name), product_category_name, 'Unknown') AS category
+  FROM m_products p)"""
+
+STATEMENTS["theta_cheaper_rivals"] = f"""
+WITH {_NAMED},
+offered AS (SELECT product_id, category, min(price) AS price FROM m_order_items JOIN named USING (product_id) GROUP BY ALL)
+SELECT a.product_id, a.category, CAST(a.price AS DOUBLE) AS price,
+  count(*) FILTER (WHERE b.price < a.price) AS cheaper, count(*) FILTER (WHERE b.price > a.price) AS dearer
+FROM offered a JOIN offered b ON a.category = b.category
+GROUP BY a.product_id, a.category, a.price"""
+
+STATEMENTS["theta_undercut_sellers"] = """
+WITH sold AS (SELECT row_number() OVER () AS n, product_id, seller_id, price FROM m_order_items),
+offers AS (
+  SELECT a.n, a.seller_id, count(b.n) AS offers
+  FROM sold a LEFT JOIN sold b ON a.product_id = b.product_id AND a.seller_id <> b.seller_id AND b.price < a.price
+  GROUP BY ALL)
+SELECT seller_id, count(*) AS items, count(*) FILTER (WHERE offers > 0) AS undercut, CAST(sum(offers) AS BIGINT) AS cheaper_offers
+FROM offers GROUP BY ALL"""
+
+_OPEN = """(SELECT order_id, order_estimated_delivery_date < TIMESTAMP '{0}' AS late FROM m_orders
+  WHERE order_purchase_timestamp <= TIMESTAMP '{0}' AND coalesce(order_delivered_customer_date > TIMESTAMP '{0}', true))"""
+
+STATEMENTS["recon_open_orders"] = f"""
+SELECT coalesce(a.order_id, b.order_id) AS order_id,
+  CASE WHEN a.order_id IS NULL THEN 'added' WHEN b.order_id IS NULL THEN 'removed'
+       WHEN a.late IS DISTINCT FROM b.late THEN 'changed' ELSE 'same' END AS change,
+  CAST(a.order_id IS NOT NULL AS BIGINT) AS rows_before, CAST(b.order_id IS NOT NULL AS BIGINT) AS rows_after
+FROM {_OPEN.format("1998-01-01")} a FULL JOIN {_OPEN.format("1998-02-01")} b ON a.order_id = b.order_id"""
+
+STATEMENTS["recon_order_amounts"] = """
+WITH billed AS (SELECT order_id, sum(price + freight_value) AS billed FROM m_order_items GROUP BY ALL),
+paid AS (SELECT order_id, sum(payment_value) AS paid FROM m_order_payments GROUP BY ALL)
+SELECT order_id, CAST(billed AS DOUBLE) AS billed, CAST(paid AS DOUBLE) AS paid,
+  CASE WHEN paid IS NULL THEN 'unpaid' WHEN billed IS NULL THEN 'no items'
+       WHEN paid = billed THEN 'equal' WHEN paid > billed THEN 'overpaid' ELSE 'underpaid' END AS state
+FROM billed FULL JOIN paid USING (order_id)"""
+
+STATEMENTS["recon_log_orders"] = """
+WITH log AS (SELECT user_id AS customer_id, dayofweek(ts) + 1 AS weekday FROM events WHERE event_type = 'purchase'),
+placed AS (SELECT customer_id, dayofweek(order_purchase_timestamp) + 1 AS weekday FROM m_orders),
+found AS (
+  SELECT *, 'both' AS side FROM (SELECT * FROM log INTERSECT ALL SELECT * FROM placed)
+  UNION ALL SELECT *, 'log' FROM (SELECT * FROM log EXCEPT ALL SELECT * FROM placed)
+  UNION ALL SELECT *, 'orders' FROM (SELECT * FROM placed EXCEPT ALL SELECT * FROM log))
+SELECT customer_id, CAST(weekday AS INTEGER) AS weekday, count(*) FILTER (WHERE side = 'both') AS in_both,
+  count(*) FILTER (WHERE side = 'log') AS log_only, count(*) FILTER (WHERE side = 'orders') AS orders_only
+FROM found GROUP BY ALL"""
+
+_BUYERS = """bought AS (
+  SELECT DISTINCT strftime(order_purchase_timestamp, '%Y-%m') AS month, customer_unique_id AS who
+  FROM m_orders JOIN m_customers USING (customer_id)
+  WHERE order_status = 'delivered' AND order_purchase_timestamp IS NOT NULL AND order_id IN (SELECT order_id FROM m_order_items))"""
+
+STATEMENTS["sketch_active_error"] = f"""
+WITH {_BUYERS},
+spread AS (
+  SELECT who, unnest([month, month[:4] || '-Q' || (CAST(month[6:] AS INT) + 2) // 3, month[:4], 'all']) AS period FROM bought)
+SELECT period, count(DISTINCT who) AS customers, true AS within FROM spread GROUP BY ALL"""
+
+# Exact while no month has over 4,096 buyers.
+STATEMENTS["sketch_retention"] = f"""
+WITH {_BUYERS},
+later AS (SELECT who, strftime(CAST(month || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m') AS month, true AS stayed FROM bought)
+SELECT month, count(*) AS customers, count(stayed) AS retained, count(*) - count(stayed) AS lost
+FROM bought LEFT JOIN later USING (month, who) GROUP BY ALL"""
+
+STATEMENTS["json_order_facts"] = """
+WITH billed AS (
+  SELECT order_id, count(*) AS items, sum(price) AS total, max(price) AS dearest FROM m_order_items GROUP BY ALL),
+judged AS (
+  SELECT order_id, count(*) AS reviews, count(*) FILTER (WHERE review_score IN (1, 2)) AS low_reviews FROM m_order_reviews GROUP BY ALL)
+SELECT order_id, coalesce(items, 0) AS items, CAST(coalesce(total, 0) AS DOUBLE) AS total, CAST(dearest AS DOUBLE) AS dearest,
+  coalesce(reviews, 0) AS reviews, coalesce(low_reviews, 0) AS low_reviews
+FROM billed FULL JOIN judged USING (order_id)"""
+
+STATEMENTS["json_seller_items"] = """
+SELECT seller_id, count(*) AS items, CAST(sum(price + freight_value) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders
+FROM m_order_items GROUP BY ALL"""
+
 ORACLE_SQL: dict[str, str] = {key: with_views(sql) for key, sql in STATEMENTS.items()}

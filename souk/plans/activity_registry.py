@@ -1,4 +1,5 @@
-"""Name -> analysis in time; each takes the marketplace tables and the activity log."""
+"""Name -> analysis beyond the original statements; each takes the marketplace tables and the
+activity log."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from souk.operators import activity
+from souk.operators import activity, nested, rivals, sketches, versions
 from souk.streaming import activity as streams
 
 ANALYSES: dict[str, Callable[..., DataFrame]] = {
@@ -20,6 +21,17 @@ ANALYSES: dict[str, Callable[..., DataFrame]] = {
     "cube_sales": activity.cube_sales,
     "session_events": lambda t, events: streams.merged_sessions(events),
     "session_summary": lambda t, events: streams.session_summary(events),
+    "theta_cheaper_rivals": lambda t, events: rivals.theta_cheaper_rivals(t),
+    "theta_undercut_sellers": lambda t, events: rivals.theta_undercut_sellers(t),
+    "recon_open_orders": lambda t, events: versions.recon_open_orders(t),
+    "recon_order_amounts": lambda t, events: versions.recon_order_amounts(t),
+    "recon_log_orders": versions.recon_log_orders,
+    "sketch_active_customers": lambda t, events: sketches.sketch_active_customers(t),
+    "sketch_active_error": lambda t, events: sketches.sketch_active_error(t),
+    "sketch_order_value": lambda t, events: sketches.sketch_order_value(t),
+    "sketch_retention": lambda t, events: sketches.sketch_retention(t),
+    "json_order_facts": lambda t, events: nested.json_order_facts(t),
+    "json_seller_items": lambda t, events: nested.json_seller_items(t),
 }
 
 # Streams over the activity log, which they read themselves: (spark, path of the log, its schema).
