@@ -239,7 +239,12 @@ def near_links(base: DataFrame, lines: DataFrame, threshold: float) -> DataFrame
     many = save(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
                 .filter("low < high").select("key"), "passage-buckets")
     members = save(keyed.join(sized(many), "key").distinct(), "passage-members")
-    members = save(members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "passage-members")
+    # Near lines collide in most bands: of buckets with the same nodes (their number and two 64-bit
+    # digests of the set) one is compared.
+    digest = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    alike = members.groupBy("key").agg(F.count("*").alias("n"), digest(1).alias("x"), digest(2).alias("y"))
+    chosen = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    members = save(members.join(chosen, "key"), "passage-buckets-of-nodes")
     # The codes of one line of each such node; the others hold the same words.
     wanted = (lines.join(sized(save(members.select(F.col("node").alias("h1")).distinct(), "passage-nodes")), "h1", "left_semi")
               .groupBy(F.col("h1").alias("node")).agg(F.min(F.struct("h2", "row", "start", "words")).alias("at")).select("node", "at.*"))
