@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from compare import compare, duck
-from souk.plans.activity_registry import ANALYSES, STREAMS
+from souk.plans.activity_registry import ANALYSES, ESTIMATES, STREAMS
 from souk.plans.registry import OPERATORS
 
 SF001 = "/root/testdata/sf0.01"
@@ -22,7 +22,7 @@ def test_entry(spark):
 
 def test_every_query_has_oracle():
     assert set(OPERATORS) | set(ANALYSES) | set(STREAMS) == set(E.oracle_sql()) - set(E.LLM_ORACLE)
-    assert set(E.queries()) == set(OPERATORS) | set(ANALYSES) | set(STREAMS) | set(E.LLM_QUERIES)
+    assert set(E.queries()) == set(OPERATORS) | set(ANALYSES) | set(ESTIMATES) | set(STREAMS) | set(E.LLM_QUERIES)
 
 
 def test_query_opens_only_its_tables_and_writes_nothing(spark, monkeypatch):
