@@ -14,6 +14,7 @@ import messy
 from conftest import SF
 from souk.llm import exact, graph, quality, simhash, substring, toxicity
 from souk.llm.common import table
+from souk.llm.oracle import ORACLE
 from souk.llm.queries import QUERIES
 from test_text_ops import brute_counts, ids_of, library, spans_of  # noqa: F401
 
@@ -63,6 +64,15 @@ def test_exact_index_of_many_buckets(spark):
     assert all(len(b) == 1 for b in by_sha.values())
 
 
+def test_exact_query_returns_its_places(spark):
+    """The registered query and its statement give each row's place in the index as well."""
+    got = QUERIES["op7_exact_dedup"](spark, SF)
+    want = exact.exact_groups(table(spark, SF, "documents"))
+    assert got.columns == want.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "bucket", "chain"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert "AS bucket" in ORACLE["op7_exact_dedup"] and "AS chain" in ORACLE["op7_exact_dedup"]
+
+
 def test_exact_empty_and_stage(spark):
     assert exact.exact_groups(messy.docs(spark, [])).count() == 0
     docs = messy.docs(spark)
