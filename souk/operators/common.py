@@ -10,6 +10,8 @@ customers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ PURCHASE_TS = "order_purchase_timestamp"
 DELIVERED_TS = "order_delivered_customer_date"
 ESTIMATED_TS = "order_estimated_delivery_date"
 
+# Input rows that a task gets where rows are dealt by their number: some tens of MB of sorts and groups.
+ROWS_PER_TASK = 200_000
+
+
+def dealer(*tables: DataFrame) -> Callable[..., DataFrame]:
+    """deal(df, *keys): ``df`` dealt by ``keys`` to as many tasks as the rows of ``tables``
+    ask for. What a task holds then stays the same as the input grows, where exchanges that
+    are merged at runtime grow with it up to a size of compressed bytes. Parquet counts rows
+    by its footers."""
+    n = max(1, -(-sum(df.count() for df in tables) // ROWS_PER_TASK))
+    return lambda df, *keys: df.repartition(n, *keys)
+
 
 def delivered_orders(t: Tables) -> DataFrame:
     """Orders with status 'delivered' (the filter reaches the scan)."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.expr import avg_of, count_rows, pct, round_dp, share_of_total
-from souk.operators.common import delivered_orders, product_categories
+from souk.operators.common import dealer, delivered_orders, product_categories
 from souk.sources.tables import Tables
 
 
@@ -25,16 +27,18 @@ def review_satisfaction(t: Tables) -> DataFrame:
         pct(F.count_if(s <= 2), count_rows(), 1).alias("pct_negative"))
 
 
-def order_categories(t: Tables) -> DataFrame:
+def order_categories(t: Tables, deal: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Distinct (order_id, category) pairs of delivered orders.
 
-    Items of other orders drop out first, so only what is kept meets the
-    products; the de-duplication's map-side combine collapses each order to its
-    few categories before its shuffle, so a hot order or product cannot pile up.
+    Copies of an item are dropped where (order, product) deals them, so a hot order is no
+    more than its different products from there on. Items of other orders drop out next, so
+    only what is kept meets the products.
     """
-    items = (t.order_items.select("order_id", "product_id")
-             .join(delivered_orders(t).select("order_id").distinct(), "order_id", "left_semi"))
-    return items.join(product_categories(t), "product_id").select("order_id", "category").distinct()
+    deal = deal or dealer(t.order_items)
+    pairs = deal(t.order_items.select("order_id", "product_id"), "order_id", "product_id").distinct()
+    delivered = deal(delivered_orders(t).select("order_id"), "order_id").distinct()
+    items = deal(pairs, "order_id").join(delivered, "order_id", "left_semi")
+    return deal(items.join(product_categories(t), "product_id").select("order_id", "category"), "order_id").distinct()
 
 
 def _delivered_reviews(t: Tables) -> DataFrame:
@@ -44,7 +48,10 @@ def _delivered_reviews(t: Tables) -> DataFrame:
 
 def review_by_category(t: Tables, min_reviews: int = 50) -> DataFrame:
     s = F.col("review_score")
-    g = (_delivered_reviews(t).join(order_categories(t), "order_id")
+    deal = dealer(t.order_items)
+    found = deal(t.order_reviews.select("review_id", "order_id", "review_score"), "order_id").join(
+        deal(delivered_orders(t).select("order_id"), "order_id"), "order_id")
+    g = (found.join(order_categories(t, deal), "order_id")
          .groupBy("category").agg(
              F.count("review_id").alias("review_count"),
              round_dp(avg_of(s), 2).alias("avg_score"),

@@ -1,5 +1,9 @@
 """Physical-plan properties that matter at scale."""
 
+import re
+
+import pytest
+
 from souk.operators import common, customers, kpis, quality, reviews
 
 
@@ -77,3 +81,13 @@ def test_no_cartesian_products_when_planned_for_large_data(spark, tables):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("build", [reviews.review_by_category])
+def test_tasks_follow_the_rows(tables, monkeypatch, build):
+    """Orders are dealt to as many tasks as the rows ask for, so a task's memory stays."""
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 7)
+    rows = tables.order_items.count() + (tables.order_reviews.count() if "json" in build.__name__ else 0)
+    dealt = re.findall(r"hashpartitioning\((\w+)#[^()]*, (\d+)\), REPARTITION_BY_NUM", _plan(build(tables)))
+    assert len(dealt) > 2 and {int(n) for _, n in dealt} <= {-(-rows // 7), -(-tables.order_items.count() // 7)}
+    assert any(key in ("order_id", "large_id") for key, _ in dealt)
