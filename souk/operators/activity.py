@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from souk.functions.expr import DAY_US, count_rows, trunc_days
 from souk.operators.common import (
-    DELIVERED_TS, ESTIMATED_TS, PURCHASE_TS, delivered_order_rows, delivered_orders, product_categories,
+    DELIVERED_TS, ESTIMATED_TS, PURCHASE_TS, dealer, delivered_order_rows, delivered_orders, product_categories,
 )
 from souk.operators.temporal import asof_join, interval_join, overlap_join
 from souk.session import materialize
@@ -120,12 +120,20 @@ def rolling_state_activity(t: Tables, events: DataFrame | None = None, days: int
 def cube_sales(t: Tables, events: DataFrame | None = None) -> DataFrame:
     """Delivered orders (exact distinct counts) and revenue by category, state and month, at
     every level: ``level`` has a bit for each column that is summed over (category 4, state
-    2, month 1). What the levels are made of is one row for each order and category."""
-    items = (t.order_items.select("order_id", "product_id", (F.col("price") + F.col("freight_value")).alias("paid"))
-             .groupBy("order_id", "product_id").agg(F.sum("paid").alias("paid"))
-             .join(product_categories(t), "product_id").groupBy("order_id", "category").agg(F.sum("paid").alias("paid")))
+    2, month 1). What the levels are made of is one row for each order and category; an
+    order's rows are in one task, where each level takes them together, so the cells count
+    rows and no order id travels on."""
+    deal = dealer(t.order_items)
+    paid = F.sum("paid").alias("paid")
+    sold = deal(t.order_items.select("order_id", "product_id", (F.col("price") + F.col("freight_value")).alias("paid")), "order_id", "product_id")
+    named = sold.groupBy("order_id", "product_id").agg(paid).join(product_categories(t), "product_id")
+    items = deal(named.select("order_id", "category", "paid"), "order_id").groupBy("order_id", "category").agg(paid)
     orders = delivered_orders(t).select("order_id", "customer_id", F.date_format(PURCHASE_TS, "yyyy-MM").alias("month")).join(
-        t.customers.select("customer_id", F.col("customer_state").alias("state")), "customer_id")
-    rows = items.join(orders, "order_id")
-    return rows.cube("category", "state", "month").agg(
-        F.grouping_id().alias("level"), F.countDistinct("order_id").alias("orders"), F.round(F.sum("paid"), 2).cast("double").alias("revenue"))
+        t.customers.select("customer_id", F.col("customer_state").alias("state")), "customer_id").select("order_id", "state", "month")
+    rows = items.join(deal(orders, "order_id"), "order_id")
+    columns = {"category": 4, "state": 2, "month": 1}
+    cells = [F.struct(*(F.when(F.lit(not level & bit), F.col(c)).alias(c) for c, bit in columns.items()), F.lit(level).cast("long").alias("level"))
+             for level in range(8)]
+    taken = rows.select("order_id", "paid", F.explode(F.array(*cells)).alias("cell")).select("order_id", "paid", "cell.*")
+    return taken.groupBy("order_id", *columns, "level").agg(paid).groupBy(*columns, "level").agg(
+        F.count("order_id").alias("orders"), F.round(F.sum("paid"), 2).cast("double").alias("revenue"))

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from souk.operators import common, customers, kpis, quality, reviews
+from souk.operators import activity, common, customers, kpis, quality, reviews
 
 
 def _plan(df) -> str:
@@ -83,7 +83,7 @@ def test_no_cartesian_products_when_planned_for_large_data(spark, tables):
                 spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("build", [reviews.review_by_category])
+@pytest.mark.parametrize("build", [reviews.review_by_category, activity.cube_sales])
 def test_tasks_follow_the_rows(tables, monkeypatch, build):
     """Orders are dealt to as many tasks as the rows ask for, so a task's memory stays."""
     monkeypatch.setattr(common, "ROWS_PER_TASK", 7)
@@ -91,3 +91,10 @@ def test_tasks_follow_the_rows(tables, monkeypatch, build):
     dealt = re.findall(r"hashpartitioning\((\w+)#[^()]*, (\d+)\), REPARTITION_BY_NUM", _plan(build(tables)))
     assert len(dealt) > 2 and {int(n) for _, n in dealt} <= {-(-rows // 7), -(-tables.order_items.count() // 7)}
     assert any(key in ("order_id", "large_id") for key, _ in dealt)
+
+
+def test_cube_counts_orders_without_their_ids(tables, monkeypatch):
+    """An order's levels are taken in one task: no id is behind the last exchange."""
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 7)
+    first = next(x for x in _plan(activity.cube_sales(tables)).splitlines() if "Exchange" in x)
+    assert "level" in first and "order_id" not in first

@@ -11,6 +11,9 @@ import duckdb
 import pytest
 
 from compare import compare
+from souk.operators import common
+from souk.plans.activity_oracle import STATEMENTS as ANALYSIS_STATEMENTS
+from souk.plans.activity_registry import ANALYSES
 from souk.plans.oracle import AS_OF, STATEMENTS
 from souk.plans.registry import run
 from souk.schema import SCHEMAS
@@ -79,6 +82,13 @@ def test_hot_keys_match_oracle(skew_env, key):
     assert compare(df, con, STATEMENTS[key]) == []
 
 
+@pytest.mark.parametrize("key", ["cube_sales"])
+def test_hot_keys_of_analyses_match_oracle(skew_env, monkeypatch, key):
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 100)
+    tables, con = skew_env
+    assert compare(ANALYSES[key](tables, None), con, ANALYSIS_STATEMENTS[key]) == []
+
+
 def test_skew_join_split_happens(skew_env):
     tables, _ = skew_env
     df = run("cust_summary", tables)
