@@ -8,9 +8,12 @@ array that grows with the data. Equal items (or reviews) of an order are one par
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from souk.operators.common import dealer
 from souk.sources.tables import Tables
 
 DOCUMENT = ("order_id BIGINT, page INT, items ARRAY<STRUCT<product_id: BIGINT, seller_id: BIGINT, price: DECIMAL(18,2), "
@@ -18,24 +21,28 @@ DOCUMENT = ("order_id BIGINT, page INT, items ARRAY<STRUCT<product_id: BIGINT, s
             "scores MAP<STRING, BIGINT>")
 
 
-def _parts(t: Tables) -> DataFrame:
-    """order_id, item, review: a row for each different item or review, the other one null."""
+def _parts(t: Tables, deal: Callable[..., DataFrame]) -> DataFrame:
+    """order_id, item, review: a row for each different item or review, the other one null.
+    (order, product) and (order, review) deal the rows, so a hot order is in many tasks."""
     item = ["product_id", "seller_id", "price", "freight_value", "copies"]
     review = ["review_id", "review_score", "copies"]
-    items = t.order_items.groupBy("order_id", *item[:-1]).agg(F.count(F.lit(1)).alias("copies")).select("order_id", F.struct(*item).alias("item"))
-    reviews = t.order_reviews.groupBy("order_id", *review[:-1]).agg(F.count(F.lit(1)).alias("copies")).select("order_id", F.struct(*review).alias("review"))
+    copies = F.count(F.lit(1)).alias("copies")
+    items = deal(t.order_items, "order_id", "product_id").groupBy("order_id", *item[:-1]).agg(copies).select("order_id", F.struct(*item).alias("item"))
+    reviews = deal(t.order_reviews, "order_id", "review_id").groupBy("order_id", *review[:-1]).agg(copies).select(
+        "order_id", F.struct(*review).alias("review"))
     return items.unionByName(reviews, allowMissingColumns=True)
 
 
 def order_documents(t: Tables, page: int = 1000) -> DataFrame:
     """order_id, page, document (JSON text): arrays in the order of their fields, ``scores``
     a map from review score to its number of reviews. A null order id is an order."""
-    parts = _parts(t)
+    deal = dealer(t.order_items, t.order_reviews)
+    parts = _parts(t, deal)
     # Only orders of more than a page; the rest need no number of pages.
-    large = parts.groupBy(F.col("order_id").alias("large_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > page)
+    large = deal(parts.select(F.col("order_id").alias("large_id")), "large_id").groupBy("large_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > page)
     number = F.coalesce(F.pmod(F.xxhash64("item", "review"), F.ceil(F.col("n") / page)), F.lit(0)).cast("int")
     dealt = parts.join(large, F.col("order_id").eqNullSafe(F.col("large_id")), "left").withColumn("page", number)
-    pages = dealt.groupBy("order_id", "page").agg(
+    pages = deal(dealt.select("order_id", "page", "item", "review"), "order_id", "page").groupBy("order_id", "page").agg(
         F.array_sort(F.collect_list("item")).alias("items"), F.array_sort(F.collect_list("review")).alias("reviews"))
     scores = F.array_distinct(F.filter(F.col("reviews.review_score"), lambda s: s.isNotNull()))
 

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from souk.operators import activity, common, customers, kpis, quality, reviews
+from souk.operators import activity, common, customers, kpis, nested, quality, reviews
 
 
 def _plan(df) -> str:
@@ -83,7 +83,7 @@ def test_no_cartesian_products_when_planned_for_large_data(spark, tables):
                 spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("build", [reviews.review_by_category, activity.cube_sales])
+@pytest.mark.parametrize("build", [reviews.review_by_category, activity.cube_sales, nested.json_order_facts])
 def test_tasks_follow_the_rows(tables, monkeypatch, build):
     """Orders are dealt to as many tasks as the rows ask for, so a task's memory stays."""
     monkeypatch.setattr(common, "ROWS_PER_TASK", 7)
