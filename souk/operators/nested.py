@@ -82,7 +82,10 @@ def json_order_facts(t: Tables) -> DataFrame:
 
 def json_seller_items(t: Tables) -> DataFrame:
     """Sales of each seller from the items of the documents, as flat rows again."""
-    paid = (F.col("price") + F.col("freight_value")) * F.col("copies")
-    return items_of(order_documents(t)).groupBy("seller_id").agg(
-        F.sum("copies").alias("items"), F.sum(paid.cast("decimal(38,2)")).cast("double").alias("revenue"),
-        F.countDistinct("order_id").alias("orders"))
+    paid = ((F.col("price") + F.col("freight_value")) * F.col("copies")).cast("decimal(38,2)")
+    sold = items_of(order_documents(t)).select("seller_id", "order_id", "copies", paid.alias("paid"))
+    # A row for each seller and order where their rows are dealt, so orders are counted as rows.
+    each = dealer(t.order_items)(sold, "seller_id", "order_id").groupBy("seller_id", "order_id").agg(
+        F.sum("copies").alias("copies"), F.sum("paid").alias("paid"))
+    return each.groupBy("seller_id").agg(
+        F.sum("copies").alias("items"), F.sum("paid").cast("double").alias("revenue"), F.count("order_id").alias("orders"))

@@ -83,7 +83,7 @@ def test_no_cartesian_products_when_planned_for_large_data(spark, tables):
                 spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("build", [reviews.review_by_category, activity.cube_sales, nested.json_order_facts])
+@pytest.mark.parametrize("build", [reviews.review_by_category, activity.cube_sales, nested.json_order_facts, nested.json_seller_items])
 def test_tasks_follow_the_rows(tables, monkeypatch, build):
     """Orders are dealt to as many tasks as the rows ask for, so a task's memory stays."""
     monkeypatch.setattr(common, "ROWS_PER_TASK", 7)
@@ -98,3 +98,9 @@ def test_cube_counts_orders_without_their_ids(tables, monkeypatch):
     monkeypatch.setattr(common, "ROWS_PER_TASK", 7)
     first = next(x for x in _plan(activity.cube_sales(tables)).splitlines() if "Exchange" in x)
     assert "level" in first and "order_id" not in first
+
+
+def test_seller_orders_are_counted_as_rows(tables, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 7)
+    first = next(x for x in _plan(nested.json_seller_items(tables)).splitlines() if "Exchange" in x)
+    assert "hashpartitioning(seller_id" in first and "order_id" not in first

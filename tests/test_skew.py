@@ -82,7 +82,7 @@ def test_hot_keys_match_oracle(skew_env, key):
     assert compare(df, con, STATEMENTS[key]) == []
 
 
-@pytest.mark.parametrize("key", ["cube_sales", "json_order_facts"])
+@pytest.mark.parametrize("key", ["cube_sales", "json_order_facts", "json_seller_items"])
 def test_hot_keys_of_analyses_match_oracle(skew_env, monkeypatch, key):
     monkeypatch.setattr(common, "ROWS_PER_TASK", 100)
     tables, con = skew_env
